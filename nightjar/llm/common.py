@@ -59,3 +59,22 @@ def discard(df: DataFrame | None) -> None:
 def letters_lower(text: Column) -> Column:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_PLAIN = {"Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "Range", "SubqueryAlias", "View"}
+
+
+def with_row_ids(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a unique long per row that is the same each time the plan is run.
+
+    The ids number the rows of each input split; they repeat exactly as long as the
+    plan is a scan with projections and filters.  Any other plan (one with a shuffle,
+    whose row order may change when a lost part is computed again) is written to the
+    shared folder first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in _PLAIN and plan.children().size() == 1:
+        plan = plan.children().head()
+    if plan.nodeName() not in _PLAIN:
+        df = materialize(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())
