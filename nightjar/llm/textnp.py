@@ -27,6 +27,9 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of letters: A-Z, a-z and every byte of a character beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class _Powers:
@@ -103,13 +106,14 @@ class Words:
     doc_start: np.ndarray  # index of each text's first word; one more than the texts
 
 
-def words_of(s: Slice, lower: bool = False) -> Words:
+def words_of(s: Slice, lower: bool = False, member: np.ndarray = _IS_WORD) -> Words:
+    """The maximal runs of bytes of which ``member`` is true (white-space separated words, if not given)."""
     data, n = s.data, len(s.data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(s.n_docs + 1, np.int64))
     if lower:
         data = _LOWER[data]
-    inside = _IS_WORD[data]
+    inside = member[data]
     full = s.starts[:-1] < s.starts[1:]
     heads, tails = s.starts[:-1][full], s.starts[1:][full] - 1
     is_begin, is_end = inside.copy(), inside.copy()
@@ -126,6 +130,10 @@ def words_of(s: Slice, lower: bool = False) -> Words:
     return Words(begin, end, name, np.searchsorted(begin, s.starts))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def sequence_names(name: np.ndarray, width: int) -> np.ndarray:
     """Names of every run of ``width`` consecutive entries (may span texts)."""
     n = len(name)
