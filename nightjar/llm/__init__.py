@@ -1,7 +1,7 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this package."""
 
-from . import bpe, chat, exact_dedup, language, near_dedup, substring_dedup, url_filter, warc
+from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, substring_dedup, url_filter, warc
 
-_MODULES = (url_filter, bpe, chat, near_dedup, exact_dedup, language, substring_dedup, warc)
+_MODULES = (decontaminate, url_filter, bpe, chat, near_dedup, exact_dedup, language, substring_dedup, warc)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
