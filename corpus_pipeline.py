@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: stages over the documents table, each written and read again.
+
+1. language     documents without a recognisable language go
+2. exact        of equal texts one row stays
+3. near         of each group of near duplicates (five-word shingles, 0.8) one stays
+4. decontaminate  documents that hold a passage of the benchmark go
+5. tokens       the remaining texts are encoded and decoded; counts and digests remain
+"""
 
 from __future__ import annotations
 
@@ -6,9 +13,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nightjar.llm.common import new_path
+from nightjar.llm import bpe, decontaminate, exact_dedup, language, near_dedup
+from nightjar.llm.common import new_path, table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.drop_rejected(docs, language.fit(language.training_rows(docs)))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near(docs, width=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return bpe.digests(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify),
+    ("exact", drop_copies),
+    ("near", drop_near_copies),
+    ("decontaminate", drop_leaks),
+    ("tokens", tokenize),
+]
+#: Neither the language model nor byte-pair encoding can be written in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -40,6 +40,8 @@ BUCKETS = 1 << 16
 CHAIN, STEPS, RATE, PENALTY = 96, 40, 0.5, 1e-4
 BLOCK = 128
 UNKNOWN = "und"
+#: A document is rejected when no language holds this share of its words.
+LEAST_SCORE = 0.3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -291,36 +293,58 @@ def _has_letter(s: Slice, found: np.ndarray, k: int) -> bool:
     return any(c.isalpha() for c in s.data[s.starts[k] : s.starts[k + 1]].tobytes().decode("utf-8", "replace"))
 
 
+_ASCII_LETTER = LETTERS & (np.arange(256) < 128)
+
+
+def label_slice(model: Model | None, s: Slice, with_labels: bool = False) -> tuple[list[str], np.ndarray, list[list[str]]]:
+    """Language, score and (if asked for) the words' languages of each text of a slice."""
+    langs, scores, marks = [UNKNOWN] * s.n_docs, np.zeros(s.n_docs), [[] for _ in range(s.n_docs)]
+    w = words_of(s, lower=True, member=LETTERS)
+    if model is None or not len(w.name):
+        return langs, scores, marks
+    _, at, number = np.unique(w.name, return_index=True, return_inverse=True)
+    emission = model.scores(lowered(s.data), w.begin[at], w.end[at], w.name[at])[number]
+    post = posteriors(emission, w.doc_start, model.start, model.transition)
+    total = np.vstack([np.zeros(post.shape[1]), np.cumsum(post, 0)])
+    expected = total[w.doc_start[1:]] - total[w.doc_start[:-1]]
+    n = np.diff(w.doc_start)
+    hits = np.concatenate([[0], np.cumsum(_ASCII_LETTER[s.data])])
+    sure = hits[s.starts[1:]] > hits[s.starts[:-1]]
+    best = expected.argmax(1)
+    for k in np.flatnonzero(n):
+        if _has_letter(s, sure, k):
+            langs[k], scores[k] = model.languages[best[k]], min(1.0, float(expected[k, best[k]] / n[k]))
+            if with_labels:
+                marks[k] = [model.languages[x] for x in post[w.doc_start[k] : w.doc_start[k + 1]].argmax(1)]
+    return langs, scores, marks
+
+
 def _predict(model: Model | None, with_labels: bool):
-    ascii_letter = LETTERS & (np.arange(256) < 128)
+    names = ["key", "lang_pred", "score"] + ["labels"] * with_labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(1)):
-                keys = b.column(0).slice(s.first, s.n_docs)
-                langs, scores, marks = [UNKNOWN] * s.n_docs, np.zeros(s.n_docs), [[] for _ in range(s.n_docs)]
-                w = words_of(s, lower=True, member=LETTERS)
-                if model is not None and len(w.name):
-                    distinct, at, number = np.unique(w.name, return_index=True, return_inverse=True)
-                    emission = model.scores(lowered(s.data), w.begin[at], w.end[at], distinct)[number]
-                    post = posteriors(emission, w.doc_start, model.start, model.transition)
-                    total = np.vstack([np.zeros(post.shape[1]), np.cumsum(post, 0)])
-                    expected = total[w.doc_start[1:]] - total[w.doc_start[:-1]]
-                    n = np.diff(w.doc_start)
-                    hits = np.concatenate([[0], np.cumsum(ascii_letter[s.data])])
-                    sure = hits[s.starts[1:]] > hits[s.starts[:-1]]
-                    best = expected.argmax(1)
-                    for k in np.flatnonzero(n):
-                        if _has_letter(s, sure, k):
-                            langs[k], scores[k] = model.languages[best[k]], min(1.0, float(expected[k, best[k]] / n[k]))
-                            if with_labels:
-                                marks[k] = [model.languages[x] for x in post[w.doc_start[k] : w.doc_start[k + 1]].argmax(1)]
-                out = [keys, pa.array(langs), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(marks, pa.list_(pa.string()))] * with_labels, ["key", "lang_pred", "score", "labels"][: len(out) + with_labels])
+                langs, scores, marks = label_slice(model, s, with_labels)
+                out = [b.column(0).slice(s.first, s.n_docs), pa.array(langs), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(marks, pa.list_(pa.string()))] * with_labels, names)
 
     return run
 
 
+def drop_rejected(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` (with a column text) without rows whose language is unknown or scores below ``least``; nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in slices(b.column(place)):
+                langs, scores, _ = label_slice(model, s)
+                yield b.slice(s.first, s.n_docs).filter(pa.array((scores >= least) & (np.array(langs) != UNKNOWN)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", with_labels: bool = False) -> DataFrame:
     """(key, lang_pred, score) for every row of ``docs`` (key: long, text); ``with_labels`` adds the language of each word (run of letters)."""
     schema = "key long, lang_pred string, score double" + ", labels array<string>" * with_labels
