@@ -19,10 +19,11 @@ components of all links.
    (the cut is five standard deviations below it), and a maximum spanning forest
    of the rest becomes candidates: linked groups need no further pairs.
 4. Candidates are verified on the full sets, read again from the texts.
-5. Where a candidate fails and its region had other pairs that it stood for, the
-   region is searched again and every surviving pair between different
-   components is verified.  So no pair that meets in any region goes untested
-   unless its ends are already linked.
+5. Where a candidate fails and its region held other pairs that it stood for, the
+   region's members get a sketch of WIDE values, and every member's pairs with
+   other components that this sketch does not rule out are verified, the most
+   similar ones first: 8 of each member, then 64, then 512, then all.  So no pair
+   that meets in any region goes untested unless its ends are already linked.
 
 With 24 trees of base depth 4 a pair at exactly 0.8 is missed by all trees with
 probability (1 - 0.8**4)**24 < 1e-5.
@@ -47,9 +48,13 @@ from .graph import components
 from .textnp import U64, Words, mix, sequence_names, slices, words_of
 
 TREES, PREFIX, SKETCH = 24, 4, 64
-REGION, BLOCK = 2048, 1024
+WIDE, ROUNDS = 512, (8, 64, 512, None)
+REGION, BLOCK, CELLS = 2048, 1024, 1 << 24
 _RNG = np.random.Generator(np.random.PCG64(5))
 _A = _RNG.integers(1, 2**64, TREES * PREFIX, dtype=U64) | U64(1)
+_WIDE_A = _RNG.integers(1, 2**64, WIDE, dtype=U64) | U64(1)
+#: Equal four-bit values in a byte of two, by the exclusive or of the bytes.
+_EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 _SIGNED = "_row long, doc_id long, n_shingles long, set_key binary, sketch binary, regions array<long>, deeps array<long>"
 _EDGES = "a long, b long, region long, spare boolean"
 
@@ -74,22 +79,28 @@ def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return names, np.searchsorted(docs, np.arange(len(n_words) + 1))
 
 
-def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def signatures(names: np.ndarray, starts: np.ndarray, factors: np.ndarray = _A) -> np.ndarray:
     """MinHash values (texts x hashes, 32 bits) of non-empty sets that lie end to end."""
-    out = np.empty((len(starts) - 1, TREES * PREFIX), np.uint32)
+    out = np.empty((len(starts) - 1, len(factors)), np.uint32)
     step = 1 << 15  # entries at a time, so that a slice stays in cache
     doc = 0
     while doc < len(starts) - 1:
         last = max(doc + 1, int(np.searchsorted(starts, starts[doc] + step, side="right")) - 1)
         part, at = names[starts[doc] : starts[last]], starts[doc:last] - starts[doc]
-        for k in range(TREES * PREFIX):
-            x = part * _A[k]
+        for k, factor in enumerate(factors):
+            x = part * factor
             x ^= x >> U64(29)
             out[doc:last, k] = np.minimum.reduceat((x * U64(0xBF58476D1CE4E5B9)) >> U64(32), at)
         doc = last
     return out
 
 
+def packed(sig: np.ndarray) -> np.ndarray:
+    """The low four bits of each value, two to a byte."""
+    low = (sig & 15).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << 4)
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,8 +113,7 @@ def _sign(width: int):
                 if len(full):
                     for c, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
                         total[full, c] = np.add.reduceat(mix(names ^ U64(salt)), starts[:-1][full])
-                low = (sig[:, :SKETCH] & 15).astype(np.uint8)
-                sketch = low[:, ::2] | (low[:, 1::2] << 4)
+                sketch = packed(sig[:, :SKETCH])
                 wide = sig.reshape(-1, TREES, PREFIX).astype(U64)
                 region = np.broadcast_to(np.arange(1, TREES + 1, dtype=U64), wide.shape[:2])
                 for k in range(PREFIX):
@@ -131,13 +141,13 @@ def _sign(width: int):
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many of the four-bit values agree, for each pair of rows (broadcast)."""
-    d = x ^ y
-    return ((d & 15) == 0).sum(-1, dtype=np.int16) + ((d >> 4) == 0).sum(-1, dtype=np.int16)
+    return _EQUAL[x ^ y].sum(-1, dtype=np.int16)
 
 
-def least_agreement(percent: int) -> int:
+def least_agreement(percent: int, values: int = SKETCH) -> int:
+    """Five standard deviations below the agreement of a pair at the threshold."""
     p = percent / 100 + (1 - percent / 100) / 16
-    return int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
+    return int(values * p - 5 * (values * p * (1 - p)) ** 0.5)
 
 
 class _Forest:
@@ -161,123 +171,168 @@ class _Forest:
 
 
 class _Search:
-    """Turns the runs of equal keys of a sorted stream into candidate pairs."""
+    """Turns the runs of equal keys of a sorted stream into candidate pairs.
 
-    def __init__(self, least: int, every: bool) -> None:
-        self.least, self.every = least, every
+    Output rows: candidates (a, b), and for regions in which a candidate stands for further pairs
+    (spare) their members as (a, a).
+    """
+
+    def __init__(self, least: int) -> None:
+        self.least = least
         self.out: list[tuple] = []
 
-    def small(self, region: int, ids: np.ndarray, comps: np.ndarray, sk: np.ndarray) -> None:
-        """All pairs of a run that fits into memory, a block of rows at a time."""
-        n = len(ids)
-        found = []
+    def small(self, region: int, ids: np.ndarray, sk: np.ndarray) -> None:
+        """A maximum spanning forest of all pairs of a run that fits into memory."""
+        n, found = len(ids), []
         for at in range(0, n, BLOCK):
             for to in range(at, n, BLOCK):
-                agree = _agreement(sk[at : at + BLOCK, None], sk[None, to : to + BLOCK])
-                i, j = np.nonzero(agree >= self.least)
-                e = agree[i, j]
-                i, j = i + at, j + to
-                ok = (i < j) & (comps[i] != comps[j])
-                found.append((i[ok], j[ok], e[ok]))
+                step = max(1, CELLS // (BLOCK * sk.shape[1]))
+                for x in range(at, min(n, at + BLOCK), step):
+                    agree = _agreement(sk[x : x + step, None][: at + BLOCK - x], sk[None, to : to + BLOCK])
+                    i, j = np.nonzero(agree >= self.least)
+                    e = agree[i, j]
+                    i, j = i + x, j + to
+                    ok = i < j
+                    found.append((i[ok], j[ok], e[ok]))
         i, j, e = (np.concatenate(x) for x in zip(*found))
-        if self.every:
-            self.out += [(int(ids[x]), int(ids[y]), region, False) for x, y in zip(i, j)]
-            return
-        order = np.argsort(-e, kind="stable")
         forest, picked = _Forest(n), []
-        for k in order:
+        for k in np.argsort(-e, kind="stable"):
             if forest.join(int(i[k]), int(j[k])):
                 picked.append((int(ids[i[k]]), int(ids[j[k]])))
                 if len(picked) == n - 1:
                     break
-        self.out += [(a, b, region, len(i) > len(picked)) for a, b in picked]
+        spare = len(i) > len(picked)
+        self.out += [(a, b, region, spare) for a, b in picked]
+        if spare:
+            self.out += [(int(a), int(a), region, True) for a in ids[np.unique(np.concatenate([i, j]))]]
 
-    def large(self, region: int, ids: np.ndarray, comps: np.ndarray, sk: np.ndarray) -> None:
+    def large(self, region: int, ids: np.ndarray, sk: np.ndarray) -> None:
         """A run above REGION entries: each entry joins the leader it agrees with best, or becomes one."""
-        if self.every:
-            return self.small(region, ids, comps, sk)
         leaders = np.zeros(0, np.int64)
         for at in range(0, len(ids), BLOCK):
             rows = np.arange(at, min(len(ids), at + BLOCK))
-            while len(rows):
-                if len(leaders):
-                    best, hit = np.full(len(rows), -1, np.int16), np.zeros(len(rows), np.int64)
-                    for x in range(0, len(leaders), BLOCK):
-                        agree = _agreement(sk[rows, None], sk[None, leaders[x : x + BLOCK]])
-                        k = agree.argmax(1)
-                        e = agree[np.arange(len(rows)), k]
-                        better = e > best
-                        best[better], hit[better] = e[better], leaders[x + k[better]]
-                    near = best >= self.least
-                    self.out += [(int(ids[x]), int(ids[y]), region, True) for x, y in zip(rows[near], hit[near]) if comps[x] != comps[y]]
-                    rows = rows[~near]
-                if len(rows):
-                    leaders, rows = np.append(leaders, rows[0]), rows[1:]
-
-    def region(self, region: int, deep: np.ndarray, ids: np.ndarray, comps: np.ndarray, sk: np.ndarray) -> None:
+            best, hit = np.full(len(rows), -1, np.int16), np.zeros(len(rows), np.int64)
+            for x in range(0, len(leaders), BLOCK):
+                self._nearest(sk, rows, leaders[x : x + BLOCK], best, hit)
+            while True:
+                far = np.flatnonzero(best < self.least)
+                if not len(far):
+                    break
+                leaders = np.append(leaders, rows[far[0]])
+                best[far[0]], hit[far[0]] = SKETCH + 1, rows[far[0]]
+                self._nearest(sk, rows, leaders[-1:], best, hit)
+            self.out += [(int(ids[x]), int(ids[y]), region, True) for x, y in zip(rows, hit) if x != y]
+        self.out += [(int(a), int(a), region, True) for a in ids]
+
+    @staticmethod
+    def _nearest(sk: np.ndarray, rows: np.ndarray, leaders: np.ndarray, best: np.ndarray, hit: np.ndarray) -> None:
+        agree = _agreement(sk[rows, None], sk[None, leaders])
+        k = agree.argmax(1)
+        e = agree[np.arange(len(rows)), k]
+        better = e > best
+        best[better], hit[better] = e[better], leaders[k[better]]
+
+    def region(self, region: int, deep: np.ndarray, ids: np.ndarray, sk: np.ndarray) -> None:
         if len(ids) <= REGION:
-            return self.small(region, ids, comps, sk)
+            return self.small(region, ids, sk)
         cut = np.flatnonzero(np.append(True, deep[1:] != deep[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(ids))):
             if b - a > 1:
-                (self.small if b - a <= REGION else self.large)(region, ids[a:b], comps[a:b], sk[a:b])
+                (self.small if b - a <= REGION else self.large)(region, ids[a:b], sk[a:b])
 
 
-def _candidates(percent: int, every: bool):
-    """Candidate pairs from rows (region, deep, id, comp, sketch) sorted by region and deep."""
-    least = least_agreement(percent)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of binaries of one width as a matrix of bytes."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    first = np.frombuffer(offs, np.int64)[column.offset]
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
-    def columns(b: pa.RecordBatch):
-        sketch = b.column(4).cast(pa.large_binary())
-        _, offs, data = sketch.buffers()
-        first = np.frombuffer(offs, np.int64)[sketch.offset]
-        sk = np.frombuffer(data, np.uint8)[first : first + len(sketch) * (SKETCH // 2)].reshape(-1, SKETCH // 2)
-        return [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [sk]
 
-    def emit(search: _Search) -> Iterator[pa.RecordBatch]:
-        if search.out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*search.out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "region", "spare"])
-            search.out = []
+def _runs(batches: Iterator[pa.RecordBatch], width: int):
+    """Blocks of whole regions of a stream sorted by region: the columns, the last of them a matrix, and each region's bounds."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns - 1)] + [_matrix(b.column(b.num_columns - 1), width)]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        cut = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+        rest = [c[cut[-1] :] for c in cols]
+        if len(cut) > 1:
+            yield cols, cut[:-1], cut[1:]
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64), np.array([len(rest[0])])
+
+
+def _edges(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "region", "spare"])
+
+
+def _candidates(percent: int):
+    """Candidate pairs from rows (region, deep, id, sketch) sorted by region and deep."""
+    least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, rest = _Search(least, every), None
-
-        def take(cols, final: bool):
-            """Search all regions but the last, which may go on in the next batch."""
-            region = cols[0]
-            cut = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-            ends = np.append(cut[1:], len(region))
-            if not final:
-                keep, cut, ends = cut[-1], cut[:-1], ends[:-1]
-            size = ends - cut
-            two = cut[size == 2]
+        search = _Search(least)
+        for (region, deep, ids, sk), begin, end in _runs(batches, SKETCH // 2):
+            two = begin[end - begin == 2]
             if len(two):  # most regions: one pair
-                e = _agreement(cols[4][two], cols[4][two + 1])
-                ok = two[(e >= least) & (cols[3][two] != cols[3][two + 1])]
-                search.out += list(zip(cols[2][ok].tolist(), cols[2][ok + 1].tolist(), region[ok].tolist(), [False] * len(ok)))
-            for a, b in zip(cut[size > 2], ends[size > 2]):
-                search.region(int(region[a]), cols[1][a:b], cols[2][a:b], cols[3][a:b], cols[4][a:b])
-            return None if final else [c[keep:] for c in cols]
+                ok = two[_agreement(sk[two], sk[two + 1]) >= least]
+                search.out += list(zip(ids[ok].tolist(), ids[ok + 1].tolist(), region[ok].tolist(), [False] * len(ok)))
+            for a, b in zip(begin[end - begin > 2], end[end - begin > 2]):
+                search.region(int(region[a]), deep[a:b], ids[a:b], sk[a:b])
+            yield from _edges(search.out)
+            search.out = []
 
+    return run
+
+
+def _wide(width: int):
+    """(id, size, sketch) of texts: the sketch of WIDE values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            cols = columns(b)
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            rest = take(cols, final=False)
-            yield from emit(search)
-        if rest is not None:
-            take(rest, final=True)
-            yield from emit(search)
+            for s in slices(b.column(1)):
+                names, starts = shingle_sets(words_of(s, lower=True), width)
+                sk = packed(signatures(names, starts, _WIDE_A))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n_docs), pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sk], pa.binary())], ["id", "size", "wide"])
 
     return run
 
 
-def _forest(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """``rows``: region, deep, id, comp, sketch."""
-    ordered = rows.select("region", "deep", "id", "comp", "sketch").repartitionByRange("region", "deep").sortWithinPartitions("region", "deep", "id")
-    return ordered.mapInArrow(_candidates(percent, every), _EDGES)
+def _remaining(percent: int, most: int | None):
+    """Pairs of different components from rows (region, id, comp, size, wide) sorted by region; the ``most`` likeliest of each row."""
+    least = least_agreement(percent, WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region, ids, comps, sizes, sk), begin, end in _runs(batches, WIDE // 2):
+            for a, b in zip(begin, end):
+                if (comps[a:b] == comps[a]).all():
+                    continue
+                n, out = b - a, []
+                step = max(1, CELLS // (n * sk.shape[1]))
+                for at in range(a, b, step):
+                    rows = slice(at, min(b, at + step))
+                    agree = np.concatenate([_agreement(sk[rows, None], sk[None, x : min(b, x + BLOCK)]) for x in range(a, b, BLOCK)], 1)
+                    small, big = np.minimum(sizes[rows, None], sizes[None, a:b]), np.maximum(sizes[rows, None], sizes[None, a:b])
+                    agree[(comps[rows, None] == comps[None, a:b]) | (100 * small < percent * big) | (agree < least)] = -1
+                    count = (agree >= 0).sum(1)
+                    for k in np.flatnonzero(count):
+                        hits = np.flatnonzero(agree[k] >= 0)
+                        if more := most is not None and len(hits) > most:
+                            hits = hits[np.argsort(-agree[k][hits], kind="stable")[:most]]
+                        out += [(int(ids[at + k]), int(ids[a + h]), int(region[a]), more) for h in hits]
+                yield from _edges(out)
+
+    return run
+
+
+def _forest(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows``: region, deep, id, sketch."""
+    ordered = rows.select("region", "deep", "id", "sketch").repartitionByRange("region", "deep").sortWithinPartitions("region", "deep", "id")
+    return ordered.mapInArrow(_candidates(percent), _EDGES)
 
 
 def _check(width: int, percent: int):
@@ -301,15 +356,41 @@ def _check(width: int, percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked) for distinct pairs, compared on the full sets of their texts (_row, text)."""
-    needed = pairs.select(F.col("a").alias("_row")).unionAll(pairs.select(F.col("b").alias("_row"))).distinct()
-    own = materialize(texts.join(needed, "_row", "left_semi"), "texts")
+def _verify(pairs: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked) for distinct pairs, compared on the full sets of their texts ``own`` (_row, text)."""
     left = pairs.join(own.select(F.col("_row").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(own.select(F.col("_row").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(_check(width, percent), "a long, b long, linked boolean"), "links")
 
 
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) from the candidates of the forest; spans the components of all links."""
+    tested = _verify(_pairs(found), own, width, percent)
+    failed = tested.where("NOT linked").select("a", "b")
+    spare = found.where("spare AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "region")
+    again = materialize(spare.join(failed, ["a", "b"]).select("region").distinct(), "again")
+    if not again.head(1):
+        return tested.where("linked").select("a", "b")
+    members = materialize(found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region"), "members")
+    needed = members.select(F.col("id").alias("_row")).distinct()
+    wide = materialize(own.join(needed, "_row", "left_semi").select("_row", "text").mapInArrow(_wide(width), "id long, size long, wide binary"), "wide")
+    for most in ROUNDS:
+        labels = components(tested.where("linked").select("a", "b"))
+        rows = members.join(wide, "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"), "size", "wide")
+        ordered = rows.repartition("region").sortWithinPartitions("region", "id")
+        rest = materialize(ordered.mapInArrow(_remaining(percent, most), _EDGES), "rest")
+        fresh = materialize(_pairs(rest).join(tested, ["a", "b"], "left_anti"), "fresh")
+        if fresh.head(1):
+            tested = tested.unionAll(_verify(fresh, own, width, percent))
+        if not rest.where("spare").head(1):
+            break
+    return tested.where("linked").select("a", "b")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (_row, doc_id, text): _row, doc_id, n_shingles, component_id, kept."""
     texts = docs.select("_row", "text")
@@ -318,19 +399,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     reps = first.select(F.col("rep").alias("_row"))
     entries = F.explode(F.arrays_zip("regions", "deeps")).alias("z")
     forest = signed.join(reps, "_row", "left_semi").select(F.col("_row").alias("id"), "sketch", entries)
-    forest = forest.select(F.col("z.regions").alias("region"), F.col("z.deeps").alias("deep"), "id", F.col("id").alias("comp"), "sketch")
-    found = materialize(_forest(forest, percent, every=False), "candidates")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tested = _verify(found.select(*pair).distinct(), texts, width, percent)
-    links = tested.where("linked").select("a", "b")
-    again = found.where("spare").select(*pair, "region").join(tested.where("NOT linked"), ["a", "b"]).select("region").distinct()
-    if again.head(1):
-        again = materialize(again, "again")
-        labels = components(links)
-        rows = forest.drop("comp").join(again, "region", "left_semi").join(labels, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "id"))
-        more = _forest(rows, percent, every=True).select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
-        links = links.unionAll(_verify(materialize(more, "more"), texts, width, percent).where("linked").select("a", "b"))
-    labels = components(links)
+    found = materialize(_forest(forest.select(F.col("z.regions").alias("region"), F.col("z.deeps").alias("deep"), "id", "sketch"), percent), "candidates")
+    needed = found.select(F.col("a").alias("_row")).unionAll(found.select(F.col("b").alias("_row"))).distinct()
+    own = materialize(texts.join(needed.hint("merge"), "_row", "left_semi"), "texts")
+    labels = components(_all_links(found, own, width, percent))
     rows = signed.select("_row", "doc_id", "n_shingles", "set_key").join(first, "set_key", "left")
     rows = rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("_row"))).join(labels, F.col("rep") == F.col("node"), "left")
     rows = rows.select("_row", "doc_id", "n_shingles", F.coalesce("label", "rep").alias("comp"))
