@@ -1 +1,29 @@
-"""Part of the engine: sources."""
+"""Readers of process-event logs, one per platform."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import auditd, endpoint_security, sysmon
+
+READERS = {"linux": auditd.read, "windows": sysmon.read, "macos": endpoint_security.read}
+
+
+def read_events(spark: SparkSession, platform: str, path: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The events of a platform's logs between two times (both included)."""
+    if platform not in READERS:
+        raise ValueError(f"unknown platform {platform!r}")
+    events = READERS[platform](spark, path)
+    if start is not None:
+        events = events.where(F.col("ts") >= start)
+    return events.where(F.col("ts") <= end) if end is not None else events
+
+
+def read_all(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The union of several platforms' logs."""
+    parts = [read_events(spark, platform, path) for platform, path in paths.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
