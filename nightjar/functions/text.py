@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _BLANK = r"(?U)^\s+|\s+$"
 #: Quoted stretches (an open quote runs to the end), white space, and other stretches of a command line.
 _PIECES = r"(?sU)\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)|\s+|[^\s\"']+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
