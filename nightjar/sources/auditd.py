@@ -28,7 +28,7 @@ def arguments(execve: Column) -> Column:
         quoted = F.concat(key, F.lit('"([^"]*)"'))
         bare = F.concat(key, F.lit(r"(\S+)"))
         has = lambda p: F.rlike(execve, p)
-        take = lambda p: F.regexp_extract(execve, p, 1)
+        take = lambda p: F.call_function("regexp_extract", execve, p, F.lit(1))
         return F.when(has(quoted), take(quoted)).when(has(bare), F.regexp_replace(take(bare), '"$', ""))
 
     return F.array_join(F.filter(F.transform(places, one), lambda x: x.isNotNull()), " ")
