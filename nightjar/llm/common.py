@@ -78,3 +78,15 @@ def with_row_ids(df: DataFrame, name: str = "_row") -> DataFrame:
     if plan.nodeName() not in _PLAIN:
         df = materialize(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def filtered(docs: DataFrame, choose) -> DataFrame:
+    """``docs`` reduced to some of its rows, with exactly its own columns.
+
+    ``choose`` gets ``docs`` with a row id ``_row`` and returns the rows that stay; a column of that
+    name in ``docs`` is set aside meanwhile.
+    """
+    own = [c for c in docs.columns if c.lower() == "_row"]
+    numbered = with_row_ids(docs.withColumnRenamed(own[0], "_row_of_input") if own else docs)
+    kept = choose(numbered).drop("_row")
+    return (kept.withColumnRenamed("_row_of_input", own[0]) if own else kept).select(*[F.col(f"`{c}`") for c in docs.columns])

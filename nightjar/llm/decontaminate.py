@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_row_ids
+from .common import filtered, materialize, table, with_row_ids
 
 #: 1: the token counts; 0: it is ignored. Each starts and ends with 1.
 MASKS = ("1101011", "11100101")
@@ -95,9 +95,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WIND
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark, all columns kept."""
-    numbered = with_row_ids(docs)
-    found = materialize(leaks(numbered, benchmark).select("_row").distinct(), "leaks")
-    return numbered.join(_bounded(found, ALIGNMENT_ROWS), "_row", "left_anti").drop("_row")
+
+    def clean(d: DataFrame) -> DataFrame:
+        found = materialize(leaks(d, benchmark).select("_row").distinct(), "leaks")
+        return d.join(_bounded(found, ALIGNMENT_ROWS), "_row", "left_anti")
+
+    return filtered(docs, clean)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_row_ids
+from .common import filtered, materialize, table, with_row_ids
 from .graph import components
 from .textnp import U64, Words, mix, sequence_names, slices, words_of
 
@@ -412,8 +412,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row (the smallest doc_id) of each group, all columns kept."""
-    numbered = with_row_ids(docs)
-    return numbered.join(near_groups(numbered, width, percent).where("kept").select("_row"), "_row", "left_semi").drop("_row")
+    return filtered(docs, lambda d: d.join(near_groups(d, width, percent).where("kept").select("_row"), "_row", "left_semi"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
