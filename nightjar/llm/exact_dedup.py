@@ -2,9 +2,9 @@
 
 Texts are equal when they are identical after deleting every character of
 ``[\\x20\\x09-\\x0D]``.  The normalised text is cut into blocks of fixed size.
-All blocks are sorted by content, and equal blocks get the same integer name
-(the number of the sorted range in the high bits, the rank inside it in the
-low bits).  Then, level by level, adjacent pairs of names are sorted and named
+All blocks are sorted (by hash, then by content), and equal blocks get the same
+integer name (the number of the sorted range in the high bits, the rank inside
+it in the low bits).  Then, level by level, adjacent pairs of names are sorted and named
 in the same way until every document has one name.  Two documents are equal
 exactly when they reach their single name at the same level and the names are
 equal: names stand for content itself, not for a hash of it, so there are no
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, with_row_ids
+from .common import filtered, materialize, table, with_row_ids
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -97,7 +97,8 @@ def _name(df: DataFrame, key: str) -> DataFrame:
     """Sort by ``key`` and replace it by an integer name, equal for equal keys."""
     others = [c for c in df.columns if c != key]
     kinds = dict(df.dtypes)
-    ordered = df.select(key, *others).repartitionByRange(key).sortWithinPartitions(key)
+    hashed = df.select(key, *others, F.xxhash64(key).alias("_hash"))  # ranges are sampled from eight bytes, not from whole blocks
+    ordered = hashed.repartitionByRange("_hash").sortWithinPartitions("_hash", key).drop("_hash")
     return ordered.mapInArrow(_ranked, ", ".join(f"{c} {kinds[c]}" for c in others) + ", name long")
 
 
@@ -140,9 +141,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    numbered = with_row_ids(docs)
-    staying = groups(numbered, block).where("kept").select("_row")
-    return numbered.join(staying, "_row", "left_semi").drop("_row")
+    return filtered(docs, lambda d: d.join(groups(d, block).where("kept").select("_row"), "_row", "left_semi"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
