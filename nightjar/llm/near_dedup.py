@@ -20,10 +20,11 @@ components of all links.
    of the rest becomes candidates: linked groups need no further pairs.
 4. Candidates are verified on the full sets, read again from the texts.
 5. Where a candidate fails and its region held other pairs that it stood for, the
-   region's members get a sketch of WIDE values, and every member's pairs with
-   other components that this sketch does not rule out are verified, the most
-   similar ones first: 8 of each member, then 64, then 512, then all.  So no pair
-   that meets in any region goes untested unless its ends are already linked.
+   region's members are compared again, all with all, on their full sets: one
+   matrix product over the shingles that two of them share gives every
+   intersection.  A region of more than REGION members is dealt out in pairs of
+   chunks.  Only a forest of the links found leaves a task.  So no pair that
+   meets in any region goes untested unless its ends are already linked.
 
 With 24 trees of base depth 4 a pair at exactly 0.8 is missed by all trees with
 probability (1 - 0.8**4)**24 < 1e-5.
@@ -48,11 +49,9 @@ from .graph import components
 from .textnp import U64, Words, mix, sequence_names, slices, words_of
 
 TREES, PREFIX, SKETCH = 24, 4, 64
-WIDE, ROUNDS = 512, (8, 64, 512, None)
 REGION, BLOCK, CELLS = 2048, 1024, 1 << 24
 _RNG = np.random.Generator(np.random.PCG64(5))
 _A = _RNG.integers(1, 2**64, TREES * PREFIX, dtype=U64) | U64(1)
-_WIDE_A = _RNG.integers(1, 2**64, WIDE, dtype=U64) | U64(1)
 #: Equal four-bit values in a byte of two, by the exclusive or of the bytes.
 _EQUAL = np.array([(x & 15 == 0) + (x >> 4 == 0) for x in range(256)], np.uint8)
 _SIGNED = "_row long, doc_id long, n_shingles long, set_key binary, sketch binary, regions array<long>, deeps array<long>"
@@ -79,15 +78,15 @@ def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return names, np.searchsorted(docs, np.arange(len(n_words) + 1))
 
 
-def signatures(names: np.ndarray, starts: np.ndarray, factors: np.ndarray = _A) -> np.ndarray:
+def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """MinHash values (texts x hashes, 32 bits) of non-empty sets that lie end to end."""
-    out = np.empty((len(starts) - 1, len(factors)), np.uint32)
+    out = np.empty((len(starts) - 1, len(_A)), np.uint32)
     step = 1 << 15  # entries at a time, so that a slice stays in cache
     doc = 0
     while doc < len(starts) - 1:
         last = max(doc + 1, int(np.searchsorted(starts, starts[doc] + step, side="right")) - 1)
         part, at = names[starts[doc] : starts[last]], starts[doc:last] - starts[doc]
-        for k, factor in enumerate(factors):
+        for k, factor in enumerate(_A):
             x = part * factor
             x ^= x >> U64(29)
             out[doc:last, k] = np.minimum.reduceat((x * U64(0xBF58476D1CE4E5B9)) >> U64(32), at)
@@ -144,10 +143,10 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _EQUAL[x ^ y].sum(-1, dtype=np.int16)
 
 
-def least_agreement(percent: int, values: int = SKETCH) -> int:
+def least_agreement(percent: int) -> int:
     """Five standard deviations below the agreement of a pair at the threshold."""
     p = percent / 100 + (1 - percent / 100) / 16
-    return int(values * p - 5 * (values * p * (1 - p)) ** 0.5)
+    return int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 class _Forest:
@@ -238,7 +237,8 @@ class _Search:
         cut = np.flatnonzero(np.append(True, deep[1:] != deep[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(ids))):
             if b - a > 1:
-                (self.small if b - a <= REGION else self.large)(region, ids[a:b], sk[a:b])
+                own = (region * 31 + int(deep[a]) + (1 << 63)) % (1 << 64) - (1 << 63)  # the deeper region's name
+                (self.small if b - a <= REGION else self.large)(own, ids[a:b], sk[a:b])
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -290,41 +290,64 @@ def _candidates(percent: int):
     return run
 
 
-def _wide(width: int):
-    """(id, size, sketch) of texts: the sketch of WIDE values."""
+def _sets(width: int):
+    """(id, names): the sorted shingle names of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(1)):
                 names, starts = shingle_sets(words_of(s, lower=True), width)
-                sk = packed(signatures(names, starts, _WIDE_A))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n_docs), pa.array(np.diff(starts)), pa.array([x.tobytes() for x in sk], pa.binary())], ["id", "size", "wide"])
+                sets = pa.array([names[x:y].tobytes() for x, y in zip(starts, starts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.n_docs), sets], ["id", "names"])
 
     return run
 
 
-def _remaining(percent: int, most: int | None):
-    """Pairs of different components from rows (region, id, comp, size, wide) sorted by region; the ``most`` likeliest of each row."""
-    least = least_agreement(percent, WIDE)
+def linked_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of some distinct sets, the first that it reaches by links between them."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(n), size), count > 1
+    place = np.cumsum(common) - 1
+    keep = common[column]
+    row, column = row[keep], place[column[keep]]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(common.sum()), 4096):
+        here = (column >= at) & (column < at + 4096)
+        part = np.zeros((n, 4096), np.float32)
+        part[row[here], column[here] - at] = 1
+        both += part @ part.T
+    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(linked, label[None, :], n).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _exact(percent: int):
+    """Links (a, b) between different components from rows (region, id, comp, names) sorted by region."""
+    def links(rows: list[tuple]) -> list[tuple]:
+        if len({r[1] for r in rows}) < 2:
+            return []
+        label = linked_labels([np.frombuffer(r[2], U64) for r in rows], percent)
+        return [(r[0], rows[k][0]) for r, k in zip(rows, label) if r[1] != rows[k][1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (region, ids, comps, sizes, sk), begin, end in _runs(batches, WIDE // 2):
-            for a, b in zip(begin, end):
-                if (comps[a:b] == comps[a]).all():
-                    continue
-                n, out = b - a, []
-                step = max(1, CELLS // (n * sk.shape[1]))
-                for at in range(a, b, step):
-                    rows = slice(at, min(b, at + step))
-                    agree = np.concatenate([_agreement(sk[rows, None], sk[None, x : min(b, x + BLOCK)]) for x in range(a, b, BLOCK)], 1)
-                    small, big = np.minimum(sizes[rows, None], sizes[None, a:b]), np.maximum(sizes[rows, None], sizes[None, a:b])
-                    agree[(comps[rows, None] == comps[None, a:b]) | (100 * small < percent * big) | (agree < least)] = -1
-                    count = (agree >= 0).sum(1)
-                    for k in np.flatnonzero(count):
-                        hits = np.flatnonzero(agree[k] >= 0)
-                        if more := most is not None and len(hits) > most:
-                            hits = hits[np.argsort(-agree[k][hits], kind="stable")[:most]]
-                        out += [(int(ids[at + k]), int(ids[a + h]), int(region[a]), more) for h in hits]
-                yield from _edges(out)
+        region, rows = None, []
+        for b in batches:
+            out = []
+            for r, *row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if r != region:
+                    out += links(rows)
+                    region, rows = r, []
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        if out := links(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
@@ -376,19 +399,15 @@ def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> Da
     if not again.head(1):
         return tested.where("linked").select("a", "b")
     members = materialize(found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region"), "members")
-    needed = members.select(F.col("id").alias("_row")).distinct()
-    wide = materialize(own.join(needed, "_row", "left_semi").select("_row", "text").mapInArrow(_wide(width), "id long, size long, wide binary"), "wide")
-    for most in ROUNDS:
-        labels = components(tested.where("linked").select("a", "b"))
-        rows = members.join(wide, "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"), "size", "wide")
-        ordered = rows.repartition("region").sortWithinPartitions("region", "id")
-        rest = materialize(ordered.mapInArrow(_remaining(percent, most), _EDGES), "rest")
-        fresh = materialize(_pairs(rest).join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.head(1):
-            tested = tested.unionAll(_verify(fresh, own, width, percent))
-        if not rest.where("spare").head(1):
-            break
-    return tested.where("linked").select("a", "b")
+    sets = materialize(own.join(members.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_row", "text").mapInArrow(_sets(width), "id long, names binary"), "sets")
+    labels = components(tested.where("linked").select("a", "b"))
+    chunks = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")).withColumn("chunks", F.when(F.col("chunks") * BLOCK > REGION, F.col("chunks")).otherwise(1))
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    dealt = members.join(chunks, "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.when(F.col("chunks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")))
+    rows = dealt.select(part.alias("region"), "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp")).join(sets, "id")
+    ordered = rows.select("region", "id", "comp", "names").repartition("region").sortWithinPartitions("region", "id")
+    return tested.where("linked").select("a", "b").unionAll(ordered.mapInArrow(_exact(percent), "a long, b long"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
