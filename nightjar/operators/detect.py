@@ -38,8 +38,9 @@ def matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
         return ready.where(F.lit(False)).withColumn("rule_no", F.lit(0))
     parts = [F.array(*[F.when(predicate(r), F.lit(at + k)) for k, r in enumerate(rules[at : at + CHUNK])]) for at in range(0, len(rules), CHUNK)]
     hits = F.array_compact(F.concat(*parts))
-    named = ready.select("*", hits.alias("_hits")).where(F.size("_hits") > 0)
-    return named.select("*", F.explode("_hits").alias("rule_no")).drop("_hits")
+    # The outer form: from a plain explode Spark infers a filter on the array, which it pushes down and so evaluates every predicate twice.
+    found = ready.select("*", hits.alias("_hits")).select("*", F.explode_outer("_hits").alias("rule_no"))
+    return found.where("rule_no IS NOT NULL").drop("_hits")
 
 
 def detect(events: DataFrame, rules: list[Rule]) -> DataFrame:
