@@ -53,7 +53,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _bucket(code: np.ndarray, kind: int) -> np.ndarray:
-    return (mix(code + U64(kind) * U64(0x9E3779B97F4A7C15)) & U64(BUCKETS - 1)).astype(np.int64)
+    return (mix(code + U64(kind * 0x9E3779B97F4A7C15 % 2**64)) & U64(BUCKETS - 1)).astype(np.int64)
 
 
 def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
