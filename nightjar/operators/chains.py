@@ -28,7 +28,7 @@ def _hits(nodes: DataFrame, chains: list[Chain], number: int, anchors: bool) ->
     for k, c in enumerate(chains):
         if len(c.stages) > number:
             name = F.when(F.col("chain") == k, F.lit(c.stages[number].name)).otherwise(name)
-    found = nodes.select("*", F.array_compact(F.array(*tests)).alias("_h"))
+    found = nodes.select("*", F.array(*tests).alias("_h"))
     return found.select("*", F.explode_outer("_h").alias("chain")).where("chain IS NOT NULL").drop("_h").withColumn("stage", name)
 
 

@@ -16,8 +16,6 @@ from ..functions.anomalies import anomalies
 from ..plans.compile import PREPARED, predicate, prepare
 from ..rules.model import Rule
 
-#: Predicates in one array expression; more rules make further arrays, so that generated code stays small.
-CHUNK = 64
 _RULE = T.StructType(
     [T.StructField(n, T.StringType(), False) for n in ("rule_id", "rule_name", "rule_platform", "severity", "description")]
     + [T.StructField(n, T.ArrayType(T.StringType(), False), False) for n in ("mitre_attack", "response", "criteria")]
@@ -36,9 +34,9 @@ def matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
     ready = prepare(events)
     if not rules:
         return ready.where(F.lit(False)).withColumn("rule_no", F.lit(0))
-    parts = [F.array(*[F.when(predicate(r), F.lit(at + k)) for k, r in enumerate(rules[at : at + CHUNK])]) for at in range(0, len(rules), CHUNK)]
-    hits = F.array_compact(F.concat(*parts))
-    # The outer form: from a plain explode Spark infers a filter on the array, which it pushes down and so evaluates every predicate twice.
+    # Nulls are exploded too and dropped behind it: predicates inside a higher-order function would be interpreted, and a
+    # filter on the array would be pushed down and evaluate them twice.
+    hits = F.array(*[F.when(predicate(r), F.lit(k)) for k, r in enumerate(rules)])
     found = ready.select("*", hits.alias("_hits")).select("*", F.explode_outer("_hits").alias("rule_no"))
     return found.where("rule_no IS NOT NULL").drop("_hits")
 
