@@ -37,7 +37,7 @@ from .common import filtered, materialize, table, with_row_ids
 #: Bytes of a block.
 BLOCK = 4096
 #: Bytes of normalised text among which equal blocks are reduced to one representative.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _BLANK = bytes([0x20, *range(0x09, 0x0E)])
 _RANK_BITS = 40
 

@@ -37,6 +37,8 @@ from .textnp import LETTERS, U64, Slice, lowered, mix, slices, words_of
 
 PER_LANGUAGE, SEGMENT = 250, 2000
 BUCKETS = 1 << 16
+#: Bytes of text that are labelled at a time; features and posteriors take about a hundred times as much.
+SLICE = 1 << 19
 CHAIN, STEPS, RATE, PENALTY = 96, 40, 0.5, 1e-4
 BLOCK = 128
 UNKNOWN = "und"
@@ -324,7 +326,7 @@ def _predict(model: Model | None, with_labels: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b.column(1)):
+            for s in slices(b.column(1), SLICE):
                 langs, scores, marks = label_slice(model, s, with_labels)
                 out = [b.column(0).slice(s.first, s.n_docs), pa.array(langs), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(marks, pa.list_(pa.string()))] * with_labels, names)
@@ -338,7 +340,7 @@ def drop_rejected(docs: DataFrame, model: Model | None, least: float = LEAST_SCO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b.column(place)):
+            for s in slices(b.column(place), SLICE):
                 langs, scores, _ = label_slice(model, s)
                 yield b.slice(s.first, s.n_docs).filter(pa.array((scores >= least) & (np.array(langs) != UNKNOWN)))
 
