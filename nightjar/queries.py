@@ -297,7 +297,8 @@ _PRINTED = f"{_ALERTS}, printed AS (SELECT *, sha256({_FP}) AS fingerprint FROM
 
 
 def _printed(spark, sf_dir) -> DataFrame:
-    return episodes.with_fingerprints(_alerts(spark, sf_dir).where(~F.col("command_line").contains('"')))
+    """All alerts; the SQL above leaves out those with a double quote in the command line."""
+    return episodes.with_fingerprints(_alerts(spark, sf_dir))
 
 
 @query("fingerprint_alerts", f"WITH {_PRINTED} SELECT event_id, rule_id, fingerprint FROM printed")
