@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import as_events
+from ..storage import bounded
 
 _KINDS = ("EXECVE", "SYSCALL", "CWD")
 
@@ -57,7 +58,7 @@ def events_from_lines(lines: DataFrame, users: DataFrame | None = None) -> DataF
         F.coalesce(_number(sys_, r"\bpid=(\d+)"), F.lit(0)).alias("process_id"), _number(sys_, r"\bppid=(\d+)").alias("parent_process_id"), F.coalesce(_cwd(F.col("cwd")), _cwd(sys_)).alias("working_directory"),
     ).where("command_line <> '' AND ts IS NOT NULL")
     if users is not None:
-        parsed = parsed.join(F.broadcast(users.select("uid", F.col("name").alias("_name")).limit(100_000)), "uid", "left")
+        parsed = parsed.join(bounded(users.select("uid", F.col("name").alias("_name"))), "uid", "left")
     else:
         parsed = parsed.withColumn("_name", F.when(F.col("uid") == 0, "root"))
     first = F.regexp_extract("command_line", r"^\s*(\S+)", 1)

@@ -48,6 +48,12 @@ def test_auditd(spark, tmp_path):
     assert auditd.read(spark, str(tmp_path / "audit.log"), users).orderBy("ts").first()["user"] == "joe"
 
 
+def test_auditd_names_every_user(spark, tmp_path):
+    (tmp_path / "audit.log").write_text(AUDIT.replace(" uid=1000", " uid=120000"))
+    users = spark.range(1, 120_001).select(F.col("id").alias("uid"), F.concat(F.lit("u"), "id").alias("name"))
+    assert auditd.read(spark, str(tmp_path / "audit.log"), users).orderBy("ts").first()["user"] == "u120000"
+
+
 def test_sysmon(spark, tmp_path):
     for k, x in enumerate([sysmon_xml(), sysmon_xml("4242"), sysmon_xml("zz"), sysmon_xml(event="3"), sysmon_xml(drop="User"), sysmon_xml() + sysmon_xml(), "<Event>broken"]):
         (tmp_path / f"{k}.xml").write_text(x)
