@@ -54,6 +54,8 @@ _LAST = (1 << 63) - 1
 #: Rows of a names shuffle: info packs the place, the number of windows, and two flags.
 _ROWS = "key long, doc long, _row long, info long"
 _KNOWN, _WINDOW = 1, 2
+#: Most windows of one row: the number has 18 bits of info.
+_MOST = (1 << 18) - 1
 
 
 def _shifted(x: np.ndarray, by: int, fill: int, same: np.ndarray) -> np.ndarray:
@@ -160,6 +162,8 @@ def _first_pass(width: int, rounds: int):
                     new = np.ones(len(window), bool)
                     new[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1) | (t[1:] != t[:-1])
                     at = np.flatnonzero(new)
+                    nth = np.arange(len(window)) - np.repeat(at, np.diff(np.append(at, len(window))))
+                    at = np.flatnonzero(nth % _MOST == 0)
                     count = np.diff(np.append(at, len(window)))
                     t = t[at]
                     yield _rows(key[at], docs[s.first + t], rows[s.first + t], window[at] - w.doc_start[t], count, window=False)
@@ -186,7 +190,7 @@ def _second_pass(width: int):
                     row = rows[s.first + t]
                     key = mix(row.astype(U64) * U64(0x9E3779B97F4A7C15) + place.astype(U64))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), docs[s.first + t], row, (place << 20) | _KNOWN | _WINDOW)], ["key", "doc", "_row", "info"])
-                t, place, count = text[~done], info[~done] >> 20, (info[~done] >> 2) & 0x3FFFF
+                t, place, count = text[~done], info[~done] >> 20, (info[~done] >> 2) & _MOST
                 if len(t):
                     start = np.repeat(place + w.doc_start[t], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     t = np.repeat(t, count)

@@ -68,3 +68,10 @@ def test_query_digest(spark, odd_rows, tmp_path):
     got = {r["doc_id"]: r["kept_sha256"] for r in S.op9_substring_dedup(spark, str(tmp_path)).collect()}
     want = brute([(d, t or "") for d, t in odd_rows], 50)
     assert got == {d: hashlib.sha256(k.encode()).hexdigest() for d, (_, _, k) in want.items()}
+
+
+def test_a_symbol_of_more_windows_than_a_row_can_count(spark):
+    """The copy of a text of 300 000 words that repeats one phrase goes as a whole."""
+    text = "a b c d e f " * 50_000
+    rows = S.remove_repeats(with_row_ids(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows} == {1: (300_000, 0), 2: (300_000, 300_000)}
