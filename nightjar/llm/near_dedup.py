@@ -10,21 +10,24 @@ components of all links.
 2. The forest: each tree sorts the representatives by its own order of the
    signature.  Entries with the same first PREFIX values form a region; inside
    it they lie in the order of the following values, so neighbours share the
-   longest prefixes.  A region is searched at its base depth while it is small;
-   a region above REGION entries is searched at a greater depth (its runs of
-   equal further values), and a run that is still larger (a hot group of near
-   copies) is read block by block against the leaders found so far, so that the
-   depth adapts to each region.
+   longest prefixes.  A region is searched at its base depth while it is small.
+   A region above REGION entries (a hot group of near copies) is first linked
+   cheaply, within its runs of equal further values and between their first
+   entries, where more than REGION entries are read block by block against the
+   leaders found so far; step 5 then compares what is not linked yet.
 3. Inside a region the sketches discard pairs that cannot reach the threshold
    (the cut is five standard deviations below it), and a maximum spanning forest
    of the rest becomes candidates: linked groups need no further pairs.
 4. Candidates are verified on the full sets, read again from the texts.
 5. Where a candidate fails and its region held other pairs that it stood for, the
-   region's members are compared again, all with all, on their full sets: one
-   matrix product over the shingles that two of them share gives every
-   intersection.  A region of more than REGION members is dealt out in pairs of
-   chunks.  Only a forest of the links found leaves a task.  So no pair that
-   meets in any region goes untested unless its ends are already linked.
+   region's members are compared again on their full sets: one matrix product
+   over the shingles that two of them share gives every intersection.  Regions
+   above REGION entries, and those at the ends of a partition (a region may go on
+   in the next one), are compared in any case.  Pairs inside the largest component
+   of a region are linked already; the other members are compared with all.  A
+   region of more than REGION members is dealt out in pairs of chunks.  Only a
+   forest of the links found leaves a task.  So no pair that meets in any region
+   goes untested unless its ends are already linked.
 
 With 24 trees of base depth 4 a pair at exactly 0.8 is missed by all trees with
 probability (1 - 0.8**4)**24 < 1e-5.
@@ -173,7 +176,7 @@ class _Search:
     """Turns the runs of equal keys of a sorted stream into candidate pairs.
 
     Output rows: candidates (a, b), and for regions in which a candidate stands for further pairs
-    (spare) their members as (a, a).
+    (spare) their members as (a, a).  Members that are not spare are compared again in any case.
     """
 
     def __init__(self, least: int) -> None:
@@ -235,10 +238,18 @@ class _Search:
         if len(ids) <= REGION:
             return self.small(region, ids, sk)
         cut = np.flatnonzero(np.append(True, deep[1:] != deep[:-1]))
+        found, self.out = self.out, []
         for a, b in zip(cut, np.append(cut[1:], len(ids))):
             if b - a > 1:
-                own = (region * 31 + int(deep[a]) + (1 << 63)) % (1 << 64) - (1 << 63)  # the deeper region's name
-                (self.small if b - a <= REGION else self.large)(own, ids[a:b], sk[a:b])
+                (self.small if b - a <= REGION else self.large)(region, ids[a:b], sk[a:b])
+        if len(cut) > 1:
+            (self.small if len(cut) <= REGION else self.large)(region, ids[cut], sk[cut])
+        self.out = found + [(a, b, region, False) for a, b, _, _ in self.out if a != b]
+        self.whole(region, ids)
+
+    def whole(self, region: int, ids: np.ndarray) -> None:
+        """The members of a region that is compared again in any case."""
+        self.out += [(int(a), int(a), region, False) for a in ids]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -276,8 +287,11 @@ def _candidates(percent: int):
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Search(least)
+        search, last = _Search(least), None
         for (region, deep, ids, sk), begin, end in _runs(batches, SKETCH // 2):
+            if last is None:
+                search.whole(int(region[0]), ids[: end[0]])
+            last = int(region[begin[-1]]), ids[begin[-1] : end[-1]]
             two = begin[end - begin == 2]
             if len(two):  # most regions: one pair
                 ok = two[_agreement(sk[two], sk[two + 1]) >= least]
@@ -286,6 +300,9 @@ def _candidates(percent: int):
                 search.region(int(region[a]), deep[a:b], ids[a:b], sk[a:b])
             yield from _edges(search.out)
             search.out = []
+        if last is not None:
+            search.whole(*last)
+            yield from _edges(search.out)
 
     return run
 
@@ -302,25 +319,29 @@ def _sets(width: int):
     return run
 
 
-def linked_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each of some distinct sets, the first that it reaches by links between them."""
+def linked_labels(sets: list[np.ndarray], percent: int, some: np.ndarray | None = None) -> np.ndarray:
+    """For each of some distinct sets, the first that it reaches by links between them (given ``some``: by links
+    that have one of these at an end)."""
     n, size = len(sets), np.array([len(x) for x in sets])
+    some = np.arange(n) if some is None else some
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, common = np.repeat(np.arange(n), size), count > 1
     place = np.cumsum(common) - 1
     keep = common[column]
     row, column = row[keep], place[column[keep]]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((len(some), n), np.float32)
     for at in range(0, int(common.sum()), 4096):
         here = (column >= at) & (column < at + 4096)
         part = np.zeros((n, 4096), np.float32)
         part[row[here], column[here] - at] = 1
-        both += part @ part.T
-    linked = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-    np.fill_diagonal(linked, True)
+        both += part[some] @ part.T
+    linked = (both > 0) & (100 * both >= percent * (size[some, None] + size[None, :] - both))
+    linked[np.arange(len(some)), some] = True
     label = np.arange(n)
     while True:
-        new = np.where(linked, label[None, :], n).min(1)
+        new = label.copy()
+        new[some] = np.where(linked, label[None, :], n).min(1)
+        new = np.minimum(new, np.where(linked, new[some, None], n).min(0))
         new = new[new]
         if (new == label).all():
             return label
@@ -330,9 +351,10 @@ def linked_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _exact(percent: int):
     """Links (a, b) between different components from rows (region, id, comp, names) sorted by region."""
     def links(rows: list[tuple]) -> list[tuple]:
-        if len({r[1] for r in rows}) < 2:
+        comps, of, n = np.unique([r[1] for r in rows], return_inverse=True, return_counts=True)
+        if len(comps) < 2:
             return []
-        label = linked_labels([np.frombuffer(r[2], U64) for r in rows], percent)
+        label = linked_labels([np.frombuffer(r[2], U64) for r in rows], percent, np.flatnonzero(of != n.argmax()))
         return [(r[0], rows[k][0]) for r, k in zip(rows, label) if r[1] != rows[k][1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +365,8 @@ def _exact(percent: int):
                 if r != region:
                     out += links(rows)
                     region, rows = r, []
-                rows.append(row)
+                if not rows or rows[-1][0] != row[0]:
+                    rows.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
         if out := links(rows):
@@ -395,17 +418,23 @@ def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> Da
     tested = _verify(_pairs(found), own, width, percent)
     failed = tested.where("NOT linked").select("a", "b")
     spare = found.where("spare AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "region")
-    again = materialize(spare.join(failed, ["a", "b"]).select("region").distinct(), "again")
-    if not again.head(1):
+    again = spare.join(failed, ["a", "b"]).select("region").unionAll(found.where("a = b AND NOT spare").select("region")).distinct()
+    labels = components(tested.where("linked").select("a", "b"))
+    members = found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region")
+    members = materialize(members.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp")), "members")
+    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    sizes = sizes.where("main.n < n").select("region", F.col("main.comp").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("few"))
+    members = materialize(members.join(sizes, "region"), "unlinked")
+    if not members.head(1):
         return tested.where("linked").select("a", "b")
-    members = materialize(found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region"), "members")
     sets = materialize(own.join(members.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_row", "text").mapInArrow(_sets(width), "id long, names binary"), "sets")
-    labels = components(tested.where("linked").select("a", "b"))
-    chunks = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks")).withColumn("chunks", F.when(F.col("chunks") * BLOCK > REGION, F.col("chunks")).otherwise(1))
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    dealt = members.join(chunks, "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = F.when(F.col("chunks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")))
-    rows = dealt.select(part.alias("region"), "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp")).join(sets, "id")
+    chunks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("id"), chunks(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
+    small, large = members.where(F.col("n") <= REGION), members.where(F.col("n") > REGION)
+    # a chunk of the members outside the largest component meets each chunk of all members
+    dealt = large.select("region", "id", "comp", each("few").alias("i"), mine("n").alias("j")).unionAll(large.where("comp <> main").select("region", "id", "comp", mine("few").alias("i"), each("n").alias("j")))
+    rows = small.select("region", "id", "comp").unionAll(dealt.select(F.xxhash64("region", "i", "j").alias("region"), "id", "comp")).join(sets, "id")
     ordered = rows.select("region", "id", "comp", "names").repartition("region").sortWithinPartitions("region", "id")
     return tested.where("linked").select("a", "b").unionAll(ordered.mapInArrow(_exact(percent), "a long, b long"))
 

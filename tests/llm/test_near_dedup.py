@@ -117,3 +117,43 @@ def test_components_in_many_tasks(spark):
     want = {x: find(x) for x in range(400) if find(x) != x}
     for task_edges in (1000, 50):
         assert dict(components(spark.createDataFrame(edges, "a long, b long"), task_edges).collect()) == want
+
+
+def found_groups(spark, monkeypatch, rows, candidates):
+    """The links that come from the candidates of some entries (region, deep, id, sketch)."""
+    import pyarrow as pa
+
+    own = spark.createDataFrame(rows, "_row long, text string")
+    out = [x for part in candidates for b in near_dedup._candidates(80)(iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["region", "deep", "id", "sketch"])])) for x in b.to_pylist()]
+    found = spark.createDataFrame([(x["a"], x["b"], x["region"], x["spare"]) for x in out], near_dedup._EDGES)
+    return {frozenset((r["a"], r["b"])) for r in near_dedup._all_links(found, own, 4, 80).collect()}
+
+
+def entries(texts):
+    """The sketch of each text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from nightjar.llm.textnp import slices, words_of
+
+    (s,) = slices(pa.array(texts))
+    names, starts = near_dedup.shingle_sets(words_of(s, lower=True), 4)
+    return [np.asarray(x).tobytes() for x in near_dedup.packed(near_dedup.signatures(names, starts)[:, :64])]
+
+
+def test_entries_alone_in_their_run_of_a_large_region(spark, monkeypatch):
+    """Linked entries of a region above the limit of which no two agree in the further values."""
+    rng = random.Random(3)
+    texts = [prose(rng, 120) for _ in range(8)]
+    texts[7] = texts[2] + " end"
+    monkeypatch.setattr(near_dedup, "REGION", 6)
+    part = [(1, k, k, sk) for k, sk in enumerate(entries(texts))]
+    assert found_groups(spark, monkeypatch, list(enumerate(texts)), [part]) == {frozenset((2, 7))}
+
+
+def test_regions_cut_by_a_partition_border(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [prose(rng, 120) for _ in range(6)]
+    texts[5] = texts[1] + " end"
+    part = [(1, k, k, sk) for k, sk in enumerate(entries(texts))]
+    assert found_groups(spark, monkeypatch, list(enumerate(texts)), [part[:3], part[3:]]) == {frozenset((1, 5))}
