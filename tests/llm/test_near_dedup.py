@@ -157,3 +157,16 @@ def test_regions_cut_by_a_partition_border(spark, monkeypatch):
     texts[5] = texts[1] + " end"
     part = [(1, k, k, sk) for k, sk in enumerate(entries(texts))]
     assert found_groups(spark, monkeypatch, list(enumerate(texts)), [part[:3], part[3:]]) == {frozenset((1, 5))}
+
+
+def test_members_of_different_leaders_are_compared(spark, monkeypatch):
+    """All candidates to the leaders hold, and one link joins members of two leaders."""
+    rng = random.Random(5)
+    w = prose(rng, 120).split()
+    texts = [" ".join(w[:103] + [f"{p}{k}" for k in range(n)]) for p, n in (("x", 17), ("z", 0), ("y", 17))]
+    texts += [prose(rng, 120) for _ in range(5)]
+    lone = [(k * 37 % 256).to_bytes(1, "big") * 32 for k in range(8)]
+    lone[1] = lone[0]  # the second text agrees with the first leader only, and with no other
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    part = [(1, 9, k, sk) for k, sk in enumerate(lone)]
+    assert {frozenset((0, 1)), frozenset((1, 2))} <= found_groups(spark, monkeypatch, list(enumerate(texts)), [part])
