@@ -5,7 +5,9 @@ format, so a card number becomes another valid card number, a date another date
 of the same layout, and equal values become equal pseudonyms in all documents:
 
 * payment cards: 13 to 19 digits (blanks or hyphens between them stay), Luhn check;
-  all digits but the check digit are permuted, then the check digit is made anew
+  all digits but the check digit are permuted, then the check digit is made anew;
+  in a run of digit groups every stretch of whole groups is tried, from the left,
+  the longest first, so a card is found beside a year or a security code
 * IPv4 addresses: four numbers up to 255
 * telephone numbers ``+1 (ddd) ddd-dddd`` and the like: the ten digits
 * social security numbers ``ddd-dd-dddd`` of an area, group and serial in use
@@ -16,7 +18,9 @@ The permutation is a Feistel network over two halves Z_a x Z_b (8 rounds, round
 values from SHA-256 over key, kind, round and the other half).  Every domain is
 an exact product: ten digits are 10**5 x 10**5, the 146097 days of a Gregorian
 cycle are 189 x 773, and so on, so it is a bijection without cycle walking, and
-``reverse=True`` turns pseudonyms back.
+``reverse=True`` turns pseudonyms back.  The exception is a card beside other
+digit groups: where another stretch that is tried earlier happens to pass the
+Luhn check in the pseudonym, the reverse takes that one.
 
 Values that do not validate (a number with a wrong check digit, 300.1.1.1) stay.
 Only texts with a digit or an @ are searched at all.
@@ -39,8 +43,10 @@ _IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
 _DATE = r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})\b"
 _SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 _PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}\b"
-_CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
-PATTERN = "|".join((_EMAIL, _IPV4, _DATE, _SSN, _PHONE, _CARD))
+_OTHERS = "|".join((_EMAIL, _IPV4, _DATE, _SSN, _PHONE))
+#: A whole run of digit groups of 13 digits or more, up to a group that begins another kind of value.
+_CARD = rf"\b(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++\b(?:[ -](?!{_OTHERS})[0-9]++\b)*+"
+PATTERN = f"{_OTHERS}|{_CARD}"
 #: The default key of the registered query; production runs pass their own secret.
 KEY = "nightjar"
 _FIRST_DAY = "1800-01-01"
@@ -102,7 +108,8 @@ def _power10(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("long")
 
 
-def _card(key: str, m: Column, reverse: bool) -> Column:
+def _cards(key: str, m: Column, reverse: bool) -> Column:
+    """A run of digit groups with its cards replaced, and their number."""
     def permuted(d: Column) -> Column:
         n = F.length(d) - 1
         u = F.floor(n / 2).cast("int")
@@ -111,7 +118,29 @@ def _card(key: str, m: Column, reverse: bool) -> Column:
         payload = let(out, lambda s: F.concat(_pad(s["a"], u), _pad(s["b"], n - u)))
         return let(payload, lambda p: F.concat(p, F.pmod(-luhn_sum(p, True), F.lit(10)).cast("string")))
 
-    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(luhn_sum(d, False) % 10 == 0, _pour(permuted(d), m)).otherwise(m))
+    def longest(g: Column, i: Column) -> Column:
+        """How many groups from the i-th on are the longest card, or null."""
+        ends = F.transform(F.sequence(F.lit(1), F.least(F.size(g) - i, F.lit(19))), lambda j: F.struct(j.alias("j"), F.array_join(F.slice(g, i + 1, j), "").alias("d")))
+        valid = F.filter(F.filter(ends, lambda e: F.length(e["d"]).between(13, 19)), lambda e: luhn_sum(e["d"], False) % 10 == 0)
+        return F.array_max(F.transform(valid, lambda e: e["j"]))
+
+    def step(t: Column, i: Column, g: Column, blanks: Column) -> Column:
+        before = lambda x: F.when(x > 0, F.get(blanks, x - 1)).otherwise("")
+        plain = F.struct((i + 1).alias("next"), F.concat(t["s"], before(i), F.get(g, i)).alias("s"), t["n"].alias("n"))
+
+        def found(j: Column) -> Column:
+            mask = F.array_join(F.transform(F.sequence(i, i + j - 1), lambda x: F.concat(F.when(x > i, before(x)).otherwise(""), F.get(g, x))), "")
+            new = let(mask, lambda c: F.struct(c.alias("old"), _pour(let(F.regexp_replace(c, "[^0-9]", ""), permuted), c).alias("new")))
+            return let(new, lambda c: F.struct((i + j).alias("next"), F.concat(t["s"], before(i), c["new"]).alias("s"), (t["n"] + F.when(c["old"] != c["new"], 1).otherwise(0)).alias("n")))
+
+        return F.when(i < t["next"], t).otherwise(let(longest(g, i), lambda j: F.when(j.isNull(), plain).otherwise(found(j))))
+
+    def scanned(g: Column, blanks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("next"), F.lit("").alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, lambda t, i: step(t, i, g, blanks))
+
+    run = F.struct(F.split(m, "[ -]").alias("g"), F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)).alias("blanks"))
+    return let(let(run, lambda r: scanned(r["g"], r["blanks"])), lambda t: F.struct(t["s"].alias("s"), t["n"].alias("n")))
 
 
 def _phone(key: str, m: Column, reverse: bool) -> Column:
@@ -185,10 +214,11 @@ def _email(key: str, m: Column, reverse: bool) -> Column:
 
 
 def pseudonym(key: str, m: Column, reverse: bool = False) -> Column:
-    """The pseudonym of one found value, or the value itself if it does not validate."""
+    """A struct: the pseudonym of one match (``s``; the match itself where nothing validates), and how many values were replaced (``n``)."""
     is_ = lambda p: m.rlike(f"^(?:{p})$")
+    one = lambda f: let(f(key, m, reverse), lambda s: F.struct(s.alias("s"), F.when(s != m, 1).otherwise(0).alias("n")))
     return (
-        F.when(m.contains("@"), _email(key, m, reverse)).when(is_(_IPV4), _ipv4(key, m, reverse)).when(is_(_DATE), _date(key, m, reverse)).when(is_(_SSN), _ssn(key, m, reverse)).when(is_(_PHONE), _phone(key, m, reverse)).otherwise(_card(key, m, reverse))
+        F.when(m.contains("@"), one(_email)).when(is_(_IPV4), one(_ipv4)).when(is_(_DATE), one(_date)).when(is_(_SSN), one(_ssn)).when(is_(_PHONE), one(_phone)).otherwise(_cards(key, m, reverse))
     )
 
 
@@ -199,10 +229,9 @@ def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text", count: s
     searched = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     held = docs.select(F.struct(*others).alias("row") if others else F.lit(1).alias("row"), text.alias("text"), searched.alias("found"))
     held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(key, m, reverse))))
-    parts = F.zip_with(F.split("text", PATTERN, -1), F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    parts = F.zip_with(F.split("text", PATTERN, -1), F.concat("new.s", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     changed = F.when(F.col("new").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
-    n = F.coalesce(F.size(F.filter(F.arrays_zip("found", "new"), lambda z: z["found"] != z["new"])), F.lit(0))
-    n = F.when(F.col("new").isNull(), F.lit(0)).otherwise(n).cast("long")
+    n = F.coalesce(F.aggregate("new.n", F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
     return held.select(*(["row.*"] if others else []), changed.alias(column), n.alias(count))
 
 

@@ -92,6 +92,36 @@ def test_values_stay_linked_inside_texts(spark):
     assert re.findall(r"\d{16}", b) == [x] and a == f"pay {x}, then\n{x}." and c is None
 
 
+def scan(text):
+    """The cards of a run of digit groups by plain loops: from the left, the longest first."""
+    groups, out, i = list(re.finditer("[0-9]+", text)), [], 0
+    while i < len(groups):
+        ends = [j for j in range(len(groups), i, -1) if 13 <= len(d := "".join(g[0] for g in groups[i:j])) <= 19 and luhn(d)]
+        if ends:
+            out.append(text[groups[i].start() : groups[ends[0] - 1].end()])
+        i = ends[0] if ends else i + 1
+    return out
+
+
+def test_cards_beside_other_digit_groups(spark):
+    rng = random.Random(6)
+    four = lambda: " ".join(re.findall("....", card(rng)))
+    values = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/26", "2024 4111 1111 1111 1111", f"{four()} {four()}", "4111-1111-1111-1111 2024-05-06", "7 4111 1111 1111 1111 10.0.0.1"]
+    values += [" ".join([str(rng.randrange(10**4)), four(), str(rng.randrange(10**3)), four()]) for _ in range(40)] + [" ".join(str(rng.randrange(100)) for _ in range(60)) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, text string")
+    for v, r in zip(values, pii.pseudonymize(df).orderBy("k").collect()):
+        cards = scan(re.sub(r" (12/26|2024-05-06|10\.0\.0\.1)$", "", v))
+        assert cards or len(v.split()) == 60
+        rest, others = v, r["text"]
+        for c in cards:
+            before, rest = rest.split(c, 1)
+            new = others[len(before) : len(before) + len(c)]
+            assert others.startswith(before) and new != c and luhn(re.sub(r"\D", "", new)) and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", c)
+            others = others[len(before) + len(c) :]
+        other = bool(re.search(r"2024-05-06|10\.0\.0\.1", rest))
+        assert (others != rest) == other and r["n_values"] == len(cards) + other
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a@b.example 1.2.3.4 999.1.1.1", "z")], "id long, text string, row string")
     r = pii.pseudonymize(df).first()
