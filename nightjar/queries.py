@@ -393,9 +393,10 @@ def _two_stage(spark, sf_dir, window: int) -> DataFrame:
     from .rules.model import Chain, Stage
     from .storage import materialize
 
+    # the SQL leaves out anchors that are phantom parents
     c = Chain("CHAIN-MAC-900", "shell below script", "macos", "high", window, (Stage("script", {"process_name": "osascript"}), Stage("shell", {"process_name_any": ["sh", "bash", "zsh"]}, "child")))
     found = chains.match_chains(materialize(lineage.build(process_events(spark, sf_dir)), "nodes"), [c])
-    return found.where("concrete").select("anchor", F.col("stages")[1]["node_key"].alias("last"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
+    return found.select("anchor", F.col("stages")[1]["node_key"].alias("last"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 
 _MAC = f"""WITH RECURSIVE {_NODES}, walk AS (
@@ -416,7 +417,7 @@ def chain_descendant(spark, sf_dir):
     from .storage import materialize
 
     found = chains.match_chains(materialize(lineage.build(process_events(spark, sf_dir)), "nodes"), [c for c in CHAINS if c.id == "CHAIN-MAC-001"])
-    return found.where("concrete").select("anchor", F.col("stages")[1]["node_key"].alias("k1"), F.col("stages")[2]["node_key"].alias("k2"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
+    return found.select("anchor", F.col("stages")[1]["node_key"].alias("k1"), F.col("stages")[2]["node_key"].alias("k2"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 
 @query("incidents_scored")
@@ -428,7 +429,7 @@ def incidents_scored(spark, sf_dir):
 @query("incident_filters")
 def incident_filters(spark, sf_dir):
     found = chains.incidents(lineage.build(process_events(spark, sf_dir)), CHAINS)
-    return Q.get_incidents(found, severity="critical", min_score=100).select("chain_id", "host", "score", "fingerprint")
+    return Q.get_incidents(found, severity="critical", min_score=100, limit=None).select("chain_id", "host", "score", "fingerprint")
 
 
 # ------------------------------------------------------------- export
