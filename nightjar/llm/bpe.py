@@ -2,19 +2,27 @@
 
 ``encode`` turns a text column into token ids, ``decode`` turns ids back into
 raw bytes.  Both run the tiktoken library over a local rank file inside
-``mapInArrow``.  A long text is first cut at safe boundaries so that the
-library's regular expression never sees more than about a hundred thousand
-characters: a cut goes before a space that stands between two characters which
-are not white space.  No match of the pattern crosses such a place (an
-alternative either starts with white space or has none, and its white space run
-would have to end at a visible character that the run cannot contain), and the
-look-ahead of ``\\s+(?!\\S)`` never looks across it, so the ids are those of the
-uncut text.
+``mapInArrow``.  A long text is first cut so that the library's regular
+expression never sees more than about a hundred thousand characters, and no long
+run of white space, whose look-ahead would overflow its stack:
+
+* Cuts go before white space that follows a visible character, between a letter
+  and a digit or a mark of punctuation behind it, and between a digit and a
+  letter.  No alternative of the pattern has both characters of such a place, so
+  a match of the uncut text ends there; and what follows sees the same text as
+  before, so the ids are those of the uncut text.  A run without such a place
+  (letters only, marks only) is one match, which the pattern takes as a whole.
+* Of a run of white space ``\\s+(?!\\S)`` takes everything at the end of the
+  text, otherwise all but the last character, as one match.  A run of RUN
+  characters or more is encoded as that match, without the regular expression.
+
+This holds for the pattern of ``public_tokenizers`` (a run of letters, digits or
+other marks, each with one leading space, contractions, and white space).
 
 Defined results: a null text encodes as the empty text (no ids, no bytes);
-null ids decode to no bytes; repeated rows and extra columns pass through
-``encode`` unchanged, except that an existing column with the output's name is
-replaced.
+null ids decode to no bytes; white space of any length and texts without any
+are encoded whole; repeated rows and extra columns pass through ``encode``
+unchanged, except that an existing column with the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .textnp import trim
 
 #: Characters a piece of a long text has at least, before the next safe boundary.
 PIECE_CHARS = 100_000
+#: White-space characters of a run, in long texts, that are encoded as the match they are.
+RUN = 4096
 #: Rows that go through the library between two Arrow batches of output.
 ROWS = 512
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+# The characters of Unicode's White_Space, and letters and marks that have been such since early versions.
+_SPACE = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_LETTER = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u0410-\u044F\u05D0-\u05EA\u0621-\u063A\u0E01-\u0E30\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3"
+_MARK = "!-&(-/:-@\\[-`{-~\u3001\u3002\u300C-\u300F\uFF01\uFF0C\uFF1A\uFF1B\uFF1F"
+_SAFE = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[{_LETTER}])(?=[0-9{_MARK}])|(?<=[0-9])(?=[{_LETTER}])")
 
 
 @lru_cache(maxsize=4)
@@ -49,21 +64,33 @@ def load_encoding(ranks: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut a text at safe boundaries at least ``size`` characters apart."""
+def pieces(text: str, size: int | None = None, run: int | None = None) -> Iterator[tuple[str, bool]]:
+    """Cut a text at safe boundaries at least ``size`` characters apart and around long runs of white space; the second
+    value tells whether a piece is one match as it stands."""
+    size, run = size or PIECE_CHARS, run or RUN
+    at = 0
+    for m in re.finditer(f"[{_SPACE}]{{{run},}}", text):
+        yield from ((x, False) for x in _cut(text[at : m.start()], size))
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[m.start() : at], True
+    yield from ((x, False) for x in _cut(text[at:], size))
+
+
+def _cut(text: str, size: int) -> Iterator[str]:
     at = 0
     while len(text) - at > size and (m := _SAFE.search(text, at + size)):
         yield text[at : m.start()]
         at = m.start()
-    yield text[at:] if at else text
+    if at < len(text):
+        yield text[at:]
 
 
 def encode_text(encoding, text: str) -> list[int]:
     if len(text) <= PIECE_CHARS:
         return encoding.encode_ordinary(text)
     out: list[int] = []
-    for piece in pieces(text):
-        out += encoding.encode_ordinary(piece)
+    for piece, whole in pieces(text):
+        out += encoding._encode_single_piece(piece) if whole else encoding.encode_ordinary(piece)
     return out
 
 
@@ -86,6 +113,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, column: str = "text", output
                 np.cumsum([len(x) for x in ids], out=ends[1:])
                 values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*others, output])
+            trim()
 
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`")).mapInArrow(run, schema)
 
@@ -108,6 +136,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, column: str = "ids", output:
                 ids = b.column(kept.index(column))
                 out = [b"".join(map(by_id.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in ids]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*kept, output])
+            trim()
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
