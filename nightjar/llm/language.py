@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textnp import LETTERS, U64, Slice, lowered, mix, slices, words_of
+from .textnp import LETTERS, U64, Slice, lowered, mix, slices, trim, words_of
 
 PER_LANGUAGE, SEGMENT = 250, 2000
 BUCKETS = 1 << 16
-#: Bytes of text that are labelled at a time; features and posteriors take about a hundred times as much.
-SLICE = 1 << 19
+#: Bytes of text that are labelled at a time, and distinct words whose features are made at a time.
+SLICE, WORDS = 1 << 19, 4096
 CHAIN, STEPS, RATE, PENALTY = 96, 40, 0.5, 1e-4
 BLOCK = 128
 UNKNOWN = "und"
@@ -62,7 +62,8 @@ def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: np.ndar
     """(row, bucket, value) of every feature of the words data[begin:end] (lower case)."""
     n, size = len(begin), end - begin
     rows, buckets, values = [np.arange(n)], [_bucket(name, 1)], [np.ones(n, np.float32)]
-    padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(U64)
+    padded = np.zeros(len(data) + 4, np.uint8)
+    padded[: len(data)] = data
     for k in range(1, 5):
         at = np.flatnonzero(size >= k)
         for kind, first in ((1 + k, begin[at]), (5 + k, end[at] - k)):
@@ -70,7 +71,7 @@ def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: np.ndar
                 continue
             code = np.zeros(len(at), U64)
             for j in range(k):
-                code = (code << U64(8)) | padded[first + j]
+                code = (code << U64(8)) | padded[first + j].astype(U64)
             rows.append(at), buckets.append(_bucket(code, kind)), values.append(np.full(len(at), 0.5, np.float32))
     for k in (2, 3):
         count = np.maximum(size - k + 1, 0)
@@ -78,7 +79,7 @@ def features(data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: np.ndar
         place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
         code = np.zeros(len(row), U64)
         for j in range(k):
-            code = (code << U64(8)) | padded[place + j]
+            code = (code << U64(8)) | padded[place + j].astype(U64)
         rows.append(row), buckets.append(_bucket(code, 10 + k)), values.append((2.0 / count[row]).astype(np.float32))
     return np.concatenate(rows), np.concatenate(buckets), np.concatenate(values)
 
@@ -94,11 +95,15 @@ class Model:
     lexicon_scale: float
 
     def scores(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, name: np.ndarray) -> np.ndarray:
-        row, bucket, value = features(data, begin, end, name)
+        """Emission scores of words, WORDS of them at a time."""
         out = np.empty((len(begin), len(self.languages)), np.float64)
-        for k in range(out.shape[1]):
-            out[:, k] = np.bincount(row, self.weights[bucket, k] * value, minlength=len(begin))
-        return out + self.lexicon_scale * _lookup(self.lexicon, self.lexicon_weights, name)
+        for at in range(0, len(begin), WORDS):
+            part = slice(at, at + WORDS)
+            row, bucket, value = features(data, begin[part], end[part], name[part])
+            for k in range(out.shape[1]):
+                out[part, k] = np.bincount(row, self.weights[bucket, k] * value, minlength=len(begin[part]))
+            out[part] += self.lexicon_scale * _lookup(self.lexicon, self.lexicon_weights, name[part])
+        return out
 
 
 def _lookup(lexicon: np.ndarray, share: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -330,6 +335,7 @@ def _predict(model: Model | None, with_labels: bool):
                 langs, scores, marks = label_slice(model, s, with_labels)
                 out = [b.column(0).slice(s.first, s.n_docs), pa.array(langs), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(marks, pa.list_(pa.string()))] * with_labels, names)
+            trim()
 
     return run
 
@@ -343,6 +349,7 @@ def drop_rejected(docs: DataFrame, model: Model | None, least: float = LEAST_SCO
             for s in slices(b.column(place), SLICE):
                 langs, scores, _ = label_slice(model, s)
                 yield b.slice(s.first, s.n_docs).filter(pa.array((scores >= least) & (np.array(langs) != UNKNOWN)))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 
