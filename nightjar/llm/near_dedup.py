@@ -18,16 +18,19 @@ components of all links.
 3. Inside a region the sketches discard pairs that cannot reach the threshold
    (the cut is five standard deviations below it), and a maximum spanning forest
    of the rest becomes candidates: linked groups need no further pairs.
-4. Candidates are verified on the full sets, read again from the texts.
+4. Candidates are verified on the full sets, read again from the texts; there
+   words and shingles are compared as they are, not by hashed names.
 5. Where a candidate fails and its region held other pairs that it stood for, the
    region's members are compared again on their full sets: one matrix product
    over the shingles that two of them share gives every intersection.  Regions
    above REGION entries, and those at the ends of a partition (a region may go on
-   in the next one), are compared in any case.  Pairs inside the largest component
-   of a region are linked already; the other members are compared with all.  A
-   region of more than REGION members is dealt out in pairs of chunks.  Only a
-   forest of the links found leaves a task.  So no pair that meets in any region
-   goes untested unless its ends are already linked.
+   in the next one), are compared in any case: first one member of each component
+   with those of the others, so that the pieces of a group grow together; then the
+   members outside the region's largest component with all (pairs inside it are
+   linked already).  A region of more than REGION members is dealt out in pairs of
+   chunks.  Only a forest of the links found leaves a task, and those links are
+   verified like candidates.  So no pair that meets in any region goes untested
+   unless its ends are already linked.
 
 With 24 trees of base depth 4 a pair at exactly 0.8 is missed by all trees with
 probability (1 - 0.8**4)**24 < 1e-5.
@@ -44,15 +47,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filtered, materialize, table, with_row_ids
 from .graph import components
-from .textnp import U64, Words, mix, sequence_names, slices, words_of
+from .textnp import U64, Words, _join, _join_numbers, both_words_of, mix, numbered_words, sequence_names, slices, trim, words_of
 
 TREES, PREFIX, SKETCH = 24, 4, 64
 REGION, BLOCK, CELLS = 2048, 1024, 1 << 24
+#: Bytes of text that are verified together.
+PAIR_BYTES = 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(5))
 _A = _RNG.integers(1, 2**64, TREES * PREFIX, dtype=U64) | U64(1)
 #: Equal four-bit values in a byte of two, by the exclusive or of the bytes.
@@ -61,24 +67,38 @@ _SIGNED = "_row long, doc_id long, n_shingles long, set_key binary, sketch binar
 _EDGES = "a long, b long, region long, spare boolean"
 
 
-def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle names of each text, end to end, and where each text's begin."""
+def _padded(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names and starts of the texts, those of fewer than ``width`` words (but not of none) filled up with the name 0,
+    and each entry's place in ``w`` (-1: filled up)."""
     n_words = np.diff(w.doc_start)
-    names, n = sequence_names(w.name, width), len(w.name)
-    doc_of = np.repeat(np.arange(len(n_words)), n_words)
-    fits = (np.repeat(w.doc_start[1:], n_words) - np.arange(n)) >= width
-    at = np.flatnonzero(fits[: len(names)])
-    docs, names = doc_of[at], names[at]
-    short = np.flatnonzero((n_words > 0) & (n_words < width))
-    if len(short):
-        whole = np.array([sequence_names(w.name[a:b], b - a)[0] for a, b in zip(w.doc_start[short], w.doc_start[short + 1])], U64)
-        docs, names = np.concatenate([docs, short]), np.concatenate([names, whole])
+    size = np.where(n_words > 0, np.maximum(n_words, width), 0)
+    if (size == n_words).all():
+        return w.name, w.doc_start, np.arange(len(w.name))
+    start = np.concatenate([[0], np.cumsum(size)])
+    of = np.full(start[-1], -1)
+    of[np.arange(len(w.name)) + np.repeat(start[:-1] - w.doc_start[:-1], n_words)] = np.arange(len(w.name))
+    return np.where(of >= 0, w.name[of] if len(w.name) else U64(0), U64(0)), start, of
+
+
+def shingle_sets(w: Words, width: int, join=_join) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle names of each text, end to end, and where each text's begin."""
+    return double_sets(w, None, width, join)[::2]
+
+
+def double_sets(w: Words, other: Words | None, width: int, join=_join) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """``shingle_sets`` with the same shingles' names by a second family of word names between the two."""
+    name, start, of = _padded(w, width)
+    n = np.diff(start)
+    at = np.flatnonzero(np.repeat(start[1:], n) - np.arange(start[-1]) >= width)
+    docs, names = np.repeat(np.arange(len(n)), n)[at], sequence_names(name, width, join)[at]
     order = np.lexsort((names, docs))
-    docs, names = docs[order], names[order]
+    docs, names, at = docs[order], names[order], at[order]
     new = np.ones(len(names), bool)
     new[1:] = (names[1:] != names[:-1]) | (docs[1:] != docs[:-1])
-    docs, names = docs[new], names[new]
-    return names, np.searchsorted(docs, np.arange(len(n_words) + 1))
+    second = None
+    if other is not None:
+        second = sequence_names(np.where(of >= 0, other.name[of] if len(other.name) else U64(0), U64(0)), width, join)[at[new]]
+    return names[new], second, np.searchsorted(docs[new], np.arange(len(n) + 1))
 
 
 def signatures(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -107,14 +127,14 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b.column(2)):
-                names, starts = shingle_sets(words_of(s, lower=True), width)
+                names, second, starts = double_sets(*both_words_of(s, lower=True), width)
                 size = np.diff(starts)
                 full = np.flatnonzero(size)
                 sig = signatures(names, np.append(starts[:-1][full], len(names))) if len(full) else np.zeros((0, TREES * PREFIX), np.uint32)
                 total = np.zeros((len(size), 2), U64)
                 if len(full):
-                    for c, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                        total[full, c] = np.add.reduceat(mix(names ^ U64(salt)), starts[:-1][full])
+                    for c, family in enumerate((names, second)):
+                        total[full, c] = np.add.reduceat(mix(family), starts[:-1][full])
                 sketch = packed(sig[:, :SKETCH])
                 wide = sig.reshape(-1, TREES, PREFIX).astype(U64)
                 region = np.broadcast_to(np.arange(1, TREES + 1, dtype=U64), wide.shape[:2])
@@ -137,6 +157,7 @@ def _sign(width: int):
                     ],
                     ["_row", "doc_id", "n_shingles", "set_key", "sketch", "regions", "deeps"],
                 )
+            trim()
 
     return run
 
@@ -262,19 +283,29 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _runs(batches: Iterator[pa.RecordBatch], width: int):
     """Blocks of whole regions of a stream sorted by region: the columns, the last of them a matrix, and each region's bounds."""
-    rest = None
+    held: list[list[np.ndarray]] = []  # parts of a region that may go on
+
+    def whole():
+        cols = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        return cols, np.zeros(1, np.int64), np.array([len(cols[0])])
+
     for b in batches:
         if not b.num_rows:
             continue
         cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns - 1)] + [_matrix(b.column(b.num_columns - 1), width)]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if held and held[-1][0][-1] != cols[0][0]:
+            yield whole()
         cut = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-        rest = [c[cut[-1] :] for c in cols]
-        if len(cut) > 1:
-            yield cols, cut[:-1], cut[1:]
-    if rest is not None:
-        yield rest, np.zeros(1, np.int64), np.array([len(rest[0])])
+        if held and len(cut) > 1:  # the open region ends here
+            held.append([c[: cut[1]] for c in cols])
+            yield whole()
+            cols, cut = [c[cut[1] :] for c in cols], cut[1:] - cut[1]
+        if cut[-1] > 0:
+            yield [c[: cut[-1]] for c in cols], cut[:-1], cut[1:]
+        held.append([c[cut[-1] :] for c in cols])
+    if held:
+        yield whole()
 
 
 def _edges(out: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -381,23 +412,37 @@ def _forest(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(_candidates(percent), _EDGES)
 
 
+def _pair_groups(x: pa.Array, y: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts are PAIR_BYTES together at most (one row at least)."""
+    size = np.cumsum(pa.compute.binary_length(x).to_numpy() + pa.compute.binary_length(y).to_numpy())
+    first, done = 0, 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(size, done + PAIR_BYTES, side="right")))
+        yield first, last
+        first, done = last, int(size[last - 1])
+
+
+def _linked(x: pa.Array, y: pa.Array, width: int, percent: int) -> list[bool]:
+    """Whether texts are linked row by row. Their words and shingles are numbered together, without any hash."""
+    both = pa.concat_arrays([x, y]).cast(pa.large_binary())
+    (s,) = slices(both, 1 << 62)
+    names, starts = shingle_sets(numbered_words(s, lower=True), width, _join_numbers)
+    sets, n, out = np.split(names, starts[1:-1]), len(x), []
+    for a, b in zip(sets[:n], sets[n:]):
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
+    return out
+
+
 def _check(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                sides = []
-                for c in (2, 3):
-                    parts: list[np.ndarray] = []
-                    for s in slices(b.column(c)):
-                        names, starts = shingle_sets(words_of(s, lower=True), width)
-                        parts += np.split(names, starts[1:-1])
-                    sides.append(parts)
-                linked = []
-                for x, y in zip(*sides):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        for b in batches:
+            x, y = (b.column(k).cast(pa.large_binary()) for k in (2, 3))
+            for first, last in _pair_groups(x, y):
+                part = slice(first, last)
+                linked = _linked(x[part], y[part], width, percent)
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            trim()
 
     return run
 
@@ -413,30 +458,51 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """``members`` (region, id, comp) of the regions that hold several components, with the largest one (main), the
+    number of members (n) and of those outside it (few)."""
+    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
+    sizes = sizes.where("main.n < n").select("region", F.col("main.comp").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("few"))
+    return materialize(members.join(sizes, "region"), "unlinked")
+
+
+def _compare(rows: DataFrame, sets: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between components among ``rows`` (region, id, comp), each region in one task."""
+    ordered = rows.join(sets, "id").select("region", "id", "comp", "names").repartition("region").sortWithinPartitions("region", "id")
+    found = materialize(ordered.mapInArrow(_exact(percent), "a long, b long"), "near-links")
+    return _verify(_pairs(found), own, width, percent).where("linked").select("a", "b")
+
+
 def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) from the candidates of the forest; spans the components of all links."""
     tested = _verify(_pairs(found), own, width, percent)
     failed = tested.where("NOT linked").select("a", "b")
     spare = found.where("spare AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "region")
     again = spare.join(failed, ["a", "b"]).select("region").unionAll(found.where("a = b AND NOT spare").select("region")).distinct()
-    labels = components(tested.where("linked").select("a", "b"))
+    links = tested.where("linked").select("a", "b")
+    labels = components(links)
     members = found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region")
-    members = materialize(members.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp")), "members")
-    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
-    sizes = sizes.where("main.n < n").select("region", F.col("main.comp").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("few"))
-    members = materialize(members.join(sizes, "region"), "unlinked")
+    members = members.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"))
+    members = _apart(materialize(members, "members"))
     if not members.head(1):
-        return tested.where("linked").select("a", "b")
+        return links
     sets = materialize(own.join(members.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_row", "text").mapInArrow(_sets(width), "id long, names binary"), "sets")
+    heads = members.where(F.col("n") > REGION).groupBy("region", "comp").agg(F.min("id").alias("id"))
+    few = heads.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= REGION).select("region")
+    joined = _compare(heads.join(few, "region").select("region", "id", "comp"), sets, own, width, percent)
+    if joined.head(1):  # pieces of large regions have grown together
+        links = materialize(links.unionAll(joined), "grown")
+        labels = components(links)
+        members = members.select("region", "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"))
+        members = _apart(members)
     chunks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("id"), chunks(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
     small, large = members.where(F.col("n") <= REGION), members.where(F.col("n") > REGION)
     # a chunk of the members outside the largest component meets each chunk of all members
     dealt = large.select("region", "id", "comp", each("few").alias("i"), mine("n").alias("j")).unionAll(large.where("comp <> main").select("region", "id", "comp", mine("few").alias("i"), each("n").alias("j")))
-    rows = small.select("region", "id", "comp").unionAll(dealt.select(F.xxhash64("region", "i", "j").alias("region"), "id", "comp")).join(sets, "id")
-    ordered = rows.select("region", "id", "comp", "names").repartition("region").sortWithinPartitions("region", "id")
-    return tested.where("linked").select("a", "b").unionAll(ordered.mapInArrow(_exact(percent), "a long, b long"))
+    rows = small.select("region", "id", "comp").unionAll(dealt.select(F.xxhash64("region", "i", "j").alias("region"), "id", "comp"))
+    return links.unionAll(_compare(rows, sets, own, width, percent))
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

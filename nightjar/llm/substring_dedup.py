@@ -14,20 +14,25 @@ its being formed depended on; it is tracked through the rounds.  A symbol whose
 reach lies inside a window is therefore found in every occurrence of that
 window.
 
-1. Each window is represented by one such symbol, the one with the smallest
-   name (windows that contain none, about 3 %, stand for themselves).
+1. Each window is represented by one such symbol, the longest and of these the
+   one with the smallest name (windows that contain none, about 3 %, stand for
+   themselves).
 2. A shuffle by name tells which symbols occur in more than one document.
 3. Only windows whose symbol is shared are named themselves; a second shuffle
    finds for each the smallest document that holds it.  That verifies every
    repeat at full width, whatever symbol led to it.
 4. The words under the windows found are removed from the texts.
 
-Names are 64-bit content names rather than dense integers: the rounds then need
-no shuffle at all, where dense names would shuffle about nine times the input.
+Names are content names rather than dense integers: the rounds then need no
+shuffle at all, where dense names would shuffle about nine times the input.  A
+symbol's name only selects what is looked at further; two windows count as equal
+when two independent 64-bit names of their whole word sequences are both equal,
+each made from the words' bytes with a seed of its own.
 
-Names that many documents of one slice share go into the shuffle once per
-slice; the other rows already know their result and are dealt out evenly.  So a
-passage that a third of all documents hold is not gathered in one task.
+Names that many documents of one Arrow batch share go into the shuffle once per
+batch (or FLUSH_ROWS rows); the other rows already know their result and are
+dealt out evenly.  So a passage that a third of all documents hold is not
+gathered in one task.
 
 Defined results: a null or empty text has no words; a null doc_id counts as
 larger than all others; rows with equal doc_ids never remove from each other;
@@ -46,13 +51,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, with_row_ids
-from .textnp import U64, Words, mix, sequence_names, slices, window_starts, words_of
+from .textnp import U64, Words, both_words_of, mix, sequence_names, slices, trim, window_starts
 
 WIDTH, ROUNDS, LONG = 50, 8, 10
 _FAR = 1 << 40
 _LAST = (1 << 63) - 1
 #: Rows of a names shuffle: info packs the place, the number of windows, and two flags.
-_ROWS = "key long, doc long, _row long, info long"
+_ROWS = "key long, key2 long, doc long, _row long, info long"
+#: Rows among which names are brought down to one before they are shuffled.
+FLUSH_ROWS = 400_000
 _KNOWN, _WINDOW = 1, 2
 #: Most windows of one row: the number has 18 bits of info.
 _MOST = (1 << 18) - 1
@@ -71,6 +78,12 @@ def _shifted(x: np.ndarray, by: int, fill: int, same: np.ndarray) -> np.ndarray:
 def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, long: int = LONG):
     """Symbols of the last round over words ``name`` of texts ``doc``: (symbol, begin, low, high);
     [low, high) is the reach."""
+    sym, begin, _, low, high = _symbols(name, doc, rounds, long)
+    return sym, begin, low, high
+
+
+def _symbols(name: np.ndarray, doc: np.ndarray, rounds: int, long: int = LONG):
+    """``recompress`` with each symbol's end: (symbol, begin, end, low, high)."""
     n = len(name)
     sym, begin, end = name, np.arange(n), np.arange(1, n + 1)
     low, high = begin.copy(), end.copy()
@@ -104,18 +117,20 @@ def recompress(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, long: in
         end[at] = end[at + 1]
         keep = ~second
         sym, begin, end, low, high, doc = sym[keep], begin[keep], end[keep], new_low[keep], new_high[keep], doc[keep]
-    return sym, begin, low, high
+    return sym, begin, end, low, high
 
 
 def representatives(w: Words, width: int, rounds: int = ROUNDS):
     """The representing symbol of every window.
 
-    Returns (window, key): the window's first word and its symbol's name, and the windows that have none.
+    Returns (window, key): the window's first word and its symbol's key, and the windows that have none.
+    A key is smaller the longer its symbol is: 63 less the length in six bits, the name below them.
     """
     n = len(w.name)
     window = np.flatnonzero(window_starts(w.doc_start, width))
     doc = np.repeat(np.arange(len(w.doc_start) - 1), np.diff(w.doc_start))
-    sym, begin, low, high = recompress(w.name, doc, rounds)
+    sym, begin, end, low, high = _symbols(w.name, doc, rounds)
+    sym = (U64(63) - np.minimum(end - begin, 63).astype(U64) << U64(58)) | (sym >> U64(6))
     ok = high - low <= width
     sym, begin, low, high = sym[ok], begin[ok], low[ok], high[ok]
     best = np.full(len(window), np.iinfo(np.uint64).max, U64)
@@ -134,27 +149,57 @@ def representatives(w: Words, width: int, rounds: int = ROUNDS):
     return window[has], best[has], window[~has]
 
 
-def _rows(key, doc, row, place, count, window: bool) -> pa.RecordBatch:
-    """Rows of a names shuffle. Of the rows of one key only those that cannot yet tell their result keep it."""
-    order = np.lexsort((doc, key))
-    key, doc, row, place, count = (x[order] for x in (key, doc, row, place, count))
+def _rows(key, key2, doc, row, place, count, window: bool) -> pa.RecordBatch:
+    """Rows of a names shuffle. Of the rows of one name only those that cannot yet tell their result keep it."""
+    order = np.lexsort((doc, key2, key) if window else (doc, key))
+    key, key2, doc, row, place, count = (x[order] for x in (key, key2, doc, row, place, count))
     head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
+    head[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
     group = np.cumsum(head) - 1
     first = np.flatnonzero(head)
     low, high = doc[first][group], doc[np.append(first[1:], len(key)) - 1][group]
     known = (doc > low) if window else (high > low)
-    key = np.where(known & ~head, mix(row.astype(U64) * U64(0x9E3779B97F4A7C15) + place.astype(U64)), key)
+    spread = known & ~head
+    key = np.where(spread, mix(row.astype(U64) * U64(0x9E3779B97F4A7C15) + place.astype(U64)), key)
+    key2 = np.where(spread, U64(0), key2)
     info = (place << 20) | (count << 2) | np.where(known, _KNOWN, 0) | (_WINDOW if window else 0)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), doc, row, info)], ["key", "doc", "_row", "info"])
+    return _batch(key, key2, doc, row, info)
+
+
+def _batch(key, key2, doc, row, info) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), key2.view(np.int64), doc, row, info)], ["key", "key2", "doc", "_row", "info"])
+
+
+class _Gathered:
+    """Collects rows of a names shuffle over several slices, up to FLUSH_ROWS."""
+
+    def __init__(self, window: bool) -> None:
+        self.window, self.parts, self.n = window, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(columns)
+        self.n += len(columns[0])
+        if self.n >= FLUSH_ROWS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield _rows(*(np.concatenate(c) for c in zip(*self.parts)), window=self.window)
+        self.parts, self.n = [], 0
+
+
+def _window_names(both: list[Words], width: int, start: np.ndarray) -> list[np.ndarray]:
+    """The two names of the windows that begin at some words."""
+    return [sequence_names(w.name, width)[start] for w in both]
 
 
 def _first_pass(width: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, docs = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            symbols, alone = _Gathered(window=False), _Gathered(window=True)
             for s in slices(b.column(2)):
-                w = words_of(s)
+                w, other = both_words_of(s)
                 text_of = np.repeat(np.arange(s.n_docs), np.diff(w.doc_start))
                 window, key, bare = representatives(w, width, rounds)
                 if len(window):  # neighbouring windows with one symbol make one row
@@ -166,10 +211,13 @@ def _first_pass(width: int, rounds: int):
                     at = np.flatnonzero(nth % _MOST == 0)
                     count = np.diff(np.append(at, len(window)))
                     t = t[at]
-                    yield _rows(key[at], docs[s.first + t], rows[s.first + t], window[at] - w.doc_start[t], count, window=False)
+                    yield from symbols.add(key[at], np.zeros(len(at), U64), docs[s.first + t], rows[s.first + t], window[at] - w.doc_start[t], count)
                 if len(bare):
                     t = text_of[bare]
-                    yield _rows(sequence_names(w.name, width)[bare], docs[s.first + t], rows[s.first + t], bare - w.doc_start[t], np.ones(len(bare), np.int64), window=True)
+                    yield from alone.add(*_window_names([w, other], width, bare), docs[s.first + t], rows[s.first + t], bare - w.doc_start[t], np.ones(len(bare), np.int64))
+            yield from symbols.flush()
+            yield from alone.flush()
+            trim()
 
     return run
 
@@ -179,8 +227,10 @@ def _second_pass(width: int):
         for b in batches:
             rows, docs = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             marks = b.column(3)
+            found = _Gathered(window=True)
             for s in slices(b.column(2)):
-                w = words_of(s)
+                both = both_words_of(s)
+                w = both[0]
                 own = marks.slice(s.first, s.n_docs)
                 info = own.flatten().to_numpy()
                 text = np.repeat(np.arange(s.n_docs), pa.compute.list_value_length(own).to_numpy())
@@ -189,12 +239,14 @@ def _second_pass(width: int):
                 if len(t):  # windows that the first shuffle has settled
                     row = rows[s.first + t]
                     key = mix(row.astype(U64) * U64(0x9E3779B97F4A7C15) + place.astype(U64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), docs[s.first + t], row, (place << 20) | _KNOWN | _WINDOW)], ["key", "doc", "_row", "info"])
+                    yield _batch(key, np.zeros(len(t), U64), docs[s.first + t], row, (place << 20) | _KNOWN | _WINDOW)
                 t, place, count = text[~done], info[~done] >> 20, (info[~done] >> 2) & _MOST
                 if len(t):
                     start = np.repeat(place + w.doc_start[t], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     t = np.repeat(t, count)
-                    yield _rows(sequence_names(w.name, width)[start], docs[s.first + t], rows[s.first + t], start - w.doc_start[t], np.ones(len(start), np.int64), window=True)
+                    yield from found.add(*_window_names(both, width, start), docs[s.first + t], rows[s.first + t], start - w.doc_start[t], np.ones(len(start), np.int64))
+            yield from found.flush()
+            trim()
 
     return run
 
@@ -220,6 +272,7 @@ def _cut_words(width: int):
                     n_words.append(len(words)), n_removed.append(gone)
                     kept.append(b" ".join(compress(words, stay) if gone else words).decode())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names)
+            trim()
 
     return run
 
@@ -231,7 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) ->
     The whole operator is one plan: the texts are dealt out by row once and that shuffle serves both joins.
     """
     texts = docs.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    by_key = Window.partitionBy("key")
+    by_key = Window.partitionBy("key", "key2")
     info = F.col("info")
     known, window = info.bitwiseAND(F.lit(_KNOWN)) > 0, info.bitwiseAND(F.lit(_WINDOW)) > 0
     symbols = texts.mapInArrow(_first_pass(width, rounds), _ROWS)

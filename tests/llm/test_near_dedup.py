@@ -170,3 +170,26 @@ def test_members_of_different_leaders_are_compared(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "REGION", 4)
     part = [(1, 9, k, sk) for k, sk in enumerate(lone)]
     assert {frozenset((0, 1)), frozenset((1, 2))} <= found_groups(spark, monkeypatch, list(enumerate(texts)), [part])
+
+
+def test_texts_of_mirrored_words_are_not_linked(spark):
+    from test_substring_dedup import mirrored
+
+    a, b = mirrored()
+    rows = list(enumerate([a, b, a.upper(), " ".join(a), " ".join(b), f"x y z {a} u v w", f"x y z {b} u v w", "short", "short two", "short two three", "SHORT two"]))
+    got = near_dedup.near_groups(with_row_ids(spark.createDataFrame(rows, "doc_id long, text string")), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
+
+
+def test_runs_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    region = sorted(rng.choice([1, 1, 1, 2, 3, 4, 5, 6]) for _ in range(200))
+    rows = [(r, k, bytes([k % 256] * 2)) for k, r in enumerate(region)]
+    for size in (1, 3, 50, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[x : x + size]), (pa.int64(), pa.int64(), pa.binary()))], ["region", "id", "m"]) for x in range(0, 200, size)]
+        got = [(int(c[0][x]), c[1][x:y].tolist()) for c, begin, end in near_dedup._runs(iter(parts), 2) for x, y in zip(begin, end)]
+        assert got == [(r, [k for k in range(200) if region[k] == r]) for r in sorted(set(region))]
+        assert all(np.array_equal(c[2][:, 0], c[1] % 256) for c, _, _ in near_dedup._runs(iter(parts), 2))

@@ -75,3 +75,27 @@ def test_a_symbol_of_more_windows_than_a_row_can_count(spark):
     text = "a b c d e f " * 50_000
     rows = S.remove_repeats(with_row_ids(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in rows} == {1: (300_000, 0), 2: (300_000, 300_000)}
+
+
+def mirrored(n=1024):
+    """The Thue-Morse word of n letters and its complement."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_differ_in_mirrored_words_share_nothing(spark):
+    a, b = mirrored()
+    rest = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rest[:30] + [x] + rest[30:]) for x in (a, b)]
+    letters = [" ".join(x * 2) for x in (a, b)]  # windows of the same patterns, letter by letter
+    rows = list(enumerate(texts + letters))
+    got = S.remove_repeats(with_row_ids(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute(rows, 50)
+
+
+def test_a_long_periodic_text_beside_others(spark):
+    """Over 300 000 words of one phrase, its shifted copy, and passages of it in other texts."""
+    phrase = "a b"
+    rows = [(1, f"{phrase} " * 160_000), (2, f"{phrase} " * 160_000 + "end"), (3, "x " + f"{phrase} " * 40 + "y"), (4, f"{phrase} " * 20)]
+    got = S.remove_repeats(with_row_ids(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute(rows, 50)
