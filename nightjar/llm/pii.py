@@ -9,10 +9,13 @@ of the same layout, and equal values become equal pseudonyms in all documents:
   in a run of digit groups every stretch of whole groups is tried, from the left,
   the longest first, so a card is found beside a year or a security code
 * IPv4 addresses: four numbers up to 255
-* telephone numbers ``+1 (ddd) ddd-dddd`` and the like: the ten digits
+* telephone numbers ``+1 (ddd) ddd-dddd`` and the like: the ten digits; numbers
+  whose area code and exchange can be dialled (both from 200) stay such numbers,
+  others are replaced too, within their own kind
 * social security numbers ``ddd-dd-dddd`` of an area, group and serial in use
 * dates ``yyyy-mm-dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy`` that exist, from 1800 to 2199
-* e-mail addresses: the letters and digits of the local part, each within its class
+* e-mail addresses: the letters and digits of the local part, each within its class;
+  the domain after the @ stays in clear
 
 The permutation is a Feistel network over two halves Z_a x Z_b (8 rounds, round
 values from SHA-256 over key, kind, round and the other half).  Every domain is
@@ -22,6 +25,10 @@ cycle are 189 x 773, and so on, so it is a bijection without cycle walking, and
 digit groups: where another stretch that is tried earlier happens to pass the
 Luhn check in the pseudonym, the reverse takes that one.
 
+The key is a secret of the caller.  The registered query reads it from the session's
+``spark.nightjar.pii.key`` and, where that is unset, draws one for the session, so
+no pseudonym can be reversed with what is in this file.
+
 Values that do not validate (a number with a wrong check digit, 300.1.1.1) stay.
 Only texts with a digit or an @ are searched at all.
 
@@ -32,6 +39,8 @@ also ones named like the operator's own helpers, pass through.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +56,8 @@ _OTHERS = "|".join((_EMAIL, _IPV4, _DATE, _SSN, _PHONE))
 #: A whole run of digit groups of 13 digits or more, up to a group that begins another kind of value.
 _CARD = rf"\b(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++\b(?:[ -](?!{_OTHERS})[0-9]++\b)*+"
 PATTERN = f"{_OTHERS}|{_CARD}"
-#: The default key of the registered query; production runs pass their own secret.
-KEY = "nightjar"
+#: Session setting that holds the secret key.
+KEY_SETTING = "spark.nightjar.pii.key"
 _FIRST_DAY = "1800-01-01"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -144,10 +153,19 @@ def _cards(key: str, m: Column, reverse: bool) -> Column:
 
 
 def _phone(key: str, m: Column, reverse: bool) -> Column:
+    """Three kinds, each an exact product: (area, exchange) both from 200, area below 200, and area from 200 with exchange below."""
     def permuted(d: Column) -> Column:
         ten = F.right(d, F.lit(10))
-        out = feistel(key, F.lit("phone"), F.substring(ten, 1, 5), F.substring(ten, 6, 5), _long(100_000), _long(100_000), reverse)
-        return F.concat(F.substr(d, F.lit(1), F.length(d) - 10), let(out, lambda s: F.concat(_pad(s["a"], 5), _pad(s["b"], 5))))
+        area, exchange, line = (F.substring(ten, p, n).cast("long") for p, n in ((1, 3), (4, 3), (7, 4)))
+        low_area, low_exchange = area < 200, (area >= 200) & (exchange < 200)
+        first = F.when(low_area, 0).otherwise(200)  # least area and exchange of the kind, and how many exchanges it has
+        second = F.when(low_area | low_exchange, 0).otherwise(200)
+        many = F.when(low_area, 1000).when(low_exchange, 200).otherwise(800)
+        areas = F.when(low_area, 200).otherwise(800)
+        kind = F.when(low_area, "phone-area").when(low_exchange, "phone-exchange").otherwise("phone")
+        out = feistel(key, kind, (area - first) * many + exchange - second, line, areas * many, _long(10_000), reverse)
+        number = let(out, lambda s: F.concat(_pad((F.floor(s["a"] / many) + first).cast("int"), 3), _pad((s["a"] % many + second).cast("int"), 3), _pad(s["b"], 4)))
+        return F.concat(F.substr(d, F.lit(1), F.length(d) - 10), number)
 
     return _pour(let(F.regexp_replace(m, "[^0-9]", ""), permuted), m)
 
@@ -222,7 +240,16 @@ def pseudonym(key: str, m: Column, reverse: bool = False) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text", count: str = "n_values", reverse: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key; drawn once for the session where none is set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str = "n_values", reverse: bool = False) -> DataFrame:
     """``docs`` with the values in ``column`` replaced, and ``count``, the number of replaced values."""
     text = F.col(f"`{column}`")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (column, count)]
@@ -236,7 +263,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY, column: str = "text", count: s
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 QUERIES = {"op8_pii": op8_pii}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from nightjar.llm import pii
 
+KEY = "a secret of the tests"
+
 
 def luhn(d):
     s = 0
@@ -22,7 +24,7 @@ def card(rng, n=16):
     return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
 
-def feistel(kind, a, b, ma, mb, key=pii.KEY):
+def feistel(kind, a, b, ma, mb, key=KEY):
     """The network in plain Python."""
     for r in range(1, pii.ROUNDS + 1):
         h = int(hashlib.sha256(f"{key}|{kind}|{r}|{ma}|{b}".encode()).hexdigest()[:15], 16)
@@ -32,7 +34,7 @@ def feistel(kind, a, b, ma, mb, key=pii.KEY):
 
 def run(spark, values, reverse=False):
     df = spark.createDataFrame(list(enumerate(values)), "k long, text string")
-    return [r["text"] for r in pii.pseudonymize(df, reverse=reverse).orderBy("k").collect()]
+    return [r["text"] for r in pii.pseudonymize(df, KEY, reverse=reverse).orderBy("k").collect()]
 
 
 def test_values_of_each_kind(spark):
@@ -70,7 +72,7 @@ def test_matches_plain_python(spark):
 
 def test_dates_are_permuted_one_to_one(spark):
     df = spark.range(0, 146_097, 7).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    out = pii.pseudonymize(df)
+    out = pii.pseudonymize(df, KEY)
     assert out.select("text").distinct().count() == df.count()
 
 
@@ -78,7 +80,7 @@ def test_invalid_values_and_clean_texts_stay(spark, odd_docs):
     bad = next(n for n in (f"123456781234567{c}" for c in range(10)) if not luhn(n))
     values = [bad, "300.1.1.1", "2023-02-29", "666-12-3456", "000-12-3456", "version 1.2.3", "10:30", "no digits", "", "x" * 5000 + "1", "a@b", "12345678901234567890123"]
     assert run(spark, values) == values
-    same = pii.pseudonymize(odd_docs)
+    same = pii.pseudonymize(odd_docs, KEY)
     assert same.columns == ["doc_id", "lang", "source", "n_chars", "_row", "ids", "name", "found", "text", "n_values"]
     before, after = ({(r["doc_id"], r["text"]) for r in df.collect()} for df in (odd_docs, same))
     assert before == after and same.agg(F.sum("n_values")).first()[0] == 0
@@ -109,7 +111,7 @@ def test_cards_beside_other_digit_groups(spark):
     values = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/26", "2024 4111 1111 1111 1111", f"{four()} {four()}", "4111-1111-1111-1111 2024-05-06", "7 4111 1111 1111 1111 10.0.0.1"]
     values += [" ".join([str(rng.randrange(10**4)), four(), str(rng.randrange(10**3)), four()]) for _ in range(40)] + [" ".join(str(rng.randrange(100)) for _ in range(60)) for _ in range(5)]
     df = spark.createDataFrame(list(enumerate(values)), "k long, text string")
-    for v, r in zip(values, pii.pseudonymize(df).orderBy("k").collect()):
+    for v, r in zip(values, pii.pseudonymize(df, KEY).orderBy("k").collect()):
         cards = scan(re.sub(r" (12/26|2024-05-06|10\.0\.0\.1)$", "", v))
         assert cards or len(v.split()) == 60
         rest, others = v, r["text"]
@@ -124,11 +126,35 @@ def test_cards_beside_other_digit_groups(spark):
 
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a@b.example 1.2.3.4 999.1.1.1", "z")], "id long, text string, row string")
-    r = pii.pseudonymize(df).first()
+    r = pii.pseudonymize(df, KEY).first()
     assert r["n_values"] == 2 and r["row"] == "z"
-    assert pii.pseudonymize(df.limit(0)).count() == 0
+    assert pii.pseudonymize(df.limit(0), KEY).count() == 0
 
 
 @pytest.mark.parametrize("text", ["a" * 20_000, "a." * 10_000, "1-" * 10_000, "@" * 5000])
 def test_long_runs_are_quick(spark, text):
     assert run(spark, [text]) == [text]
+
+
+def test_phone_numbers_keep_their_kind(spark):
+    rng = random.Random(8)
+    numbers = [f"{rng.randrange(1000):03d}-{rng.randrange(1000):03d}-{rng.randrange(10**4):04d}" for _ in range(300)]
+    kind = lambda n: (int(n[:3]) < 200, int(n[:3]) >= 200 and int(n[4:7]) < 200)
+    out = run(spark, numbers)
+    assert [kind(n) for n in out] == [kind(n) for n in numbers] and all(re.fullmatch(r"\d{3}-\d{3}-\d{4}", n) for n in out)
+    assert run(spark, out, reverse=True) == numbers and len(set(out)) == len(set(numbers))
+
+
+def test_the_key_comes_from_the_session(spark, odd_docs):
+    spark.conf.unset(pii.KEY_SETTING)
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 32 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_repeated_rows_get_the_same_pseudonyms(spark):
+    rows = [(1, "call +1 (555) 223-4567"), (1, "call +1 (555) 223-4567"), (2, None), (2, None)]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "id long, text string"), KEY).collect()]
+    assert got[0] == got[1] != rows[0][1] and got[2:] == [None, None]
