@@ -3,12 +3,21 @@
 ``plan_records`` shuffles only headers (row, id, digest, length) by payload
 digest: of equal payloads of at least ``min_bytes`` bytes the one with the
 smallest id is the response, all others become revisit records that are joined
-to it.  ``write_archive`` gives every record fresh headers and writes the
-archive with Spark's text writer into any file system Spark can write to: a
-record's block is followed by CRLF CRLF, which is the writer's line separator.
-``read_archive`` walks the files by Content-Length (a payload may contain
-anything, record separators included), and ``resolve`` joins revisit records
-back to the responses they refer to.
+to it.  ``write_archive`` gives every record fresh headers and deals the records
+out to as many files as hold about FILE_BYTES of payload each.  Every record is
+a gzip member of its own, so a reader can start at any record.
+
+The files are written by Spark's text writer, into any file system Spark can
+write to.  The writer ends each row with a separator, which is made part of the
+format: without compression a record's block ends in CRLF CRLF; a gzip member
+ends in the most significant byte of its length, which is 0 for records below
+16 MB, so this byte is the separator (a larger record is followed by an empty
+member, which ends in 0).
+
+``read_archive`` unpacks and parses a file piece by piece by Content-Length (a
+payload may contain anything, record separators included), and holds one record
+at a time; ``resolve`` joins revisit records back to the responses they refer
+to.
 
 Payloads count as equal when their SHA-256 and length are equal; the headers
 carry the customary base32 SHA-1.
@@ -16,26 +25,31 @@ carry the customary base32 SHA-1.
 Defined results: a null payload is written as an empty one; a null URL as
 ``about:blank``; control characters of a URL are percent-encoded so that they
 cannot break a header; rows with a null id never win over rows with one, and of
-repeated rows the first of the input is the response.  Extra columns are
+repeated rows the first of the input is the response.  A record may be as large
+as a row can be; record ids differ between any two archives.  Extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table, with_row_ids
+from .common import materialize, new_path, table, with_row_ids
+from .textnp import trim
 
-#: Records a file of an archive holds at most; bounds the size of a file.
-FILE_RECORDS = 4096
-DATE = "2024-01-01T00:00:00Z"
+#: Payload bytes that a file of an archive holds on average, and records at most.
+FILE_BYTES, FILE_RECORDS = 32 << 20, 16_384
+#: Bytes that are unpacked at a time.
+CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -48,9 +62,9 @@ def base32_of_hex(sha1: Column) -> Column:
     return F.concat(*parts)
 
 
-def record_id(source: Column) -> Column:
-    """A urn:uuid made from the hash of the source id, the same on every run."""
-    h = F.md5(F.concat(F.lit("record "), source.cast("string")))
+def record_id(source: Column, archive: str) -> Column:
+    """A urn:uuid made from the hash of the archive's own id and the row's; the same when a lost part is written again."""
+    h = F.md5(F.concat(F.lit(f"record {archive} "), source.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), *[x for k, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] if k > 1 else []) + [F.substring(h, k, n)]], F.lit(">"))
 
 
@@ -78,51 +92,114 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"\r\n{name}: "), value)
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, compression: str = "gzip") -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) to the folder ``path``."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is 0."""
+    for b in batches:
+        out, held = [], 0
+        for record in b.column(0):
+            data = record.as_py()
+            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = packer.compress(data) + packer.flush()
+            if member[-1]:
+                member += zlib.compressobj(6, zlib.DEFLATED, 31).flush()
+            out.append(member[:-1])
+            held += len(member)
+            if held > CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+        trim()
+
+
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str | None = None, compression: str = "gzip", archive: str | None = None) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) to the folder ``path``.
+
+    ``date``: the records' WARC-Date (now, if not given); ``archive``: the id that record ids are made from (a new one).
+    """
+    if compression not in ("gzip", "none"):
+        raise ValueError("compression is gzip or none")
+    archive, date = archive or uuid.uuid4().hex, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = with_row_ids(pages.select("page_id", "url", "html"))
-    planned = plan_records(pages, min_bytes)
+    planned = materialize(plan_records(pages, min_bytes), "records")
+    total = planned.agg(F.sum(F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))).alias("n")).first()["n"] or 0
+    files = -(-(total + 1) // FILE_BYTES)
     payload = F.coalesce("html", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")),
-        _line("WARC-Record-ID", record_id(F.col("_row"))), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", _uri(F.col("url"))),
+        _line("WARC-Record-ID", record_id(F.col("_row"), archive)), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", _uri(F.col("url"))),
         F.coalesce(_line("WARC-Source-ID", F.col("page_id").cast("string")), F.lit("")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), _line("Content-Type", F.lit("application/http; msgtype=response")),
     )
     revisit = F.concat(
-        head, _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(F.col("to_row"))), _line("WARC-Refers-To-Target-URI", _uri(F.col("to_url"))),
+        head, _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(F.col("to_row"), archive)), _line("WARC-Refers-To-Target-URI", _uri(F.col("to_url"))),
         _line("WARC-Refers-To-Date", F.lit(date)), _line("Content-Length", F.lit("0")), F.lit(END),
     )
     response = F.concat(head, _line("Content-Length", (F.col("bytes") + F.octet_length(http)).cast("string")), F.lit(END), http, payload)
-    records = pages.join(planned, "_row").select(F.when(F.col("revisit"), revisit).otherwise(response).alias("value"))
-    records.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = pages.repartition(files, "_row").join(planned.hint("merge"), "_row").select(F.when(F.col("revisit"), revisit).otherwise(response).alias("value"))
+    separator = END
+    if compression == "gzip":
+        packed = records.select(F.concat("value", F.lit(END)).cast("binary").alias("record")).mapInArrow(_members, "member binary")
+        records, separator = packed.select(F.col("member").cast("string").alias("value")), "\0"
+    records.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of an archive file, gzip (any number of members) or plain, in pieces."""
+    view, at = memoryview(data), 0
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), CHUNK):
+            yield bytes(view[at : at + CHUNK])
+        return
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            piece = member.unconsumed_tail
+            if not piece:
+                if at >= len(data):
+                    raise ValueError("the archive file ends inside a gzip member")
+                piece, at = view[at : at + (CHUNK >> 4)], at + (CHUNK >> 4)
+            yield member.decompress(piece, CHUNK)
+        at = min(at, len(data)) - len(member.unused_data)
 
 
 def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The headers (names in lower case) and blocks of an archive file, gzip or plain."""
-    if data[:2] == b"\x1f\x8b":
-        plain = bytearray()
-        while data:
-            member = zlib.decompressobj(31)
-            plain += member.decompress(data)
-            data = member.unused_data
-        data = bytes(plain)
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no record starts at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
+    pieces, held = _unpacked(data), bytearray()
+
+    def wanted(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    done = 0
+    while wanted(7):
+        if not held.startswith(b"WARC/1."):
+            raise ValueError(f"no record starts at byte {done}")
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+            looked = len(held)
+            if not wanted(looked + 1):
+                raise ValueError(f"the headers at byte {done} do not end")
+        lines = held[:end].decode().split("\r\n")[1:]
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        size = end + 4 + int(headers["content-length"])
+        if not wanted(size):
+            raise ValueError(f"the record at byte {done} is cut off")
+        yield headers, bytes(held[end + 4 : size])
+        wanted(size + 4)
+        done += size + 4
+        del held[: size + 4]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
     for b in batches:
         for content in b.column(0):
             rows = []
@@ -130,11 +207,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = h["warc-payload-digest"].removeprefix("sha1:")
                 size = intact = None
                 if h["warc-type"] == "response":
-                    body = block[block.index(b"\r\n\r\n") + 4 :]
+                    body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
                     size, intact = len(body), b32encode(hashlib.sha1(body).digest()).decode() == digest
                 rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), int(h["warc-source-id"]) if "warc-source-id" in h else None, size, digest, h.get("warc-refers-to"), intact))
+                if len(rows) >= 1024:
+                    yield flush(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield flush(rows)
+            trim()
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

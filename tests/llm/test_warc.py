@@ -58,3 +58,45 @@ def test_odd_rows(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "d"))
     assert warc.resolve(warc.read_archive(spark, str(tmp_path / "d"))).count() == 0
+
+
+def test_every_record_is_a_member_and_files_are_bounded(spark, pages, tmp_path, monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    big = [(100 + k, None, chr(97 + k) * 60_000) for k in range(12)] + [(200, "http://h/huge", "h" * 20_000_000)]
+    df = spark.createDataFrame(pages + big, "page_id long, url string, html string")
+    for name in ("e", "f"):
+        warc.write_archive(df, str(tmp_path / name))
+    files = sorted((tmp_path / "e").glob("part-*"))
+    assert len(files) > 5
+    n, ids = 0, set()
+    for f in files:
+        data = f.read_bytes()
+        while data:  # a reader can start at each member
+            member = zlib.decompressobj(31)
+            text = member.decompress(data)
+            if text:
+                (record,) = warc.records_of(text)
+                ids.add(record[0]["warc-record-id"])
+                n += 1
+            data = member.unused_data
+    assert n == len(ids) == len(pages) + 13
+    other = warc.read_archive(spark, str(tmp_path / "f")).collect()
+    assert len(other) == n and not ids & {r["record_id"] for r in other}
+    got = {r["source_id"]: r for r in warc.resolve(warc.read_archive(spark, str(tmp_path / "e"))).collect()}
+    assert got[200]["payload_bytes"] == 20_000_000 and all(r["intact"] for r in got.values())
+
+
+def test_files_of_one_member_and_broken_files():
+    import gzip
+
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    many = record * 40_000  # more than a piece
+    for data in (many, gzip.compress(many), gzip.compress(record) * 3):
+        found = list(warc.records_of(data))
+        assert len(found) in (40_000, 3) and all(b == b"hello" for _, b in found)
+    for data in (record[:-12], gzip.compress(record)[:-10], b"nonsense", record + b"WARC/1.1\r\nno end"):
+        with pytest.raises(ValueError):
+            list(warc.records_of(data))
+    assert list(warc.records_of(b"")) == []
