@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     that is unset (local tests), a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="nightjar-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filtered, materialize, table, with_row_ids
+from .textnp import trim
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -74,6 +75,7 @@ def _cut(block: int):
                 if held >= BATCH_BYTES:
                     yield flush(rows)
                     rows, first, held = [], {}, 0
+            trim()
         if rows:
             yield flush(rows)
 
