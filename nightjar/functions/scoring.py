@@ -84,8 +84,8 @@ def _factor(name: str, delta: Column, reason: Column, evidence: dict[str, Column
 
 def assess(severity: Column, configured: Column, matched: Column, parent_reason: Column, user_reason: Column, indicators: Column,
            whitelist_reason: Column | None = None, admin_reason: Column | None = None, semantics: Column | None = None,
-           missing: Column | None = None, partially: Column | None = None, mitre: Column | None = None) -> dict[str, Column]:
-    """The whole assessment from evidence columns: subscores, score, band and an explaining breakdown.
+           missing: Column | None = None, partially: Column | None = None, mitre: Column | None = None, explain: bool = True) -> dict[str, Column]:
+    """The whole assessment from evidence columns: subscores, score, band and, with ``explain``, a breakdown.
 
     ``configured``, ``matched`` and ``partially`` are arrays of criteria names, ``indicators`` an array of anomaly names.
     """
@@ -110,6 +110,9 @@ def assess(severity: Column, configured: Column, matched: Column, parent_reason:
     for d in deltas:
         raw = raw + d
     points = score(sub, conf)
+    result = {"severity_subscore": sub.cast("int"), "confidence_subscore": conf, "score": points, "risk_band": risk_band(points), "scoring_version": F.lit(VERSION)}
+    if not explain:
+        return result
     factor = F.lit(0.25) + F.lit(0.75) * conf / 100.0
     text = lambda a: F.array_join(a, ",")
     factors = F.array(
@@ -126,7 +129,7 @@ def assess(severity: Column, configured: Column, matched: Column, parent_reason:
         F.struct(F.lit(FORMULA).alias("formula_version"), sub.alias("severity"), conf.alias("confidence"), F.round(factor, 6).alias("confidence_multiplier"),
                  F.lit(1.5).alias("scale"), F.round(sub * factor * 1.5, 6).alias("raw_score"), points.alias("rounded_score")).alias("combination"),
     )
-    return {"severity_subscore": sub.cast("int"), "confidence_subscore": conf, "score": points, "risk_band": risk_band(points), "scoring_version": F.lit(VERSION), "score_breakdown": breakdown}
+    return result | {"score_breakdown": breakdown}
 
 
 def simple_assess(severity: Column, configured: Column, command: Column, user: Column, parent: Column, rule_parent: Column) -> dict[str, Column]:

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_BLANK = r"(?U)^\s+|\s+$"
+# The characters of Unicode's White_Space.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Quoted stretches (an open quote runs to the end), white space, and other stretches of a command line.
 _PIECES = r"(?sU)\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)|\s+|[^\s\"']+"
 
@@ -26,12 +27,12 @@ def composed(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """White space of any kind removed from both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _BLANK, "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
 
 
 def process_basename(name: Column, platform: Column) -> Column:
     """The part after the last slash or backslash, lower case on Windows."""
-    base = F.regexp_extract(strip(name), r"[^/\\]*$", 0)
+    base = F.substring_index(F.replace(strip(name), F.lit("\\"), F.lit("/")), "/", -1)
     return F.when(platform == "windows", F.lower(base)).otherwise(base)
 
 

@@ -1,7 +1,8 @@
 """Detection: events against compiled rules, scored alerts.
 
 All rules are one projection: each event gets an array with the numbers of the
-rules that hold for it, which is exploded.  Nothing is shuffled, no event is
+rules that hold for it, empty for nearly all events, which is exploded.  Only the
+rules of the event's platform are looked at.  Nothing is shuffled, no event is
 sent to Python, and the costlier assessment runs only on the rows that match.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import scoring as S
 from ..functions.anomalies import anomalies
-from ..plans.compile import PREPARED, predicate, prepare
+from ..plans.compile import PREPARED, hit_numbers, prepare
 from ..rules.model import Rule
 
 _RULE = T.StructType(
@@ -34,21 +35,21 @@ def matches(events: DataFrame, rules: list[Rule]) -> DataFrame:
     ready = prepare(events)
     if not rules:
         return ready.where(F.lit(False)).withColumn("rule_no", F.lit(0))
-    # Nulls are exploded too and dropped behind it: predicates inside a higher-order function would be interpreted, and a
-    # filter on the array would be pushed down and evaluate them twice.
-    hits = F.array(*[F.when(predicate(r), F.lit(k)) for k, r in enumerate(rules)])
-    found = ready.select("*", hits.alias("_hits")).select("*", F.explode_outer("_hits").alias("rule_no"))
-    return found.where("rule_no IS NOT NULL").drop("_hits")
+    return ready.select("*", F.explode(hit_numbers(rules)).alias("rule_no"))
 
 
-def detect(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Scored alerts: event columns, rule columns, scores and breakdown."""
-    rule = F.broadcast(rules_table(events.sparkSession, rules))  # as many rows as rules
-    found = matches(events, rules).join(rule, "rule_no")
+def matched_rules(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``matches`` with the rules' columns."""
+    return matches(events, rules).join(F.broadcast(rules_table(events.sparkSession, rules)), "rule_no")  # as many rows as rules
+
+
+def detect(events: DataFrame, rules: list[Rule], explain: bool = True) -> DataFrame:
+    """Scored alerts: event columns, rule columns, scores and, unless ``explain`` is off, the breakdown of the scores."""
+    found = matched_rules(events, rules)
     has_parent = F.coalesce(F.col("parent_process_name"), F.lit("")) != ""
     parent = F.when(~has_parent, "missing_telemetry").when(F.col("has_parent"), "suspicious_parent_match").otherwise("neutral_lineage")
     found = found.withColumn("anomalies", anomalies(F.col("_cmd")))
     bad = F.array_contains("anomalies", "encoded_payload") | F.array_contains("anomalies", "download_cradle")
     user = F.when(F.upper("_user").isin(*S.SYSTEM_USERS) & bad, "system_interactive_shell").otherwise("neutral")
-    result = S.assess(F.col("severity"), F.col("criteria"), F.col("criteria"), parent, user, F.col("anomalies"), semantics=F.lit("and"), mitre=F.col("mitre_attack"))
+    result = S.assess(F.col("severity"), F.col("criteria"), F.col("criteria"), parent, user, F.col("anomalies"), semantics=F.lit("and"), mitre=F.col("mitre_attack"), explain=explain)
     return found.select("*", *[c.alias(n) for n, c in result.items()]).drop("rule_no", "rule_platform", "has_parent", *PREPARED)

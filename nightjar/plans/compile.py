@@ -1,8 +1,10 @@
-"""Compiles rules and chain stages into Column predicates.
+"""Compiles rules and chain stages into predicates.
 
-The predicates read these columns, computed once per event by ``prepare``:
-``_cmd`` (command line), ``_cmd_l`` (lower case), ``_proc`` and ``_parent``
-(normalised base names), ``_user``, ``_user_l``, ``_cwd_l``.
+A rule becomes SQL text, which Spark parses into one Catalyst expression: rule
+sets of any size cost one call from Python.  The predicates read these columns,
+computed once per event by ``prepare``: ``_cmd`` (command line), ``_cmd_l``
+(lower case), ``_proc`` and ``_parent`` (normalised base names), ``_user``,
+``_user_l``, ``_cwd_l``.
 """
 
 from __future__ import annotations
@@ -37,52 +39,94 @@ def basename(name: str, platform: str) -> str:
     return base.lower() if platform == "windows" else base
 
 
+def literal(text: str) -> str:
+    """``text`` as a SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _contains(column: str, parts, word: str) -> str:
+    return "(" + f" {word} ".join(f"contains({column}, {literal(p.lower())})" for p in parts) + ")" if parts else "false"
+
+
+def _one_of(column: str, values) -> str:
+    return f"{column} IN ({', '.join(literal(v) for v in values)})"
+
+
+def _matches(column: str, pattern: str) -> str:
+    return f"{column} RLIKE {literal(FLAGS + pattern)}"
+
+
 def contains_all(parts) -> Column:
-    return reduce(and_, [F.col("_cmd_l").contains(p.lower()) for p in parts])
+    return F.expr(_contains("_cmd_l", parts, "AND"))
 
 
 def contains_any(parts) -> Column:
-    return reduce(or_, [F.col("_cmd_l").contains(p.lower()) for p in parts], F.lit(False))
+    return F.expr(_contains("_cmd_l", parts, "OR"))
 
 
 def matches(column: str, pattern: str) -> Column:
-    return F.col(column).rlike(FLAGS + pattern)
+    return F.expr(_matches(column, pattern))
 
 
-def criteria(rule: Rule) -> list[Column]:
+def criteria_sql(rule: Rule) -> list[str]:
     """One predicate per configured criterion, cheap ones first."""
     d, out = rule.detection, []
     for c in rule.criteria:
         if c == "process_name":
-            out.append(F.col("_proc") == basename(d[c], rule.platform))
+            out.append(f"_proc = {literal(basename(d[c], rule.platform))}")
         elif c == "command_contains":
-            out.append(contains_all(d[c]))
+            out.append(_contains("_cmd_l", d[c], "AND"))
         elif c == "command_contains_any":
-            out.append(contains_any(d[c]))
+            out.append(_contains("_cmd_l", d[c], "OR"))
         elif c == "command_regex":
-            out.append(matches("_cmd", d[c]))
+            out.append(_matches("_cmd", d[c]))
         elif c == "parent_process":
-            out.append((F.coalesce(F.col("parent_process_name"), F.lit("")) != "") & (F.col("_parent") == basename(d[c], rule.platform)))
+            out.append(f"(coalesce(parent_process_name, '') <> '' AND _parent = {literal(basename(d[c], rule.platform))})")
         elif c == "user_pattern":
-            out.append(matches("_user", d[c]))
+            out.append(_matches("_user", d[c]))
     return out
 
 
-def whitelisted(rule: Rule) -> Column:
+def criteria(rule: Rule) -> list[Column]:
+    return [F.expr(c) for c in criteria_sql(rule)]
+
+
+def whitelisted_sql(rule: Rule) -> str:
     w, out = rule.whitelist, []
     if w.get("users"):
-        out.append((F.col("_user") != "") & F.col("_user_l").isin(*[u.lower() for u in w["users"]]))
+        out.append("(_user <> '' AND " + _one_of("_user_l", [u.lower() for u in w["users"]]) + ")")
     if w.get("parent_processes"):
-        out.append((F.col("_parent") != "") & F.col("_parent").isin(*[basename(p, rule.platform) for p in w["parent_processes"]]))
+        out.append("(_parent <> '' AND " + _one_of("_parent", [basename(p, rule.platform) for p in w["parent_processes"]]) + ")")
     if w.get("paths"):
-        out.append((F.col("_cwd_l") != "") & reduce(or_, [F.col("_cwd_l").contains(p.lower()) for p in w["paths"]]))
-    return F.coalesce(reduce(or_, out), F.lit(False)) if out else F.lit(False)
+        out.append("(_cwd_l <> '' AND " + _contains("_cwd_l", w["paths"], "OR") + ")")
+    return f"coalesce({' OR '.join(out)}, false)" if out else "false"
+
+
+def whitelisted(rule: Rule) -> Column:
+    return F.expr(whitelisted_sql(rule))
+
+
+def criteria_hold(rule: Rule) -> str:
+    """The rule's criteria hold and no allow list excuses the event, whatever its platform."""
+    return " AND ".join([*(criteria_sql(rule) or ["true"]), *([f"NOT {whitelisted_sql(rule)}"] if rule.whitelist else [])])
 
 
 def predicate(rule: Rule) -> Column:
     """The rule holds for the event and no allow list excuses it."""
-    found = reduce(and_, criteria(rule), F.col("platform") == rule.platform)
-    return found & ~whitelisted(rule) if rule.whitelist else found
+    return F.expr(f"platform = {literal(rule.platform)} AND {criteria_hold(rule)}")
+
+
+def hit_numbers(rules: list[Rule]) -> Column:
+    """The numbers of the rules that hold for an event, looking at the rules of its platform only.
+
+    Inside a higher-order function the predicates are evaluated one by one up to the first that fails.  As generated code
+    they make one method that is too large for the JVM to compile, which is many times slower.
+    """
+    cases = []
+    for platform in sorted({r.platform for r in rules}):
+        hits = [f"CASE WHEN {criteria_hold(r)} THEN {k} END" for k, r in enumerate(rules) if r.platform == platform]
+        cases.append(f"WHEN {literal(platform)} THEN array_compact(array({', '.join(hits)}))")
+    return F.expr(f"transform(array(0), _ -> CASE platform {' '.join(cases)} END)[0]")
 
 
 def stage_predicate(stage: Stage, platform: str, prefix: str = "") -> Column:

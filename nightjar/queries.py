@@ -12,7 +12,7 @@ from .functions import scoring as S
 from .functions import text as X
 from .operators import alerts as Q
 from .operators import chains, episodes, lineage
-from .operators.detect import detect
+from .operators.detect import detect, matched_rules
 from .plans.compile import basename, contains_all, contains_any, matches, prepare, whitelisted
 from .plans.derived import DUCKDB, process_events
 from .rules.builtin import CHAINS, RULES
@@ -113,7 +113,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(process_events(spark, sf_dir), RULES)
+    return detect(process_events(spark, sf_dir), RULES, explain=False)
 
 
 def _micros(c: str):
@@ -164,7 +164,7 @@ _whitelist_query("whitelist_path", "paths", ["MAC-002", "MAC-003", "LNX-001"])
 
 @query("detect_multi_rule", f"WITH {_PREP}, hits AS ({_HITS}) SELECT event_id, rule_id, severity FROM hits")
 def detect_multi_rule(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("event_id", "rule_id", "severity")
+    return matched_rules(process_events(spark, sf_dir), RULES).select("event_id", "rule_id", "severity")
 
 
 @query("anomaly_flags", f"WITH {_PREP} SELECT event_id, {', '.join(f'({sql}) AS {n}' for n, sql in _FLAGS.items())} FROM prep")
@@ -196,7 +196,7 @@ def risk_bands(spark, sf_dir):
 @query("score_breakdown", f"WITH {_ALERTS} SELECT event_id, rule_id, round(0.25 + 0.75 * confidence / 100.0, 6) AS multiplier, CAST(crit AS INTEGER) AS criteria_delta FROM alerts")
 def score_breakdown(spark, sf_dir):
     b = F.col("score_breakdown")
-    return _alerts(spark, sf_dir).select("event_id", "rule_id", b["combination"]["confidence_multiplier"].alias("multiplier"), b["confidence"]["factors"][0]["delta"].alias("criteria_delta"))
+    return detect(process_events(spark, sf_dir), RULES).select("event_id", "rule_id", b["combination"]["confidence_multiplier"].alias("multiplier"), b["confidence"]["factors"][0]["delta"].alias("criteria_delta"))
 
 
 @query("interpret_scores", f"WITH {_ALERTS} SELECT event_id, rule_id, CASE WHEN score >= 120 THEN 'Critical: Immediate action required' WHEN score >= 90 THEN 'High: Prioritize investigation' WHEN score >= 60 THEN 'Medium: Review when possible' WHEN score >= 30 THEN 'Low: Monitor for patterns' ELSE 'Informational: Low priority' END AS reading FROM alerts")
