@@ -10,7 +10,7 @@ from ..functions.fingerprint import incident_fingerprint
 from ..plans.compile import stage_predicate
 from ..rules.model import Chain
 from ..storage import materialize
-from .lineage import descendants
+from .lineage import ancestors
 
 def _order() -> Column:
     """Sort key of a node: phantoms first, then time, pid and key."""
@@ -49,16 +49,24 @@ def match_chains(nodes: DataFrame, chains: list[Chain]) -> DataFrame:
     first = _hits(nodes, chains, 0, anchors=True)
     paths = first.select("chain", "host", F.col("key").alias("anchor"), "key", F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), (~F.col("is_phantom")).alias("concrete"), F.array(_order()).alias("order"), F.array(_entry()).alias("stages"))
     paths, complete = materialize(paths, "paths"), []
-    for number in range(1, max(len(c.stages) for c in chains)):
+    last = max(len(c.stages) for c in chains)
+    later = {number: _hits(nodes, chains, number, anchors=False).select("chain", F.col("key").alias("to"), "parent_key", "ts", _order().alias("o"), _entry().alias("e"), "is_phantom") for number in range(1, last)}
+    # from the hits up to the paths, once for all stages: a hit has few ancestors, a path's node any number of descendants
+    above = None
+    for number, found in later.items():
+        below = [k for k, c in enumerate(chains) if len(c.stages) > number and c.stages[number].relation == "descendant"]
+        if below:
+            hits = found.where(F.col("chain").isin(*below)).select(F.col("to").alias("key"))
+            above = hits if above is None else above.unionByName(hits)
+    if above is not None:
+        above = materialize(ancestors(nodes, above.distinct()).select(F.col("key").alias("to"), F.col("anc").alias("key")), "above")
+    for number, found in later.items():
         below = [k for k, c in enumerate(chains) if len(c.stages) > number and c.stages[number].relation == "descendant"]
         direct = [k for k, c in enumerate(chains) if len(c.stages) > number and c.stages[number].relation == "child"]
-        found = materialize(_hits(nodes, chains, number, anchors=False).select("chain", F.col("key").alias("to"), "parent_key", "ts", _order().alias("o"), _entry().alias("e"), "is_phantom"), "found")
         steps = []
         if below:
-            origins = paths.where(F.col("chain").isin(*below)).groupBy("chain", "key").agg(F.max(F.unix_micros("first_ts") + window).alias("until_us"), F.max(F.col("first_ts").isNull()).alias("open"))
-            origins = origins.select(F.concat_ws("#", "chain", "key").alias("anc"), "key", F.when(~F.col("open"), F.col("until_us")).alias("until_us"))
-            reach = descendants(nodes, origins).select("anc", F.col("key").alias("to"))
-            steps.append(paths.where(F.col("chain").isin(*below)).withColumn("anc", F.concat_ws("#", "chain", "key")).join(reach, "anc").drop("anc").join(found.drop("parent_key"), ["chain", "to"]))
+            hits = found.where(F.col("chain").isin(*below))
+            steps.append(hits.drop("parent_key").join(above, "to").join(paths.where(F.col("chain").isin(*below)), ["chain", "key"]))
         if direct:
             steps.append(paths.where(F.col("chain").isin(*direct)).join(found.withColumnRenamed("parent_key", "key"), ["chain", "key"]))
         step = steps[0].unionByName(steps[1]) if len(steps) > 1 else steps[0]
