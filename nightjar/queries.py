@@ -290,14 +290,14 @@ def export_selection(spark, sf_dir):
 
 # ------------------------------------------------------------- identity, episodes
 
-_NORM = r"regexp_replace(regexp_replace(cmd, '\s+', ' ', 'g'), '^ | $', '', 'g')"
-# JSON text of the fingerprint; command lines with quotes need the tokeniser and are compared by tests instead.
+# White space outside quotes becomes one space: quoted stretches (an open quote runs to the end), white space, other text.
+_NORM = r"""trim(array_to_string(list_transform(regexp_extract_all(trim(cmd), '"[^"]*(?:"|\z)|''[^'']*(?:''|\z)|\s+|[^\s"'']+'), lambda x: CASE WHEN regexp_matches(x, '^\s') THEN ' ' ELSE x END), ''))"""
+# JSON text of the fingerprint.
 _FP = r"""'{"command_line":' || to_json(CASE WHEN platform = 'windows' THEN lower(NORM) ELSE NORM END) || ',"host":' || to_json(host) || ',"parent_process_name":' || to_json(parent) || ',"platform":' || to_json(platform) || ',"process_name":' || to_json(proc) || ',"rule_id":' || to_json(rule_id) || ',"user":' || to_json(CASE WHEN platform = 'windows' THEN lower("user") ELSE "user" END) || ',"v":1}'""".replace("NORM", _NORM)
-_PRINTED = f"{_ALERTS}, printed AS (SELECT *, sha256({_FP}) AS fingerprint FROM alerts WHERE NOT contains(cmd, '\"'))"
+_PRINTED = f"{_ALERTS}, printed AS (SELECT *, sha256({_FP}) AS fingerprint FROM alerts)"
 
 
 def _printed(spark, sf_dir) -> DataFrame:
-    """All alerts; the SQL above leaves out those with a double quote in the command line."""
     return episodes.with_fingerprints(_alerts(spark, sf_dir))
 
 
@@ -345,7 +345,10 @@ _NODES = f"""{_PREP}, n AS (
 orphan AS (
   SELECT n.*, host || '|phantom|' || coalesce(CAST(parent_process_id AS VARCHAR), 'None') || '|' || parent || '|' || CASE WHEN parent_process_id IS NULL THEN key ELSE '' END AS parent_key
   FROM n WHERE (parent_process_id IS NOT NULL OR pname <> '') AND key NOT IN (SELECT key FROM linked)
-), parents AS (SELECT key, parent_key FROM linked UNION ALL SELECT key, parent_key FROM orphan)"""
+), parents AS (SELECT key, parent_key FROM linked UNION ALL SELECT key, parent_key FROM orphan),
+phantom AS (
+  SELECT parent_key AS key, arg_min(platform, us) AS platform, regexp_extract(trim(arg_min(CASE WHEN pname <> '' THEN pname ELSE 'pid-' || parent_process_id END, us)), '[^/\\\\]*$') AS proc FROM orphan GROUP BY parent_key
+), anchors AS (SELECT key, us FROM n WHERE platform = 'macos' AND proc = 'osascript' UNION ALL SELECT key, NULL FROM phantom WHERE platform = 'macos' AND proc = 'osascript')"""
 
 
 @query("lineage_parent_asof", f"WITH {_NODES} SELECT key, parent_key FROM linked")
@@ -374,8 +377,8 @@ def _chain_sql(window: int) -> str:
     return f"""WITH {_NODES}, kids AS (
   SELECT p.parent_key AS anchor, n.key, n.us, n.process_id FROM n JOIN parents p USING (key) WHERE n.proc IN ('sh', 'bash', 'zsh')
 ), paths AS (
-  SELECT a.key AS anchor, kids.key AS last, a.us AS first_us, kids.us AS last_us, row_number() OVER (PARTITION BY a.key ORDER BY kids.us, kids.process_id, kids.key) AS r
-  FROM n a JOIN kids ON kids.anchor = a.key WHERE a.platform = 'macos' AND a.proc = 'osascript' AND kids.us >= a.us AND kids.us - a.us <= {window * 1_000_000}::BIGINT
+  SELECT a.key AS anchor, kids.key AS last, coalesce(a.us, kids.us) AS first_us, kids.us AS last_us, row_number() OVER (PARTITION BY a.key ORDER BY kids.us, kids.process_id, kids.key) AS r
+  FROM anchors a JOIN kids ON kids.anchor = a.key WHERE a.us IS NULL OR (kids.us >= a.us AND kids.us - a.us <= {window * 1_000_000}::BIGINT)
 ) SELECT anchor, last, first_us, last_us FROM paths WHERE r = 1"""
 
 
@@ -393,16 +396,15 @@ def _two_stage(spark, sf_dir, window: int) -> DataFrame:
     from .rules.model import Chain, Stage
     from .storage import materialize
 
-    # the SQL leaves out anchors that are phantom parents
     c = Chain("CHAIN-MAC-900", "shell below script", "macos", "high", window, (Stage("script", {"process_name": "osascript"}), Stage("shell", {"process_name_any": ["sh", "bash", "zsh"]}, "child")))
     found = chains.match_chains(materialize(lineage.build(process_events(spark, sf_dir)), "nodes"), [c])
     return found.select("anchor", F.col("stages")[1]["node_key"].alias("last"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 
 _MAC = f"""WITH RECURSIVE {_NODES}, walk AS (
-  SELECT a.key AS anchor, a.us AS first_us, p.key, 1 AS depth FROM n a JOIN parents p ON p.parent_key = a.key WHERE a.platform = 'macos' AND a.proc = 'osascript'
-  UNION SELECT w.anchor, w.first_us, p.key, w.depth + 1 FROM walk w JOIN parents p ON p.parent_key = w.key JOIN n ON n.key = p.key WHERE w.depth < 64 AND n.us - w.first_us <= 300000000
-), s1 AS (SELECT DISTINCT w.anchor, w.first_us, n.key AS k1, n.us AS u1, n.process_id AS p1 FROM walk w JOIN n ON n.key = w.key WHERE n.proc IN ('sh', 'bash', 'zsh') AND n.us - w.first_us <= 300000000),
+  SELECT a.key AS anchor, a.us AS first_us, p.key, 1 AS depth FROM anchors a JOIN parents p ON p.parent_key = a.key
+  UNION SELECT w.anchor, w.first_us, p.key, w.depth + 1 FROM walk w JOIN parents p ON p.parent_key = w.key JOIN n ON n.key = p.key WHERE w.depth < 64 AND (w.first_us IS NULL OR n.us - w.first_us <= 300000000)
+), s1 AS (SELECT DISTINCT w.anchor, coalesce(w.first_us, n.us) AS first_us, n.key AS k1, n.us AS u1, n.process_id AS p1 FROM walk w JOIN n ON n.key = w.key WHERE n.proc IN ('sh', 'bash', 'zsh') AND (w.first_us IS NULL OR n.us - w.first_us <= 300000000)),
 below AS (
   SELECT s.k1, p.key, 1 AS depth FROM (SELECT DISTINCT k1 FROM s1) s JOIN parents p ON p.parent_key = s.k1
   UNION SELECT b.k1, p.key, b.depth + 1 FROM below b JOIN parents p ON p.parent_key = b.key WHERE b.depth < 64
@@ -453,7 +455,22 @@ def export_cef(spark, sf_dir):
     return export.alerts_to_cef(_alerts(spark, sf_dir))
 
 
-@query("export_ecs")
+def _js(**fields: str) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{k.replace('__', '@')}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+_TEXT = lambda c: f"to_json(coalesce({c}, ''))"
+_DESCRIPTIONS = "CASE rule_id " + " ".join(f"WHEN {_q(r.id)} THEN {_q(r.description)}" for r in RULES) + " END"
+_ECS = _js(
+    __timestamp=_TEXT(_T), event=_js(kind="'\"alert\"'", category="'[\"process\"]'", type="'[\"info\"]'", risk_score="score", severity="score", dataset="'\"nightjar.alert\"'"),
+    rule=_js(id=_TEXT("rule_id"), name=_TEXT("rule_name"), description=_TEXT(_DESCRIPTIONS)),
+    process=_js(name=_TEXT("process_name"), command_line=_TEXT("command_line"), parent=_js(name=_TEXT("parent_process_name"))), user=_js(name=_TEXT('"user"')), host=_js(name="'\"\"'"),
+    nightjar=_js(kind="'\"alert\"'", severity=_TEXT("severity"), risk_band=_TEXT("risk_band")),
+)
+_ECS = f"""left({_ECS}, -1) || CASE WHEN mitre <> '' THEN ',"threat":{{"technique":{{"id":' || to_json(string_split(mitre, ',')) || '}}}}' ELSE '' END || ',"observer":{{"vendor":"nightjar","product":"nightjar"}}}}'"""
+
+
+@query("export_ecs", f"WITH {_ALERTS} SELECT {_ECS} AS line FROM alerts")
 def export_ecs(spark, sf_dir):
     return export.alerts_to_ecs(_alerts(spark, sf_dir))
 
@@ -470,3 +487,153 @@ def ingest_stream_available_now(spark, sf_dir):
     process_events(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
     run_available(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", RULES)
     return spark.read.parquet(f"{root}/out").select("event_id", "rule_id", "score")
+
+
+# ------------------------------------------------------------- sources: log lines made from the events, read back
+
+_PLAIN = "replace(command_line, '\"', chr(39))"
+
+
+def _log(spark, sf_dir, platform: str) -> DataFrame:
+    rows = process_events(spark, sf_dir).where(F.col("platform") == platform)
+    return rows.withColumn("k", F.pmod(F.col("process_id"), F.lit(7))).withColumn("_plain", F.replace("command_line", F.lit('"'), F.lit("'")))
+
+
+def _parsed(events: DataFrame) -> DataFrame:
+    return events.select(_micros("ts"), "platform", "process_name", "command_line", "user", "process_id", "parent_process_name", "parent_process_id", "working_directory")
+
+
+def _expected(platform: str, **columns: str) -> str:
+    base = {"us": "us // 1000 * 1000", "platform": "platform", "process_name": r"regexp_extract(process_name, '[^/\\]*$')", "command_line": "command_line", "user": '"user"', "process_id": "process_id", "parent_process_name": r"nullif(regexp_extract(parent_process_name, '[^/\\]*$'), '')", "parent_process_id": "parent_process_id", "working_directory": "working_directory"} | columns
+    where = base.pop("where", "true")
+    return f"WITH {_PREP} SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in base.items()) + f" FROM (SELECT *, process_id % 7 AS k7 FROM prep WHERE platform = '{platform}') WHERE {where}"
+
+
+@query("parse_auditd", _expected("linux", command_line=_PLAIN, process_name=f"regexp_extract(split_part({_PLAIN}, ' ', 1), '[^/]*$')", user="CASE k7 WHEN 0 THEN 'root' WHEN 1 THEN 'root' WHEN 2 THEN 'deploy' ELSE CAST(1000 + k7 AS VARCHAR) END", parent_process_name="CAST(NULL AS VARCHAR)"))
+def parse_auditd(spark, sf_dir):
+    """Audit records (SYSCALL, EXECVE, CWD lines out of order, one of them twice) as events, with user names from a table."""
+    from .sources import auditd
+
+    arg = lambda x, i: F.concat(F.lit("a"), i.cast("string"), F.lit('="'), x, F.lit('"'))
+    parts = F.split("_plain", " ")
+    msg = F.concat(F.lit("msg=audit("), F.format_string("%d.%03d", F.floor(F.unix_micros("ts") / 1_000_000), F.floor(F.unix_micros("ts") / 1000) % 1000), F.lit(":"), F.col("process_id").cast("string"), F.lit("): "))
+    uid = F.when(F.col("k") == 0, "").when(F.col("k") == 1, " uid=0").otherwise(F.concat(F.lit(" uid="), (F.col("k") + 1000).cast("string")))
+    ppid = F.coalesce(F.concat(F.lit(" ppid="), F.col("parent_process_id").cast("string")), F.lit(""))
+    execve = F.concat(F.lit("type=EXECVE "), msg, F.lit("argc="), F.size(parts).cast("string"), F.lit(" "), F.array_join(F.transform(parts, arg), " "))
+    lines = F.array(
+        F.concat(F.lit("type=EXECVE "), msg, F.lit('argc=1 a0="stale"')), F.coalesce(F.concat(F.lit("type=CWD "), msg, F.lit('cwd="'), F.col("working_directory"), F.lit('"')), F.lit("type=PATH item=0")), execve,
+        F.concat(F.lit("type=SYSCALL "), msg, F.lit("arch=c000003e syscall=59 pid="), F.col("process_id").cast("string"), ppid, uid),
+    )
+    rows = _log(spark, sf_dir, "linux").select("process_id", F.posexplode(lines).alias("o", "value")).select("value", F.lit("audit.log").alias("file"), (F.col("process_id") * 4 + F.col("o")).alias("at"))
+    users = spark.createDataFrame([(0, "root"), (1002, "deploy")], "uid long, name string")
+    return _parsed(auditd.events_from_lines(rows, users))
+
+
+@query("parse_sysmon", _expected("windows", where="k7 <> 3 AND k7 <> 5"))
+def parse_sysmon(spark, sf_dir):
+    """Sysmon events as XML: other event ids and records without a user are left out, pids are hexadecimal or decimal."""
+    from .sources import sysmon
+
+    def text(c) -> object:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    data = lambda n, c: F.coalesce(F.concat(F.lit(f'<Data Name="{n}">'), text(c), F.lit("</Data>")), F.lit(f'<Data Name="{n}"/>'))
+    pid = lambda c: F.when(F.col("k") % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(c)))).otherwise(F.col(c).cast("string"))
+    event = F.concat(
+        F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>'), F.when(F.col("k") == 3, "5").otherwise("1"), F.lit("</EventID></System><EventData>"),
+        data("UtcTime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")), data("ProcessId", pid("process_id")), data("Image", F.col("process_name")), data("CommandLine", F.col("command_line")),
+        data("User", F.when(F.col("k") != 5, F.col("user"))), data("ParentImage", F.col("parent_process_name")), data("ParentProcessId", pid("parent_process_id")), data("CurrentDirectory", F.col("working_directory")), F.lit("</EventData></Event>"),
+    )
+    return _parsed(sysmon.events_from_xml(_log(spark, sf_dir, "windows").select(event.alias("value"))))
+
+
+@query("parse_endpoint_security", _expected("macos", user="CASE k7 WHEN 0 THEN 'root' WHEN 1 THEN \"user\" ELSE 'uid:' || k7 END", where="k7 <> 6"))
+def parse_endpoint_security(spark, sf_dir):
+    """Endpoint Security records as JSON lines: other event kinds, blank and broken lines are left out."""
+    from .sources import endpoint_security
+
+    path = lambda c: F.struct(F.struct(F.col(c).alias("path")).alias("executable"))
+    token = F.struct(F.col("process_id").alias("pid"), F.when(F.col("k") != 1, F.col("k")).alias("euid"))
+    exec_ = F.struct(path("process_name").alias("target"), F.split("command_line", " ").alias("args"), F.col("working_directory").alias("cwd"))
+    doc = F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("time"), F.when(F.col("k") == 1, F.col("user")).alias("user"),
+        F.struct(token.alias("audit_token"), F.col("parent_process_id").alias("ppid"), F.struct(F.col("parent_process_name").alias("path")).alias("executable")).alias("process"),
+        F.struct(F.when(F.col("k") != 6, exec_).alias("exec"), F.when(F.col("k") == 6, F.lit("fork")).alias("other")).alias("event"),
+    )
+    lines = F.array(F.to_json(doc), F.lit(" "), F.lit('{"event": {"exec": '))
+    return _parsed(endpoint_security.events_from_lines(_log(spark, sf_dir, "macos").select(F.explode(lines).alias("value"))))
+
+
+# ------------------------------------------------------------- further scores, text and the store
+
+_PARENT_RULE = Rule("WIN-900", "Started by the desktop", "windows", "high", {"process_name": "powershell.exe", "parent_process": "explorer.exe"})
+
+
+@query("score_parent_rule", f"""{_ALERTS.split(", hits AS (")[0].join(["WITH ", ""])}, hit AS (
+  SELECT *, {", ".join(f"({sql}) AS {n}" for n, sql in _FLAGS.items())} FROM prep WHERE platform = 'windows' AND proc = 'powershell.exe' AND parent = 'explorer.exe'
+), c AS (
+  SELECT *, least(100, 35 + {S.CRITERIA[2]} + {S.PARENT["suspicious_parent_match"]} + CASE WHEN upper("user") IN ('SYSTEM', 'NT AUTHORITY\\SYSTEM', 'ROOT') AND (encoded_payload OR download_cradle) THEN 15 ELSE 0 END
+    + least(25, {" + ".join(f"CASE WHEN {n} THEN {w} ELSE 0 END" for n, w in A.WEIGHTS.items())})) AS confidence FROM hit
+) SELECT event_id, CAST(confidence AS INTEGER) AS confidence_subscore, CAST(floor((75 * (100 + 3 * confidence) * 3 + 400) / 800.0) AS INTEGER) AS score FROM c""")
+def score_parent_rule(spark, sf_dir):
+    """A rule that names the parent process: a matching parent adds to the confidence."""
+    return detect(process_events(spark, sf_dir), [_PARENT_RULE], explain=False).select("event_id", "confidence_subscore", "score")
+
+
+_WHITE, _ADMIN = list(S.WHITELIST.items()), list(S.ADMIN.items())
+_case = lambda value, pairs: f"CASE {value} " + " ".join(f"WHEN {k} THEN {v}" for k, (_, v) in enumerate(pairs)) + " END"
+
+
+@query("score_deltas", f"""WITH {_PREP}, d AS (
+  SELECT event_id, {S.CRITERIA[2]} AS crit, {_case("event_id % 5", _WHITE)} AS white, {_case("event_id // 5 % 5", _ADMIN)} AS admin,
+         CASE WHEN event_id % 2 = 0 THEN 12 ELSE 0 END AS usr, CASE WHEN event_id % 3 = 0 THEN -15 WHEN event_id % 3 = 1 THEN -5 ELSE 0 END AS part FROM prep
+), c AS (SELECT event_id, CAST(greatest(0, least(100, 35 + crit + white + usr + CASE WHEN usr > 0 THEN 0 ELSE admin END + part)) AS INTEGER) AS confidence FROM d)
+SELECT event_id, confidence, CAST(floor((50 * (100 + 3 * confidence) * 3 + 400) / 800.0) AS INTEGER) AS score FROM c""")
+def score_deltas(spark, sf_dir):
+    """Allow-list, administrator and partial-match adjustments of the confidence."""
+    n = F.col("event_id")
+    pick = lambda value, pairs: F.get(F.array(*[F.lit(k) for k, _ in pairs]), value.cast("int"))
+    none, two = F.array().cast("array<string>"), F.array(F.lit("process_name"), F.lit("command_regex"))
+    found = S.assess(
+        F.lit("medium"), two, two, F.lit("neutral_lineage"), F.when(n % 2 == 0, "non_admin_privileged_tool").otherwise("neutral"), none, pick(n % 5, _WHITE), pick(F.floor(n / 5) % 5, _ADMIN), F.lit("and"), n % 3 == 0,
+        F.when(n % 3 == 1, F.array(F.lit("command_regex"))).otherwise(none), explain=False,
+    )
+    return process_events(spark, sf_dir).select("event_id", found["confidence_subscore"].alias("confidence"), found["score"].alias("score"))
+
+
+@query("display_texts", f"""WITH {_PREP} SELECT event_id, CASE WHEN length(command_line) > 20 THEN left(command_line, 17) || '...' ELSE command_line END AS short,
+  strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') END AS iso,
+  CASE WHEN ({_NOW} - us) < 60000000 THEN 'Just now' WHEN ({_NOW} - us) // 60000000 < 60 THEN ({_NOW} - us) // 60000000 || 'm ago' WHEN ({_NOW} - us) // 60000000 < 1440 THEN ({_NOW} - us) // 3600000000 || 'h ago' ELSE ({_NOW} - us) // 86400000000 || 'd ago' END AS age,
+  CASE WHEN event_id % 4 = 0 THEN lower(host) WHEN event_id % 4 = 1 THEN 'named' ELSE '' END AS host FROM prep""")
+def display_texts(spark, sf_dir):
+    """Shortened commands, ISO and relative times, and the host that a raw record names."""
+    n = F.col("event_id")
+    raw = F.when(n % 4 == 0, F.to_json(F.struct(F.upper(F.concat(F.col("host"), F.lit(".."))).alias("hostname")))).when(n % 4 == 1, F.lit('{"Computer": "Named.", "hostname": ""}')).otherwise("{}")
+    return process_events(spark, sf_dir).select("event_id", X.truncate(F.col("command_line"), 20).alias("short"), X.iso_time(F.col("ts")).alias("iso"), X.relative_time(F.col("ts"), _now()).alias("age"), X.host_of(raw).alias("host"))
+
+
+@query("store_append_scan", f"WITH {_ALERTS} SELECT event_id, rule_id, score, us FROM alerts WHERE score >= 80 AND platform <> 'macos'")
+def store_append_scan(spark, sf_dir):
+    """Alerts appended to the store in two parts and read back with filters."""
+    store, found = _store(spark), _alerts(spark, sf_dir).select("event_id", "rule_id", "score", "platform", "ts")
+    store.append("alerts", found.where("platform = 'windows'"))
+    store.append("alerts", found.where("platform <> 'windows'"))
+    return store.read("alerts").where("score >= 80 AND platform <> 'macos'").select("event_id", "rule_id", "score", _micros("ts"))
+
+
+@query("store_insert_absent", f"WITH {_PRINTED} SELECT DISTINCT fingerprint, platform = 'linux' AS is_duplicate FROM printed")
+def store_insert_absent(spark, sf_dir):
+    """One row per fingerprint; those of Linux are there already."""
+    store, found = _store(spark), _printed(spark, sf_dir).select("fingerprint", "platform")
+    store.insert_absent("seen", found.where("platform = 'linux'"), "fingerprint")
+    return store.insert_absent("seen", found, "fingerprint").select("fingerprint", "is_duplicate")
+
+
+def _store(spark):
+    import uuid
+
+    from .storage import shared_dir
+
+    return episodes.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
