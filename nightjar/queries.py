@@ -199,7 +199,7 @@ def score_breakdown(spark, sf_dir):
     return detect(process_events(spark, sf_dir), RULES).select("event_id", "rule_id", b["combination"]["confidence_multiplier"].alias("multiplier"), b["confidence"]["factors"][0]["delta"].alias("criteria_delta"))
 
 
-@query("interpret_scores", f"WITH {_ALERTS} SELECT event_id, rule_id, CASE WHEN score >= 120 THEN 'Critical: Immediate action required' WHEN score >= 90 THEN 'High: Prioritize investigation' WHEN score >= 60 THEN 'Medium: Review when possible' WHEN score >= 30 THEN 'Low: Monitor for patterns' ELSE 'Informational: Low priority' END AS reading FROM alerts")
+@query("interpret_scores", f"WITH {_ALERTS} SELECT event_id, rule_id, CASE {" ".join(f"WHEN score >= {least} THEN {_q(text)}" for least, text in S.READINGS)} ELSE 'Informational: Low priority' END AS reading FROM alerts")
 def interpret_scores(spark, sf_dir):
     return _alerts(spark, sf_dir).select("event_id", "rule_id", S.interpret(F.col("score")).alias("reading"))
 
@@ -422,13 +422,72 @@ def chain_descendant(spark, sf_dir):
     return found.select("anchor", F.col("stages")[1]["node_key"].alias("k1"), F.col("stages")[2]["node_key"].alias("k2"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 
-@query("incidents_scored")
+_BAND_SQL = "CASE " + " ".join(f"WHEN score >= {least} THEN {_q(name)}" for least, name in S.BANDS) + " ELSE 'low' END"
+
+
+def _stage_sql(stage, platform: str) -> str:
+    """A chain stage over the nodes ``nn``; a phantom fails every test of its command line."""
+    name = "lower(base)" if platform == "windows" else "base"
+    out = []
+    for kind, v in stage.match.items():
+        if kind.startswith("process_name"):
+            out.append(f"{name} IN ({', '.join(_q(basename(x, platform)) for x in ([v] if isinstance(v, str) else v))})")
+        elif kind == "command_contains_any":
+            out.append("NOT ph AND " + _any("cmd_l", [x.lower() for x in v]))
+        else:
+            raise ValueError(f"no SQL for {kind}")
+    return " AND ".join(out)
+
+
+def _stage_json(alias: str, stage: str, platform: str) -> str:
+    name = f"lower({alias}.base)" if platform == "windows" else f"{alias}.base"
+    iso = f"to_json(strftime(make_timestamp({alias}.us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {alias}.us % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST({alias}.us % 1000000 AS VARCHAR), 6, '0') END)"
+    return f"""'{{"pid":' || coalesce(CAST({alias}.process_id AS VARCHAR), 'null') || ',"process_name":' || to_json({name}) || ',"stage":{_js_text(stage)},"timestamp":' || coalesce({iso}, 'null') || '}}'"""
+
+
+def _js_text(text: str) -> str:
+    import json
+
+    return json.dumps(text, ensure_ascii=False)
+
+
+def _chain_paths_sql(c) -> str:
+    """The least path of each anchor of a chain whose stages all lie below the one before."""
+    n, last = len(c.stages), len(c.stages) - 1
+    joins, tests, order = "", [], []
+    first = "s0.us"
+    for k in range(1, n):
+        joins += f" JOIN up u{k} ON u{k}.anc = s{k - 1}.key JOIN nn s{k} ON s{k}.key = u{k}.key"
+        tests.append(f"({_stage_sql(c.stages[k], c.platform)})".replace("base", f"s{k}.base").replace("cmd_l", f"s{k}.cmd_l").replace("NOT ph", f"NOT s{k}.ph"))
+        tests.append(f"(s{k - 1}.us IS NULL OR s{k}.us >= s{k - 1}.us) AND ({first} IS NULL OR s{k}.us - {first} <= {c.window_seconds * 1_000_000}::BIGINT)")
+        first = f"coalesce({first}, s{k}.us)"
+        order += [f"s{k}.us", f"coalesce(s{k}.process_id, -1)", f"s{k}.key"]
+    anchor = _stage_sql(c.stages[0], c.platform).replace("base", "s0.base").replace("cmd_l", "s0.cmd_l").replace("NOT ph", "NOT s0.ph")
+    stages = " || ',' || ".join(_stage_json(f"s{k}", st.name, c.platform) for k, st in enumerate(c.stages))
+    conf = f"least(100, {S.CHAIN_BASE + S.CHAIN_STAGE * max(0, n - 2)} + CASE WHEN s0.ph THEN 0 ELSE {S.CHAIN_CONCRETE} END)"
+    return f"""SELECT {_q(c.id)} AS chain_id, s0.host, {_q(c.severity)} AS severity, {S.SEVERITY[c.severity]} AS sub, {conf} AS confidence, {first} AS first_us, s{last}.us AS last_us, {n} AS n_stages,
+      sha256('{{"chain_id":{_js_text(c.id)},"host":' || to_json(lower(s0.host)) || ',"platform":{_js_text(c.platform)},"stages":[' || {stages} || '],"v":1}}') AS fingerprint,
+      row_number() OVER (PARTITION BY s0.key ORDER BY {', '.join(order)}) AS r
+    FROM nn s0{joins} WHERE s0.platform = {_q(c.platform)} AND {anchor} AND {' AND '.join(tests)}"""
+
+
+_INCIDENTS = f"""WITH RECURSIVE {_NODES}, up AS (
+  SELECT key, parent_key AS anc, 1 AS d FROM parents UNION SELECT u.key, p.parent_key, u.d + 1 FROM up u JOIN parents p ON p.key = u.anc WHERE u.d < 64
+), nn AS (
+  SELECT key, host, us, process_id, platform, regexp_extract(trim(process_name), '[^/\\\\]*$') AS base, cmd_l, false AS ph FROM n
+  UNION ALL SELECT parent_key, any_value(host), NULL, any_value(parent_process_id), arg_min(platform, us), regexp_extract(trim(arg_min(CASE WHEN pname <> '' THEN pname ELSE 'pid-' || parent_process_id END, us)), '[^/\\\\]*$'), '', true FROM orphan GROUP BY parent_key
+), paths AS ({" UNION ALL ".join(_chain_paths_sql(c) for c in CHAINS)}),
+found AS (SELECT *, CAST(floor((sub * (100 + 3 * confidence) * 3 + 400) / 800.0) AS INTEGER) AS score FROM paths WHERE r = 1),
+incidents AS (SELECT chain_id, host, severity, score, {_BAND_SQL} AS risk_band, CAST(confidence AS INTEGER) AS confidence, first_us, last_us, CAST(n_stages AS INTEGER) AS n_stages, fingerprint FROM found)"""
+
+
+@query("incidents_scored", f"{_INCIDENTS} SELECT * FROM incidents")
 def incidents_scored(spark, sf_dir):
     found = chains.incidents(lineage.build(process_events(spark, sf_dir)), CHAINS)
     return found.select("chain_id", "host", "severity", "score", "risk_band", "confidence", F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"), F.size("stages").alias("n_stages"), "fingerprint")
 
 
-@query("incident_filters")
+@query("incident_filters", f"{_INCIDENTS} SELECT chain_id, host, score, fingerprint FROM incidents WHERE severity = 'critical' AND score >= 100")
 def incident_filters(spark, sf_dir):
     found = chains.incidents(lineage.build(process_events(spark, sf_dir)), CHAINS)
     return Q.get_incidents(found, severity="critical", min_score=100, limit=None).select("chain_id", "host", "score", "fingerprint")
