@@ -94,3 +94,21 @@ def read_evtx(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([r.xml() for r in log.records()], pa.string())], ["value"])
 
     return events_from_xml(spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, "value string"))
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """A log file by its suffix: binary .evtx, anything else XML."""
+    return read_evtx(spark, path) if path.lower().endswith(".evtx") else read(spark, path)
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder's .evtx and .xml files; a folder without either has no events."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = None
+    for suffix, reader in (("evtx", read_evtx), ("xml", read)):
+        pattern = f"{folder.rstrip('/')}/*.{suffix}"
+        if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)):
+            part = reader(spark, pattern)
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else events_from_xml(spark.createDataFrame([], "value string"))

@@ -240,3 +240,32 @@ def test_store_lifecycle(spark, tmp_path):
     one = spark.createDataFrame([("k", 1)], "fingerprint string, n int")
     assert [r[1] for r in store.insert_absent("i", one, "fingerprint").collect()] == [False]
     assert [r[1] for r in store.insert_absent("i", one, "fingerprint").collect()] == [True] and store.read("i").count() == 1
+
+
+def test_repeated_events_make_one_node_each_and_deep_lineage(spark):
+    """An event read twice, and a line of processes deeper than any fixed number of joins below it."""
+    from datetime import datetime, timedelta
+
+    from nightjar.operators import lineage
+    from nightjar.schema import as_events
+
+    rows = [(k, datetime(2026, 1, 1) + timedelta(seconds=k), "linux", "sh", "sh", k, k - 1 if k else None, "h") for k in range(80)]
+    rows += rows[3:4] * 2 + rows[70:71]
+    events = as_events(spark.createDataFrame(rows, "event_id long, ts timestamp, platform string, process_name string, command_line string, process_id long, parent_process_id long, host string"))
+    nodes = lineage.build(events)
+    assert nodes.count() == 80 and nodes.select("key").distinct().count() == 80
+    found = {(r["key"], r["anc"]): r["depth"] for r in lineage.ancestors(nodes).collect()}
+    assert found == {(f"h|{a}|{a}", f"h|{b}|{b}"): a - b for a in range(80) for b in range(max(0, a - 64), a)}
+
+
+def test_log_folders_are_read_by_file_name(spark, tmp_path):
+    from nightjar.sources import read_events
+
+    line = 'type=EXECVE msg=audit(1700000000.5:{0}): argc=1 a0="ls"\n'
+    for name, n in (("audit.log", 1), ("audit.log.1", 2), ("other.txt", 3)):
+        (tmp_path / name).write_text(line.format(n))
+    assert read_events(spark, "linux", str(tmp_path)).count() == 2
+    assert read_events(spark, "linux", str(tmp_path / "other.txt")).count() == 1
+    assert read_events(spark, "windows", str(tmp_path)).count() == 0
+    (tmp_path / "e.xml").write_text('<Event><System><EventID>1</EventID></System><EventData><Data Name="ProcessId">5</Data><Data Name="Image">a.exe</Data><Data Name="CommandLine">a</Data><Data Name="User">u</Data><Data Name="UtcTime">2026-01-01 00:00:00.000</Data></EventData></Event>')
+    assert read_events(spark, "windows", str(tmp_path)).count() == 1
