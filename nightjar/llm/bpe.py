@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 ``encode`` turns a text column into token ids, ``decode`` turns ids back into
-raw bytes.  Both run the tiktoken library over a local rank file inside
-``mapInArrow``.  A long text is first cut so that the library's regular
+raw bytes, ``round_trip`` does both.  They run the tiktoken library over a local rank
+file inside ``mapInArrow``.  A long text is first cut so that the library's regular
 expression never sees more than about a hundred thousand characters, and no long
 run of white space, whose look-ahead would overflow its stack:
 
@@ -94,56 +94,77 @@ def encode_text(encoding, text: str) -> list[int]:
     return out
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, column: str = "text", output: str = "ids") -> DataFrame:
-    """``df`` with the token ids of ``column`` as an array<int> column ``output``.
+@lru_cache(maxsize=4)
+def _tokens(ranks: str, pattern: str) -> list[bytes]:
+    """The bytes of every token id."""
+    known = load_encoding(ranks, pattern)._mergeable_ranks
+    by_id = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
+        by_id[rank] = token
+    return by_id
 
-    The text column itself is dropped (select it beside the ids by a join if it is needed);
-    ``ranks`` is a rank file that every executor has at that path.
-    """
-    others = [c for c in df.columns if c not in (column, output)]
-    schema = T.StructType([df.schema[c] for c in others] + [T.StructField(output, T.ArrayType(T.IntegerType(), False), False)])
+
+def _ids(texts: pa.Array, ranks: str, pattern: str) -> pa.ListArray:
+    encoding = load_encoding(ranks, pattern)
+    ids = [np.asarray(encode_text(encoding, t.as_py() or ""), np.int32) for t in texts]
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _bytes(ids: pa.ListArray, ranks: str, pattern: str) -> pa.Array:
+    by_id = _tokens(ranks, pattern)
+    return pa.array([b"".join(map(by_id.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+_IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def _added(df: DataFrame, kept: list[str], column: str, outputs: dict[str, T.DataType], make) -> DataFrame:
+    """The columns ``kept`` of ``df`` and those that ``make`` derives from ``column``, by ROWS rows at a time."""
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t, False) for n, t in outputs.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(ranks, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                ids = [np.asarray(encode_text(encoding, t.as_py() or ""), np.int32) for t in b.column(len(others))]
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=ends[1:])
-                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*others, output])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *make(b.column(len(kept)))], [*kept, *outputs])
             trim()
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_of")).mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, ranks: str, pattern: str, column: str = "text", output: str = "ids") -> DataFrame:
+    """``df`` with the token ids of ``column`` as an array<int> column ``output``.
+
+    The text column itself is dropped (select it beside the ids by a join if it is needed);
+    ``ranks`` is a rank file that every executor has at that path.
+    """
+    kept = [c for c in df.columns if c not in (column, output)]
+    return _added(df, kept, column, {output: _IDS}, lambda texts: [_ids(texts, ranks, pattern)])
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, column: str = "ids", output: str = "decoded") -> DataFrame:
     """``df`` with the raw bytes of the token ids in ``column`` as a binary column ``output``
     (bytes, as ids may end inside a character).  The ids stay."""
     kept = [c for c in df.columns if c != output]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(output, T.BinaryType(), False)])
+    return _added(df, kept, column, {output: T.BinaryType()}, lambda ids: [_bytes(ids, ranks, pattern)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(ranks, pattern)
-        n = max(encoding._mergeable_ranks.values()) + 1
-        by_id = [b""] * n
-        for token, rank in encoding._mergeable_ranks.items():
-            by_id[rank] = token
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                ids = b.column(kept.index(column))
-                out = [b"".join(map(by_id.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in ids]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*kept, output])
-            trim()
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+def round_trip(df: DataFrame, ranks: str, pattern: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that a task keeps one Python worker instead of two and ids go to the JVM once."""
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        found = _ids(texts, ranks, pattern)
+        return [found, _bytes(found, ranks, pattern)]
+
+    kept = [c for c in df.columns if c not in (column, ids, decoded)]
+    return _added(df, kept, column, {ids: _IDS, decoded: T.BinaryType()}, both)
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encode and decode ``docs`` and reduce both to counts and digests, one row per document."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks, pattern)
+    both = round_trip(docs.select("doc_id", "text"), ranks, pattern)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

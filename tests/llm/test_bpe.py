@@ -84,6 +84,8 @@ def test_long_texts_of_one_kind(reference, text):
 def test_round_trip(odd_docs, odd_rows, reference):
     out = bpe.decode(bpe.encode(odd_docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "_row", "name", "found", "ids", "decoded"]
+    once = bpe.round_trip(odd_docs, RANKS, P.PATTERN)
+    assert once.schema == out.schema and sorted(map(repr, once.collect())) == sorted(map(repr, out.collect()))
     got = {r["doc_id"]: r for r in out.collect() if r["doc_id"] is not None}
     for d, t in odd_rows:
         assert list(got[d]["ids"]) == reference.encode_ordinary(t or "")
