@@ -11,6 +11,9 @@ of tokens of a text is the sum over its pre-tokens, the runs between white space
   It holds every pre-token that makes up more than 1 / ENTRIES of all.
 * Second tier: a pre-token that the table lacks is encoded by the tokenizers library and
   kept in the worker's cache of CACHE_ENTRIES entries (CACHE_CHARS characters at most each).
+  Where the file splits by SPLIT after lower-casing, a pre-token of printable ASCII without an apostrophe is first
+  taken apart as that pattern does (runs of letters, single digits, runs of marks), and its parts are looked up; a
+  part needs the library's merges only, not its normalisation.
 
 No pre-token is shuffled; which ones are frequent only decides about time, never about
 a count.  Long texts are cut at white space, about PART_CHARS characters at a time; a
@@ -25,6 +28,7 @@ are ignored whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -51,6 +55,11 @@ PART_CHARS = 1_000_000
 LIMIT = 2048
 #: str.split() also splits at these four, which are not white space to the library.
 _CONTROLS = re.compile("[\x1c-\x1f]")
+# Fixed value: the pattern of the .json file whose matches are the pre-tokens, after NFC and lower-casing.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Printable ASCII without apostrophes (such a byte stands for itself in the vocabulary), and what SPLIT does to it in lower case.
+_PRINTABLE = re.compile("[!-&(-~]+")
+_ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 _SURE_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -82,17 +91,34 @@ def load(path: str):
     return tokenizer
 
 
+def splits_by(tokenizer, pattern: str = SPLIT) -> bool:
+    """Whether the tokenizer's file says: NFC, white space to blanks, lower case, then the matches of ``pattern``, each byte by byte."""
+    said = json.loads(tokenizer.to_str())
+    normal, split = ((said.get(k) or {}) for k in ("normalizer", "pre_tokenizer"))
+    first, *more = split.get("pretokenizers") or [{}]
+    return (
+        [x.get("type") for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and (first.get("type"), first.get("pattern"), first.get("invert"), first.get("behavior")) == ("Split", {"Regex": pattern}, True, "Removed")
+        and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in more] == [("ByteLevel", False, False)]
+    )
+
+
 class Lengths(dict):
     """Pre-token -> number of tokens: the broadcast entries, and a bounded cache of others behind them."""
 
     def __init__(self, tokenizer, tokens: list[str], lengths: list[int]) -> None:
         super().__init__(zip(tokens, lengths, strict=True))
-        self.encode, self.cache = tokenizer.encode, {}
+        self.encode, self.merge, self.cache = tokenizer.encode, tokenizer.model.tokenize, {}
+        self.plain, self.special = splits_by(tokenizer), tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, token: str) -> int:
         n = self.cache.get(token)
         if n is None:
-            n = len(self.encode(token, add_special_tokens=False).ids)
+            if not self.plain or not _PRINTABLE.fullmatch(token) or any(x in token for x in self.special):
+                n = len(self.encode(token, add_special_tokens=False).ids)
+            else:
+                taken = _ASCII.findall(token.lower())
+                n = len(self.merge(token)) if taken == [token] else sum(map(self.__getitem__, taken))
             if len(token) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()

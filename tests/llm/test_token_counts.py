@@ -16,6 +16,13 @@ def brute(text):
     return len(tokenizer.encode(text or "", add_special_tokens=False).ids)
 
 
+_ONE = tc.load(PATH)
+
+
+def brute_with(text):
+    return len(_ONE.encode(text, add_special_tokens=False).ids)
+
+
 def counted(df, **more):
     return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_bytes"], r["n_tokens"]) for r in tc.count(df.select("doc_id", "text", "ids"), PATH, **more).collect())
 
@@ -44,6 +51,15 @@ def test_small_tables_and_caches_change_nothing(docs, monkeypatch):
     assert lengths.of(text) == brute(text) and len(lengths.cache) <= 2
 
 
+def test_ascii_parts_are_those_of_the_library():
+    rng = random.Random(2)
+    lengths = tc.Lengths(tc.load(PATH), [], [])
+    assert lengths.plain
+    for _ in range(3000):
+        token = "".join(rng.choice("abcXYZ019.,-<|>'_\x1c\x00endoftext") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "<|endoftext|>", "'ll", "é"])
+        assert lengths[token] == brute_with(token), token
+
+
 def test_frequent_holds_every_heavy_word(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(10**6)}"]) for _ in range(50)) for _ in range(300)]
