@@ -204,7 +204,7 @@ def mine(rows: DataFrame, anchors: Column, label: Column | None = None, mining:
     in_order = F.array_sort(F.collect_list(F.struct("rank", "score")))  # mining.positives entries at most
     windows = positives.groupBy(F.col("anchor_row").alias("row")).agg(F.transform(in_order, lambda x: x["score"]).alias("_scores"))
     # integer limits: the window's lower one rounded up, its upper one down
-    down = "({0} * s - pmod({0} * s, 100)) div 100"
+    down = "{0} * ((s - pmod(s, 100)) div 100) + ({0} * pmod(s, 100) - pmod({0} * pmod(s, 100), 100)) div 100"  # no product above the result
     asked = b.anchors.join(windows, "row").withColumn("lows", F.expr(f"transform(_scores, s -> -({down.format(-mining.low)}))"))
     asked = asked.withColumn("highs", F.expr(f"transform(_scores, s -> {down.format(mining.high)})")).drop("_scores")
     negatives = _lists(b, asked, mining.negatives, same=False)

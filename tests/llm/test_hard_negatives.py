@@ -69,7 +69,7 @@ def test_bounds_leave_cells_out(spark, monkeypatch):
     monkeypatch.setattr(hn, "materialize", counting)
     monkeypatch.setattr(hn, "BUCKET_BYTES", 500)
     rng = random.Random(5)
-    rows = [(k, [abs(rng.gauss(1, 0.2)) * 0.97**k for _ in range(4)], k % 3) for k in range(400)]
+    rows = [(k, [abs(rng.gauss(1, 0.2)) * (0.98**k if k % 10 else 1) for _ in range(4)], k % 3) for k in range(400)]
     mining = Mining(positives=3, negatives=4)
     got = sorted(tuple(r) for r in mine(frame(spark, rows), F.col("vec_id") % 10 == 0, mining=mining).collect())
     assert got == brute(rows, mining, 10)
