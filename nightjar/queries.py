@@ -570,7 +570,7 @@ def _expected(platform: str, **columns: str) -> str:
 
 @query("parse_auditd", _expected("linux", command_line=_PLAIN, process_name=f"regexp_extract(split_part({_PLAIN}, ' ', 1), '[^/]*$')", user="CASE k7 WHEN 0 THEN 'root' WHEN 1 THEN 'root' WHEN 2 THEN 'deploy' ELSE CAST(1000 + k7 AS VARCHAR) END", parent_process_name="CAST(NULL AS VARCHAR)"))
 def parse_auditd(spark, sf_dir):
-    """Audit records (SYSCALL, EXECVE, CWD lines out of order, one of them twice) as events, with user names from a table."""
+    """Audit records (SYSCALL, EXECVE, CWD lines out of order, one of them twice, one that no number fits) as events, with user names from a table."""
     from .sources import auditd
 
     arg = lambda x, i: F.concat(F.lit("a"), i.cast("string"), F.lit('="'), x, F.lit('"'))
@@ -582,15 +582,16 @@ def parse_auditd(spark, sf_dir):
     lines = F.array(
         F.concat(F.lit("type=EXECVE "), msg, F.lit('argc=1 a0="stale"')), F.coalesce(F.concat(F.lit("type=CWD "), msg, F.lit('cwd="'), F.col("working_directory"), F.lit('"')), F.lit("type=PATH item=0")), execve,
         F.concat(F.lit("type=SYSCALL "), msg, F.lit("arch=c000003e syscall=59 pid="), F.col("process_id").cast("string"), ppid, uid),
+        F.lit('type=EXECVE msg=audit(99999999999999999999.000:1): argc=900000000 a0="x"'),
     )
-    rows = _log(spark, sf_dir, "linux").select("process_id", F.posexplode(lines).alias("o", "value")).select("value", F.lit("audit.log").alias("file"), (F.col("process_id") * 4 + F.col("o")).alias("at"))
+    rows = _log(spark, sf_dir, "linux").select("process_id", F.posexplode(lines).alias("o", "value")).select("value", F.lit("audit.log").alias("file"), (F.col("process_id") * 5 + F.col("o")).alias("at"))
     users = spark.createDataFrame([(0, "root"), (1002, "deploy")], "uid long, name string")
     return _parsed(auditd.events_from_lines(rows, users))
 
 
 @query("parse_sysmon", _expected("windows", where="k7 <> 3 AND k7 <> 5"))
 def parse_sysmon(spark, sf_dir):
-    """Sysmon events as XML: other event ids and records without a user are left out, pids are hexadecimal or decimal."""
+    """Sysmon events as XML: other event ids and records without a user are left out, pids are hexadecimal or decimal, of two images the last counts."""
     from .sources import sysmon
 
     def text(c) -> object:
@@ -602,7 +603,7 @@ def parse_sysmon(spark, sf_dir):
     pid = lambda c: F.when(F.col("k") % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(c)))).otherwise(F.col(c).cast("string"))
     event = F.concat(
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><EventID>'), F.when(F.col("k") == 3, "5").otherwise("1"), F.lit("</EventID></System><EventData>"),
-        data("UtcTime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")), data("ProcessId", pid("process_id")), data("Image", F.col("process_name")), data("CommandLine", F.col("command_line")),
+        data("UtcTime", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")), data("ProcessId", pid("process_id")), data("Image", F.lit("first.exe")), data("Image", F.col("process_name")), data("CommandLine", F.col("command_line")),
         data("User", F.when(F.col("k") != 5, F.col("user"))), data("ParentImage", F.col("parent_process_name")), data("ParentProcessId", pid("parent_process_id")), data("CurrentDirectory", F.col("working_directory")), F.lit("</EventData></Event>"),
     )
     return _parsed(sysmon.events_from_xml(_log(spark, sf_dir, "windows").select(event.alias("value"))))
@@ -621,7 +622,7 @@ def parse_endpoint_security(spark, sf_dir):
         F.struct(token.alias("audit_token"), F.col("parent_process_id").alias("ppid"), F.struct(F.col("parent_process_name").alias("path")).alias("executable")).alias("process"),
         F.struct(F.when(F.col("k") != 6, exec_).alias("exec"), F.when(F.col("k") == 6, F.lit("fork")).alias("other")).alias("event"),
     )
-    lines = F.array(F.to_json(doc), F.lit(" "), F.lit('{"event": {"exec": '))
+    lines = F.array(F.to_json(doc), F.lit(" "), F.lit('{"event": {"exec": '), F.lit('{"time": 99999999999999, "process": [], "event": {"exec": 3}}'))
     return _parsed(endpoint_security.events_from_lines(_log(spark, sf_dir, "macos").select(F.explode(lines).alias("value"))))
 
 

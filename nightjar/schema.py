@@ -41,5 +41,17 @@ def as_events(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in EVENT])
 
 
+def time_of_seconds(text: Column) -> Column:
+    """The time of epoch seconds (a number with up to six digits behind the point); null for any other text and beyond the year 9999."""
+    seconds = text.try_cast("decimal(38,6)")
+    return F.when((seconds >= -62_135_596_800) & (seconds < 253_402_300_800), F.timestamp_micros((seconds * 1_000_000).try_cast("long")))
+
+
+def time_of_text(text: Column) -> Column:
+    """A written time; null for any other text and outside the years 1 to 9999."""
+    ts = text.try_cast("timestamp")
+    return F.when((ts >= F.lit("0001-01-01").cast("timestamp")) & (ts < F.lit("9999-12-31 23:59:59").cast("timestamp")), ts)
+
+
 def event_struct() -> Column:
     return F.struct(*[F.col(c) for c in EVENT_COLUMNS])

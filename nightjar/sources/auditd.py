@@ -1,7 +1,9 @@
 """Linux auditd logs as events.
 
 Records are the lines of one audit id in one file; of each record type the last
-line counts, and a record without EXECVE is no event.
+line counts, and a record without EXECVE is no event, nor is one without a time or
+an argument.  Whatever else a line holds, it ends no job: numbers that are none or
+too large count as missing.  Of a folder, files that cannot be read are skipped.
 """
 
 from __future__ import annotations
@@ -9,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import as_events
-from ..storage import bounded
+from ..schema import as_events, time_of_seconds
+from ..storage import bounded, skipping
 
 _KINDS = ("EXECVE", "SYSCALL", "CWD")
 
@@ -20,19 +22,25 @@ def _number(text: Column, pattern: str) -> Column:
 
 
 def arguments(execve: Column) -> Column:
-    """The command line of an EXECVE record: its first argc arguments, quoted or bare, missing ones left out."""
-    n = F.coalesce(_number(execve, r"argc=(\d+)"), F.lit(0)).cast("int")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    """The command line of an EXECVE record: those of its first argc arguments that are there, in order, quoted or bare.
 
-    def one(i: Column) -> Column:
-        key = F.concat(F.lit(r"\ba"), i.cast("string"), F.lit("="))
-        quoted = F.concat(key, F.lit('"([^"]*)"'))
-        bare = F.concat(key, F.lit(r"(\S+)"))
-        has = lambda p: F.rlike(execve, p)
-        take = lambda p: F.call_function("regexp_extract", execve, p, F.lit(1))
-        return F.when(has(quoted), take(quoted)).when(has(bare), F.regexp_replace(take(bare), '"$', ""))
+    One pass finds all of them, so that cost and memory follow the line and not the number that it states; of an
+    argument given several times the first quoted one counts, else the first bare one.
+    """
+    argument = F.lit(r'(?U)\ba(0|[1-9][0-9]{0,8})=(?=("[^"]*")|(\S+))')
+    places, quoted, bare = (F.regexp_extract_all(execve, argument, F.lit(k)) for k in (1, 2, 3))
 
-    return F.array_join(F.filter(F.transform(places, one), lambda x: x.isNotNull()), " ")
+    def one(x: Column, k: Column) -> Column:
+        # as sorted: place, quoted before bare, order in the line
+        in_quotes = x["q"] != ""
+        text = F.when(in_quotes, F.regexp_replace(x["q"], '^"|"$', "")).otherwise(F.regexp_replace(x["b"], '"$', ""))
+        return F.struct(x["i"].try_cast("long").alias("i"), (~in_quotes).alias("bare"), k.alias("k"), text.alias("text"))
+
+    found = F.array_sort(F.transform(F.arrays_zip(places.alias("i"), quoted.alias("q"), bare.alias("b")), one))
+    before = F.concat(F.array(F.lit(None).cast("struct<i:bigint,bare:boolean,k:int,text:string>")), found)
+    n = F.coalesce(_number(execve, r"argc=(\d+)"), F.when(F.rlike(execve, F.lit(r"argc=\d")), F.lit(2**31)), F.lit(0))  # a number beyond any: all that are there
+    taken = F.zip_with(found, before, lambda x, last: F.when(x["i"].isNotNull() & (x["i"] < n) & (last["i"].isNull() | (last["i"] != x["i"])), x["text"]))
+    return F.array_join(F.filter(taken, lambda x: x.isNotNull()), " ")
 
 
 def _cwd(text: Column) -> Column:
@@ -40,9 +48,9 @@ def _cwd(text: Column) -> Column:
 
 
 def audit_time(text: Column) -> Column:
-    """Time of an audit id or of a bare epoch number."""
+    """Time of an audit id or of a bare epoch number; null if there is none that a time can be."""
     epoch = F.coalesce(F.nullif(F.regexp_extract(text, r"audit\((\d+(?:\.\d+)?):\d+\)", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*$", 1), F.lit("")))
-    return F.timestamp_micros(F.round(epoch.cast("decimal(20,6)") * 1_000_000).cast("long"))
+    return time_of_seconds(epoch)
 
 
 def events_from_lines(lines: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -68,14 +76,14 @@ def events_from_lines(lines: DataFrame, users: DataFrame | None = None) -> DataF
     return as_events(named.withColumn("event_id", F.abs(F.xxhash64("file", "raw"))))
 
 
-def read(spark: SparkSession, path: str | list[str], users: DataFrame | None = None) -> DataFrame:
-    """auditd files (or a folder's ``audit.log*``) as events."""
+def read(spark: SparkSession, path: str | list[str], users: DataFrame | None = None, skip_bad: bool = False) -> DataFrame:
+    """auditd files as events; ``skip_bad`` leaves out files that cannot be read (Spark logs them)."""
     paths = [path] if isinstance(path, str) else path
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.options(**skipping(skip_bad)).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     return events_from_lines(lines, users)
 
 
 def read_folder(spark: SparkSession, folder: str, users: DataFrame | None = None) -> DataFrame:
-    return read(spark, f"{folder.rstrip('/')}/audit.log*", users)
+    return read(spark, f"{folder.rstrip('/')}/audit.log*", users, skip_bad=True)
 
 

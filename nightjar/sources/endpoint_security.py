@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import as_events
+from ..schema import as_events, time_of_seconds, time_of_text
+from ..storage import skipping
 
 
 def es_time(text: Column) -> Column:
     """ISO time (also with Z) or epoch seconds; what cannot be read is the epoch."""
-    number = F.timestamp_micros(F.round(text.try_cast("decimal(20,6)") * 1_000_000).cast("long"))
-    return F.coalesce(number, text.try_cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    return F.coalesce(time_of_seconds(text), time_of_text(text), F.timestamp_seconds(F.lit(0)))
 
 
 def basename(path: Column) -> Column:
@@ -42,10 +42,10 @@ def events_from_lines(lines: DataFrame) -> DataFrame:
     ))
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return events_from_lines(spark.read.text([path] if isinstance(path, str) else path))
+def read(spark: SparkSession, path: str | list[str], skip_bad: bool = False) -> DataFrame:
+    return events_from_lines(spark.read.options(**skipping(skip_bad)).text([path] if isinstance(path, str) else path))
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder's .ndjson, .json and .log files."""
-    return read(spark, f"{folder.rstrip('/')}/*.{{ndjson,json,log}}")
+    """A folder's .ndjson, .json and .log files; those that cannot be read are skipped."""
+    return read(spark, f"{folder.rstrip('/')}/*.{{ndjson,json,log}}", skip_bad=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import as_events
+from ..storage import skipping
 
 _EVENT = r"(?s)<Event[ >].*?</Event>"
 REQUIRED = ("ProcessId", "Image", "CommandLine", "User", "UtcTime")
@@ -18,11 +19,15 @@ def _unescape(text: Column) -> Column:
 
 
 def data_map(xml: Column) -> Column:
-    """Name -> text of an event's Data elements, as an array of structs."""
+    """Name and text of an event's Data elements, as an array of structs; of elements of one name the last counts."""
     items = F.regexp_extract_all(xml, F.lit(r"""(?s)<Data\s+Name=["'][^"']*["']\s*(?:/>|>.*?</Data>)"""), F.lit(0))
     name = lambda x: F.regexp_extract(x, r"""Name=["']([^"']*)["']""", 1)
     value = lambda x: _unescape(F.regexp_extract(x, r"(?s)>(.*)</Data>$", 1))
-    return F.transform(items, lambda x: F.struct(name(x).alias("name"), value(x).alias("value")))
+    found = F.transform(items, lambda x, k: F.struct(name(x).alias("name"), (-k).alias("k"), value(x).alias("value")))
+    ordered = F.array_sort(found)  # by name, the last first
+    before = F.concat(F.array(F.lit(None).cast("struct<name:string,k:int,value:string>")), ordered)
+    last = F.zip_with(ordered, before, lambda x, p: F.when(x["name"].isNotNull() & (p["name"].isNull() | (p["name"] != x["name"])), x))
+    return F.transform(F.array_sort(F.transform(F.filter(last, lambda x: x.isNotNull()), lambda x: F.struct((-x["k"]).alias("k"), x["name"].alias("name"), x["value"].alias("value")))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
 
 
 def number(text: Column) -> Column:
@@ -36,7 +41,7 @@ def events_from_xml(xml: DataFrame) -> DataFrame:
     """``xml``: one Event element per row in ``value``; rows without a needed field or with a bad pid are left out."""
     rows = xml.where(F.regexp_extract("value", r"<EventID[^>]*>\s*(\d+)\s*</EventID>", 1) == "1").select("value", data_map(F.col("value")).alias("data"))
     get = lambda k: F.get(F.transform(F.filter("data", lambda d: d["name"] == k), lambda d: d["value"]), F.lit(0))
-    rows = rows.select("value", *[get(k).alias(k) for k in (*REQUIRED, "ParentImage", "ParentProcessId", "CurrentDirectory")], F.to_json(F.struct(F.map_from_entries(F.array_distinct(F.transform("data", lambda d: F.struct(d["name"], d["value"])))).alias("parsed"))).alias("raw"))
+    rows = rows.select("value", *[get(k).alias(k) for k in (*REQUIRED, "ParentImage", "ParentProcessId", "CurrentDirectory")], F.to_json(F.struct(F.map_from_entries("data").alias("parsed"))).alias("raw"))
     for k in REQUIRED:
         rows = rows.where(F.coalesce(F.col(k), F.lit("")) != "")
     base = lambda c: F.regexp_extract(c, r"[^/\\]*$", 0)
@@ -49,9 +54,9 @@ def events_from_xml(xml: DataFrame) -> DataFrame:
     return as_events(out.where("process_id IS NOT NULL AND ts IS NOT NULL"))
 
 
-def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], skip_bad: bool = False) -> DataFrame:
     """XML files that each hold one Event element; files with several are no valid document and give nothing."""
-    whole = spark.read.text([path] if isinstance(path, str) else path, wholetext=True)
+    whole = spark.read.options(**skipping(skip_bad)).text([path] if isinstance(path, str) else path, wholetext=True)
     one = F.regexp_extract_all("value", F.lit(_EVENT), F.lit(0))
     return events_from_xml(whole.where(F.size(one) == 1).select(F.get(one, F.lit(0)).alias("value")))
 
@@ -109,6 +114,6 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     for suffix, reader in (("evtx", read_evtx), ("xml", read)):
         pattern = f"{folder.rstrip('/')}/*.{suffix}"
         if fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)):
-            part = reader(spark, pattern)
+            part = reader(spark, pattern) if reader is read_evtx else reader(spark, pattern, skip_bad=True)
             out = part if out is None else out.unionByName(part)
     return out if out is not None else events_from_xml(spark.createDataFrame([], "value string"))

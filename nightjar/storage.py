@@ -33,6 +33,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def skipping(bad_files: bool) -> dict[str, str]:
+    """Reader options that leave out files which are corrupt or gone meanwhile."""
+    return {"ignoreCorruptFiles": str(bad_files).lower(), "ignoreMissingFiles": str(bad_files).lower()}
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted rows stay below the bound."""
     return F.broadcast(df) if df.count() <= most else df
