@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +58,7 @@ def episodes(alerts: DataFrame, hours: int = 24) -> DataFrame:
     ).withColumn("state", F.lit("new"))
 
 
-_FOLD = "fingerprint string, episode long, occurrence_count long, first_seen timestamp, last_seen timestamp, score int, first_event_id long, last_event_id long, state string, is_new boolean"
+_FOLD = "fingerprint string, episode long, occurrence_count long, first_seen timestamp, last_seen timestamp, score int, first_event_id long, last_event_id long, state string, is_new boolean, changed boolean"
 
 
 def _fold(window: pd.Timedelta):
@@ -73,18 +73,18 @@ def _fold(window: pd.Timedelta):
                     key, open_ = r.fingerprint, []
                 if r.stored:
                     open_.append({"fingerprint": key, "episode": r.episode, "occurrence_count": r.occurrence_count, "first_seen": r.first_seen, "last_seen": r.last_seen, "score": r.score,
-                                  "first_event_id": r.first_event_id, "last_event_id": r.last_event_id, "state": r.state, "is_new": False})
+                                  "first_event_id": r.first_event_id, "last_event_id": r.last_event_id, "state": r.state, "is_new": False, "changed": False})
                     continue
                 fit = [e for e in open_ if e["state"] in OPEN_STATES and e["last_seen"] >= r.first_seen - window and e["first_seen"] <= r.first_seen + window]
                 if fit:
                     e = max(fit, key=lambda e: e["last_seen"])
                     e["occurrence_count"] += 1
                     e["first_seen"], e["last_seen"] = min(e["first_seen"], r.first_seen), max(e["last_seen"], r.first_seen)
-                    e["score"], e["last_event_id"] = max(e["score"], r.score), r.first_event_id
+                    e["score"], e["last_event_id"], e["changed"] = max(e["score"], r.score), r.first_event_id, True
                 else:
                     n = max([e["episode"] for e in open_], default=0) + 1
                     open_.append({"fingerprint": key, "episode": n, "occurrence_count": 1, "first_seen": r.first_seen, "last_seen": r.first_seen, "score": r.score,
-                                  "first_event_id": r.first_event_id, "last_event_id": r.first_event_id, "state": "new", "is_new": True})
+                                  "first_event_id": r.first_event_id, "last_event_id": r.first_event_id, "state": "new", "is_new": True, "changed": True})
             if done:
                 yield pd.DataFrame(done)
                 done = []
@@ -107,98 +107,4 @@ def fold_arrivals(alerts: DataFrame, stored: DataFrame | None = None, hours: int
     return ordered.mapInPandas(_fold(pd.Timedelta(hours=hours)), _FOLD)
 
 
-class Store:
-    """Versioned tables in one folder: every change writes a new version, readers see whole versions only.
-
-    Versions make the store independent of any table format and safe against lost executors:
-    a write that fails leaves the older version in place.
-    """
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _versions(self, table: str) -> list[int]:
-        folder = self._path(f"{self.root}/{table}")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self._versions(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v{v[-1]:08d}") if v else None
-
-    def write(self, table: str, df: DataFrame) -> DataFrame:
-        v = self._versions(table)
-        n = (v[-1] if v else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{n:08d}")
-        for old in v[:-1]:
-            self._fs.delete(self._path(f"{self.root}/{table}/v{old:08d}"), True)
-        return self.read(table)
-
-    def append(self, table: str, df: DataFrame) -> DataFrame:
-        old = self.read(table)
-        return self.write(table, df if old is None else old.unionByName(df, allowMissingColumns=True))
-
-    def insert_absent(self, table: str, df: DataFrame, key: str) -> DataFrame:
-        """Append the rows of ``df`` whose key is new (one row per key); returns ``df``'s keys with is_duplicate."""
-        one = df.dropDuplicates([key])
-        old = self.read(table)
-        if old is None:
-            self.write(table, one)
-            return one.select(key, F.lit(False).alias("is_duplicate"))
-        known = old.select(key, F.lit(True).alias("is_duplicate"))
-        result = one.select(key).join(known, key, "left").select(key, F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
-        fresh = one.join(old.select(key), key, "left_anti")
-        self.write(table, old.unionByName(fresh, allowMissingColumns=True))
-        return result
-
-    def set_state(self, table: str, alert_id: str, state: str, author: str, reason: str = "", now: Column | None = None) -> bool:
-        """Change an alert's state (any to any) and add one audit row; False if there is no such alert."""
-        if state not in STATES:
-            raise ValueError(f"unknown state {state!r}; one of {', '.join(STATES)}")
-        old = self.read(table)
-        row = old.where(F.col("alert_id") == alert_id).select("state").head(1) if old is not None else []
-        if not row:
-            return False
-        self.write(table, old.withColumn("state", F.when(F.col("alert_id") == alert_id, F.lit(state)).otherwise(F.col("state"))))
-        entry = self.spark.createDataFrame([(alert_id, "state_change", row[0]["state"], state, author, reason, None)], AUDIT)
-        self.append("audit", entry.withColumn("at", F.current_timestamp() if now is None else now))
-        return True
-
-    def add_suppression(self, fingerprint: str, scope: str, scope_value: str | None, author: str, reason: str, hours: int, now: Column | None = None) -> int:
-        if scope not in ("global", "host"):
-            raise ValueError("scope is global or host")
-        if scope == "host" and not scope_value:
-            raise ValueError("a host suppression names its host")
-        if hours < 1:
-            raise ValueError("a suppression lasts an hour at least")
-        old = self.read("suppressions")
-        n = 1 + (0 if old is None else old.agg(F.max("suppression_id")).first()[0] or 0)
-        now = F.current_timestamp() if now is None else now
-        row = self.spark.createDataFrame([(n, fingerprint, scope, scope_value, author, reason, None, None, True)], SUPPRESSION)
-        self.append("suppressions", row.withColumn("starts_at", now).withColumn("expires_at", now + F.make_dt_interval(hours=F.lit(hours))))
-        return n
-
-    def save_episodes(self, table: str, alerts: DataFrame, hours: int = 24, now: Column | None = None) -> dict[str, int]:
-        """Fold alerts (with fingerprints) into the stored episodes; counts of new, duplicate and suppressed alerts."""
-        suppressions = self.read("suppressions")
-        if suppressions is not None:
-            alerts = suppress(alerts, suppressions, F.current_timestamp() if now is None else now)
-        else:
-            alerts = alerts.withColumn("suppressed", F.lit(False))
-        kept = alerts.where(~F.col("suppressed"))
-        old = self.read(table)
-        folded = fold_arrivals(kept, old, hours)
-        first = kept.select(F.col("event_id").alias("first_event_id"), "fingerprint", "activity_fingerprint", "fp_host", *[c for c in ("rule_id", "rule_name", "severity", "platform", "process_name", "command_line", "user", "parent_process_name", "mitre_attack", "description", "risk_band")])
-        details = first.dropDuplicates(["first_event_id", "fingerprint"])
-        if old is not None:
-            details = old.select(details.columns).unionByName(details).dropDuplicates(["first_event_id", "fingerprint"])
-        rows = folded.join(details, ["first_event_id", "fingerprint"], "left").withColumn("alert_id", F.concat_ws("-", "fingerprint", "episode")).withColumn("ts", F.col("last_seen"))
-        total = alerts.groupBy("suppressed").count().collect()
-        n = {r["suppressed"]: r["count"] for r in total}
-        written = self.write(table, rows)
-        fresh = written.where("is_new").count()
-        return {"new": fresh, "duplicate": n.get(False, 0) - fresh, "suppressed": n.get(True, 0)}
+from .store import Store  # noqa: E402, F401  (the store's changes use the functions above)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..operators import chains as C
 from ..operators import lineage
 from ..operators.detect import detect
-from ..operators.episodes import Store, with_fingerprints
+from ..operators.episodes import with_fingerprints
+from ..operators.store import Store, Transaction
 from ..rules.model import Chain, Rule
 from ..schema import EVENT
+from ..storage import materialize
 
 BATCH = 500
 
@@ -50,22 +52,25 @@ def run_available(spark: SparkSession, folder: str, out: str, checkpoint: str, r
     return len([p for p in q.recentProgress if p["numInputRows"]])
 
 
-def store_sink(store: Store, rules: list[Rule], chains: list[Chain] = (), hours: int = 24, once: bool = True) -> Callable[[DataFrame, int], None]:
-    """Folds each batch's alerts into stored episodes and adds its incidents.
+def store_sink(store: Store, rules: list[Rule], chains: list[Chain] = (), hours: int = 24, once: bool = True, stream: str = "events") -> Callable[[DataFrame, int], None]:
+    """Folds each batch's alerts into stored episodes and adds its incidents, in one commit with the batch's id.
 
-    Chains are matched within a batch.  ``once`` remembers finished batches, so a replayed batch
-    changes nothing; without it a replay counts its alerts again.
+    Chains are matched within a batch.  ``once`` skips batches that the store has, so that a replay changes
+    nothing wherever the first run broke off; without it a replay counts its alerts again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = store.read("batches")
-        if once and done is not None and done.where(F.col("batch_id") == batch_id).head(1):
-            return
-        store.save_episodes("alerts", with_fingerprints(detect(batch, rules)), hours)
-        if chains:
-            store.insert_absent("incidents", C.incidents(lineage.build(batch), list(chains)), "fingerprint")
-        if once:
-            store.append("batches", spark.createDataFrame([(batch_id,)], "batch_id long"))
+        alerts = materialize(with_fingerprints(detect(batch, rules)), "alerts")
+        found = materialize(C.incidents(lineage.build(batch), list(chains)), "incidents") if chains else None
+
+        def change(tx: Transaction) -> None:
+            if once and not tx.begins(stream, batch_id):
+                return
+            tx.save_episodes("alerts", alerts, hours)
+            if found is not None:
+                tx.insert_absent("incidents", found, "fingerprint")
+
+        if not once or batch_id > store.version().batches.get(stream, -1):
+            store.transact(change)
 
     return write
 
