@@ -58,6 +58,17 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def fresh_heaps(spark: SparkSession) -> None:
+    """Let the executors collect garbage and return the heap that earlier work has touched, and keep Arrow batches at 16 MB.
+
+    Between stages of one application: an executor's heap otherwise stays as large as the largest stage made it, while the next
+    stage needs its memory for Python workers and Arrow buffers, which lie outside the heap.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def letters_lower(text: Column) -> Column:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

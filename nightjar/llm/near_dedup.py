@@ -27,8 +27,8 @@ components of all links.
    in the next one), are compared in any case: first one member of each component
    with those of the others, so that the pieces of a group grow together; then the
    members outside the region's largest component with all (pairs inside it are
-   linked already).  A region of more than REGION members is dealt out in pairs of
-   chunks.  Only a forest of the links found leaves a task, and those links are
+   linked already).  A region of more than REGION members or REGION_BYTES of sets is dealt out in
+   pairs of chunks of about BLOCK members and CHUNK_BYTES at most.  Only a forest of the links found leaves a task, and those links are
    verified like candidates.  So no pair that meets in any region goes untested
    unless its ends are already linked.
 
@@ -57,6 +57,8 @@ from .textnp import U64, Words, _join, _join_numbers, both_words_of, mix, number
 
 TREES, PREFIX, SKETCH = 24, 4, 64
 REGION, BLOCK, CELLS = 2048, 1024, 1 << 24
+#: Bytes of sets in a chunk of a region and in a region that one task compares whole, at most on average; entries of sets that are numbered together.
+CHUNK_BYTES, REGION_BYTES, ENTRIES = 1 << 24, 1 << 25, 1 << 20
 #: Bytes of text that are verified together.
 PAIR_BYTES = 1 << 21
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -355,17 +357,21 @@ def linked_labels(sets: list[np.ndarray], percent: int, some: np.ndarray | None
     that have one of these at an end)."""
     n, size = len(sets), np.array([len(x) for x in sets])
     some = np.arange(n) if some is None else some
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, common = np.repeat(np.arange(n), size), count > 1
-    place = np.cumsum(common) - 1
-    keep = common[column]
-    row, column = row[keep], place[column[keep]]
     both = np.zeros((len(some), n), np.float32)
-    for at in range(0, int(common.sum()), 4096):
-        here = (column >= at) & (column < at + 4096)
-        part = np.zeros((n, 4096), np.float32)
-        part[row[here], column[here] - at] = 1
-        both += part[some] @ part.T
+    parts = max(1, -(-int(size.sum()) // ENTRIES))  # ranges of names, so that no more entries are sorted at a time
+    edges = np.array([k * (1 << 64) // parts for k in range(1, parts)], U64)
+    cuts = np.stack([np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in sets]).astype(np.int64)
+    for k in range(parts):
+        _, column, count = np.unique(np.concatenate([x[a:b] for x, a, b in zip(sets, cuts[:, k], cuts[:, k + 1])]), return_inverse=True, return_counts=True)
+        row, common = np.repeat(np.arange(n), cuts[:, k + 1] - cuts[:, k]), count > 1
+        place = np.cumsum(common) - 1
+        keep = common[column]
+        row, column = row[keep], place[column[keep]]
+        for at in range(0, int(common.sum()), 4096):
+            here = (column >= at) & (column < at + 4096)
+            part = np.zeros((n, 4096), np.float32)
+            part[row[here], column[here] - at] = 1
+            both += part[some] @ part.T
     linked = (both > 0) & (100 * both >= percent * (size[some, None] + size[None, :] - both))
     linked[np.arange(len(some)), some] = True
     label = np.arange(n)
@@ -459,10 +465,14 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """``members`` (region, id, comp) of the regions that hold several components, with the largest one (main), the
-    number of members (n) and of those outside it (few)."""
-    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"))
-    sizes = sizes.where("main.n < n").select("region", F.col("main.comp").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("few"))
+    """``members`` (region, id, comp, size) of the regions that hold several components, with the largest one (main), the
+    chunks that all members (n) and those outside it (few) make, and whether the region is dealt out in chunks (large)."""
+    sizes = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).groupBy("region").agg(F.max(F.struct("n", "comp", "b")).alias("main"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    chunks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / CHUNK_BYTES)).cast("int")
+    sizes = sizes.where("main.n < n").select(
+        "region", F.col("main.comp").alias("main"), ((F.col("n") > REGION) | (F.col("b") > REGION_BYTES)).alias("large"),
+        chunks(F.col("n"), F.col("b")).alias("n"), chunks(F.col("n") - F.col("main.n"), F.col("b") - F.col("main.b")).alias("few"),
+    )
     return materialize(members.join(sizes, "region"), "unlinked")
 
 
@@ -482,23 +492,23 @@ def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> Da
     links = tested.where("linked").select("a", "b")
     labels = components(links)
     members = found.where("a = b").select("region", F.col("a").alias("id")).distinct().join(again, "region")
-    members = members.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"))
+    sizes = own.select(F.col("_row").alias("id"), (4 * F.octet_length("text").cast("long")).alias("size"))  # eight bytes for two of a text at most
+    members = members.join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp")).join(sizes, "id")
     members = _apart(materialize(members, "members"))
     if not members.head(1):
         return links
     sets = materialize(own.join(members.select(F.col("id").alias("_row")).distinct(), "_row", "left_semi").select("_row", "text").mapInArrow(_sets(width), "id long, names binary"), "sets")
-    heads = members.where(F.col("n") > REGION).groupBy("region", "comp").agg(F.min("id").alias("id"))
-    few = heads.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= REGION).select("region")
+    heads = members.where("large").groupBy("region", "comp").agg(F.min_by("size", "id").alias("size"), F.min("id").alias("id"))
+    few = heads.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("b")).where((F.col("k") <= REGION) & (F.col("b") <= REGION_BYTES)).select("region")
     joined = _compare(heads.join(few, "region").select("region", "id", "comp"), sets, own, width, percent)
     if joined.head(1):  # pieces of large regions have grown together
         links = materialize(links.unionAll(joined), "grown")
         labels = components(links)
-        members = members.select("region", "id").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"))
+        members = members.select("region", "id", "size").join(labels, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("label", "id").alias("comp"), "size")
         members = _apart(members)
-    chunks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("id"), chunks(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), chunks(c) - 1))
-    small, large = members.where(F.col("n") <= REGION), members.where(F.col("n") > REGION)
+    mine = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    small, large = members.where("NOT large"), members.where("large")
     # a chunk of the members outside the largest component meets each chunk of all members
     dealt = large.select("region", "id", "comp", each("few").alias("i"), mine("n").alias("j")).unionAll(large.where("comp <> main").select("region", "id", "comp", mine("few").alias("i"), each("n").alias("j")))
     rows = small.select("region", "id", "comp").unionAll(dealt.select(F.xxhash64("region", "i", "j").alias("region"), "id", "comp"))
