@@ -9,30 +9,47 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from nightjar.llm import bpe, decontaminate, exact_dedup, language, near_dedup
-from nightjar.llm.common import new_path, table
+from nightjar.llm.common import fresh_heaps, new_path, table
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that starts on executors whose heaps the stage before has not filled."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        fresh_heaps(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.drop_rejected(docs, language.fit(language.training_rows(docs)))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near(docs, width=5, percent=80)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
