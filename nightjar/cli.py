@@ -14,7 +14,8 @@ from .operators import alerts as Q
 from .operators import chains as C
 from .operators import lineage
 from .operators.detect import detect
-from .operators.episodes import Store, with_fingerprints
+from .operators.episodes import with_fingerprints
+from .operators.store import Store
 from .rules.builtin import CHAINS, RULES
 from .rules.model import load_chains, load_rules
 from .sinks.export import write_alerts

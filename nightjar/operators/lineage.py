@@ -15,7 +15,7 @@ of 64, and fewer where no lineage is that deep.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import host_of, process_basename, strip
@@ -25,10 +25,14 @@ MAX_DEPTH = 64
 NODE = ["host", "key", "event_id", "pid", "process_name", "name_norm", "platform", "ts", "command_line", "user", "is_phantom", "parent_key"]
 
 
+def host_column() -> Column:
+    """The host of an event, from its column or its raw record."""
+    return F.when(F.coalesce(F.col("host"), F.lit("")) != "", F.lower(F.regexp_replace(strip(F.col("host")), r"\.+$", ""))).otherwise(host_of(F.col("raw")))
+
+
 def _nodes(events: DataFrame, dense_keys: bool) -> DataFrame:
-    host = F.when(F.coalesce(F.col("host"), F.lit("")) != "", F.lower(F.regexp_replace(strip(F.col("host")), r"\.+$", ""))).otherwise(host_of(F.col("raw")))
     rows = events.select(
-        host.alias("host"), "event_id", F.col("process_id").alias("pid"), "process_name", process_basename(F.col("process_name"), F.col("platform")).alias("name_norm"),
+        host_column().alias("host"), "event_id", F.col("process_id").alias("pid"), "process_name", process_basename(F.col("process_name"), F.col("platform")).alias("name_norm"),
         "platform", "ts", "command_line", "user", F.col("parent_process_id").alias("ppid"), strip(F.col("parent_process_name")).alias("parent_name"),
     )
     place = F.col("event_id")

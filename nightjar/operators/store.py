@@ -140,10 +140,10 @@ class Transaction:
         """Rows that take the place of those with their keys."""
         self._add(table, df, key, by, True)
 
-    def rewrite(self, table: str) -> None:
-        """One layer instead of all."""
-        t, rows = self.new.tables[table], self.read(table)
-        layer = self.store.write_layer(table, rows, t, False)
+    def replace_all(self, table: str, df: DataFrame) -> None:
+        """One layer with these rows instead of all that there are."""
+        t = self.new.tables[table]
+        layer = self.store.write_layer(table, df, t, False)
         self.made.append(layer)
         t.layers = [layer]
 
@@ -299,7 +299,7 @@ class Store:
     def compact(self, table: str) -> None:
         """Write a table anew as one layer, unless another writer changes the store meanwhile."""
         tx = Transaction(self, self.version())
-        tx.rewrite(table)
+        tx.replace_all(table, tx.read(table))
         try:
             self.publish(tx.new)
         except Conflict:

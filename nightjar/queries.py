@@ -13,11 +13,13 @@ from .functions import text as X
 from .operators import alerts as Q
 from .operators import chains, episodes, lineage
 from .operators.detect import detect, matched_rules
+from .operators.store import Store
 from .plans.compile import basename, contains_all, contains_any, matches, prepare, whitelisted
 from .plans.derived import DUCKDB, process_events
 from .rules.builtin import CHAINS, RULES
 from .rules.model import Rule, rule_by_id
 from .sinks import export
+from .storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -324,6 +326,44 @@ def dedup_arrival_fold(spark, sf_dir):
     return e.select("fingerprint", "episode", "occurrence_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
 
 
+#: A fixed order of arrival that has little to do with time.
+_ARRIVAL = "(event_id * 7919) % 100003"
+_BEST = "(list_aggregate(list_transform(list_filter(f.eps, lambda x: x.l >= o.us - 3600000000 AND x.f <= o.us + 3600000000), lambda x: {'l': x.l, 'e': -x.e}), 'max')).e"
+# alert by alert, those of all fingerprints side by side; an alert joins the episode within an hour that was seen last
+_ARRIVED = f"""WITH RECURSIVE {_PRINTED}, ordered AS (
+  SELECT fingerprint, us, row_number() OVER (PARTITION BY fingerprint ORDER BY {_ARRIVAL}, event_id) AS n FROM printed
+), fold AS (
+  SELECT fingerprint, n, [{{'e': 1::BIGINT, 'c': 1::BIGINT, 'f': us, 'l': us}}] AS eps FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.fingerprint, o.n, CASE WHEN {_BEST} IS NULL THEN list_append(f.eps, {{'e': len(f.eps) + 1, 'c': 1::BIGINT, 'f': o.us, 'l': o.us}})
+    ELSE list_transform(f.eps, lambda x: CASE WHEN x.e = -({_BEST}) THEN {{'e': x.e, 'c': x.c + 1, 'f': least(x.f, o.us), 'l': greatest(x.l, o.us)}} ELSE x END) END
+  FROM fold f JOIN ordered o ON o.fingerprint = f.fingerprint AND o.n = f.n + 1
+), whole AS (SELECT fingerprint, unnest(arg_max(eps, n)) AS x FROM fold GROUP BY fingerprint)
+SELECT fingerprint, x.e AS episode, x.c AS occurrence_count, x.f AS first_us, x.l AS last_us FROM whole"""
+
+
+def _as_folded(e: DataFrame) -> DataFrame:
+    return e.select("fingerprint", "episode", "occurrence_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
+
+
+@query("dedup_arrival_out_of_order", _ARRIVED)
+def dedup_arrival_out_of_order(spark, sf_dir):
+    """Alerts arrive in a fixed order that is not that of time."""
+    return _as_folded(episodes.fold_arrivals(_printed(spark, sf_dir).withColumn("_arrival", F.expr(_ARRIVAL)), hours=1, arrival="_arrival"))
+
+
+@query("dedup_stream", _ARRIVED)
+def dedup_stream(spark, sf_dir):
+    """The same arrivals as a stream of four files, folded with keyed state; each episode as its last batch left it."""
+    from pyspark.sql import Window
+
+    from .streaming.ingest import fold_available
+
+    folded = fold_available(_printed(spark, sf_dir).select("fingerprint", "ts", "event_id", "score", F.expr(_ARRIVAL).alias("arrival")), "arrival", F.floor(F.col("arrival") / 25001), 4, hours=1)
+    last = Window.partitionBy("fingerprint", "episode").orderBy(F.desc("batch_id"))
+    return _as_folded(folded.withColumn("_k", F.row_number().over(last)).where("_k = 1"))
+
+
 @query("suppression_filter", f"""WITH {_PRINTED}, g AS (SELECT DISTINCT rule_id, proc, cmd, "user", parent FROM printed WHERE rule_id = 'WIN-006'), h AS (SELECT DISTINCT fingerprint FROM printed WHERE rule_id = 'LNX-006' AND host = 'h1')
 SELECT event_id, rule_id, rule_id = 'WIN-006' OR fingerprint IN (SELECT fingerprint FROM h) AS suppressed FROM printed""")
 def suppression_filter(spark, sf_dir):
@@ -493,6 +533,20 @@ def incident_filters(spark, sf_dir):
     return Q.get_incidents(found, severity="critical", min_score=100, limit=None).select("chain_id", "host", "score", "fingerprint")
 
 
+@query("chains_over_batches", f"{_INCIDENTS} SELECT chain_id, host, score, first_us, last_us, fingerprint FROM incidents WHERE n_stages = 2")
+def chains_over_batches(spark, sf_dir):
+    """The chains of two stages over three batches in the order of time, each correlated with what the store keeps of those before."""
+    from .streaming.ingest import correlate
+
+    store, short = _store(spark), [c for c in CHAINS if len(c.stages) == 2]
+    events = materialize(process_events(spark, sf_dir), "events")
+    part = F.floor((F.unix_micros("ts") - 1704067200000000) / 10_000_000_000)
+    for k in range(3):
+        here = events.where((part >= k if k == 2 else part == k) if k else part <= 0)
+        store.transact(lambda tx, here=here: tx.insert_absent("incidents", correlate(tx, here, short), "fingerprint"))
+    return store.read("incidents").select("chain_id", "host", "score", F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"), "fingerprint")
+
+
 # ------------------------------------------------------------- export
 
 _ESC = r"replace(replace(replace(replace({c}, '\', '\\'), '=', '\='), chr(10), ' '), chr(13), ' ')"
@@ -537,12 +591,10 @@ def export_ecs(spark, sf_dir):
 @query("ingest_stream_available_now", f"WITH {_ALERTS} SELECT event_id, rule_id, score FROM alerts")
 def ingest_stream_available_now(spark, sf_dir):
     """The stream over a folder of event files finds the same alerts as the batch."""
-    from .storage import shared_dir
+    from .storage import new_folder
     from .streaming.ingest import run_available
 
-    import uuid
-
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     process_events(spark, sf_dir).repartition(4).write.parquet(f"{root}/in")
     run_available(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", RULES)
     return spark.read.parquet(f"{root}/out").select("event_id", "rule_id", "score")
@@ -692,8 +744,6 @@ def store_insert_absent(spark, sf_dir):
 
 
 def _store(spark):
-    import uuid
-
-    from .storage import shared_dir
+    from .storage import new_folder
 
-    return episodes.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, new_folder(spark, "store"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chains as C
 from ..operators import lineage
 from ..operators.detect import detect
 from ..operators.episodes import with_fingerprints
-from ..operators.store import Store, Transaction
+from ..operators.store import LAYERS, Store, Transaction
 from ..rules.model import Chain, Rule
 from ..schema import EVENT
-from ..storage import materialize
+from ..storage import materialize, new_folder
+from .stateful import dedup_stream
 
 BATCH = 500
 
@@ -52,25 +53,72 @@ def run_available(spark: SparkSession, folder: str, out: str, checkpoint: str, r
     return len([p for p in q.recentProgress if p["numInputRows"]])
 
 
+def fold_available(alerts: DataFrame, arrival: str, part: Column, parts: int, hours: int = 24, delay: str = "30 days") -> DataFrame:
+    """Replay alerts (with fingerprints) as a stream: the rows of ``part`` 0, 1, ... are its micro-batches, folded with keyed state.
+
+    Each part is a run of its own that goes on from the checkpoint of the one before.  Returns what each batch has put out, with its
+    ``batch_id``.
+    """
+    spark, root = alerts.sparkSession, new_folder(alerts.sparkSession, "replay")
+    rows = materialize(alerts.withColumn("_part", part), "alerts")
+    schema = rows.drop("_part").schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+
+    for k in range(parts):
+        rows.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{root}/in")
+        folded = dedup_stream(spark.readStream.schema(schema).parquet(f"{root}/in"), hours, delay, arrival=arrival)
+        folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(folded.schema.add("batch_id", "long")).parquet(f"{root}/out")
+
+
+def correlate(tx: Transaction, events: DataFrame, chains: list[Chain], table: str = "recent", late: int = 3600) -> DataFrame:
+    """Incidents of a batch's hosts over the batch and the recent events that the store keeps of them.
+
+    Kept are, per host, the events within the longest chain's window and ``late`` seconds before the newest, and of older
+    ones the last of each pid and name, as they may still be the parent of a new process.  So a chain is found whatever
+    batches its stages come in, as long as batches are no more than ``late`` seconds out of order.  The batch's events join those kept in the
+    same change.
+    """
+    known = events.withColumn("_host", lineage.host_column())
+    hosts = known.select("_host").distinct()
+    old = tx.matching(table, hosts, "_host")
+    both = known if old is None else old.unionByName(known)
+    keep = max(c.window_seconds for c in chains) + late
+    if old is not None and len(tx.base.tables[table].layers) >= LAYERS - 1:
+        everything = tx.read(table).unionByName(known)
+        newest = everything.groupBy("_host").agg(F.max("ts").alias("_newest"))
+        named = ["_host", "process_id", "process_name"]
+        last = everything.where("process_id IS NOT NULL").groupBy(*named).agg(F.max(F.struct("ts", "event_id")).alias("_last"))
+        held = everything.join(newest, "_host").join(last, named, "left")
+        held = held.where((F.struct("ts", "event_id") == F.col("_last")) | (F.unix_micros("ts") >= F.unix_micros("_newest") - keep * 1_000_000))
+        tx.replace_all(table, held.select(everything.columns))
+    else:
+        tx.add(table, known, "event_id", "_host")
+    return C.incidents(lineage.build(both.drop("_host")), list(chains))
+
+
 def store_sink(store: Store, rules: list[Rule], chains: list[Chain] = (), hours: int = 24, once: bool = True, stream: str = "events") -> Callable[[DataFrame, int], None]:
     """Folds each batch's alerts into stored episodes and adds its incidents, in one commit with the batch's id.
 
-    Chains are matched within a batch.  ``once`` skips batches that the store has, so that a replay changes
-    nothing wherever the first run broke off; without it a replay counts its alerts again.
+    Chains go on from batch to batch (``correlate``); an incident that is stored is not added again.  ``once`` skips batches that the store has, so
+    that a replay changes nothing wherever the first run broke off; without it a replay counts its alerts again.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        alerts = materialize(with_fingerprints(detect(batch, rules)), "alerts")
-        found = materialize(C.incidents(lineage.build(batch), list(chains)), "incidents") if chains else None
+        if once and batch_id <= store.version().batches.get(stream, -1):
+            return
+        events = materialize(batch, "batch")
+        alerts = materialize(with_fingerprints(detect(events, rules)), "alerts")
 
         def change(tx: Transaction) -> None:
             if once and not tx.begins(stream, batch_id):
                 return
             tx.save_episodes("alerts", alerts, hours)
-            if found is not None:
-                tx.insert_absent("incidents", found, "fingerprint")
+            if chains:
+                tx.insert_absent("incidents", correlate(tx, events, list(chains)), "fingerprint")
 
-        if not once or batch_id > store.version().batches.get(stream, -1):
-            store.transact(change)
+        store.transact(change)
 
     return write
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import chains as C
 from ..operators import lineage
 from ..operators.detect import detect
-from ..operators.episodes import Store, with_fingerprints
+from ..operators.episodes import with_fingerprints
+from ..operators.store import Store
 from ..rules.model import Chain, Rule
 from ..sources import auditd, endpoint_security, sysmon
 from .tail import CheckpointFile, hold_back, read_new
