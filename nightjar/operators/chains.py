@@ -10,7 +10,7 @@ from ..functions.fingerprint import incident_fingerprint
 from ..plans.compile import stage_predicate
 from ..rules.model import Chain
 from ..storage import materialize
-from .lineage import ancestors
+from .lineage import marked_ancestors
 
 def _order() -> Column:
     """Sort key of a node: phantoms first, then time, pid and key."""
@@ -59,7 +59,12 @@ def match_chains(nodes: DataFrame, chains: list[Chain]) -> DataFrame:
             hits = found.where(F.col("chain").isin(*below)).select(F.col("to").alias("key"))
             above = hits if above is None else above.unionByName(hits)
     if above is not None:
-        above = materialize(ancestors(nodes, above.distinct()).select(F.col("key").alias("to"), F.col("anc").alias("key")), "above")
+        # what a path may end in: hits of any stage but the last
+        ends = first.select("key")
+        for number, found in later.items():
+            if number < last - 1:
+                ends = ends.unionByName(found.select(F.col("to").alias("key")))
+        above = materialize(marked_ancestors(nodes, materialize(ends.distinct(), "ends"), above.distinct()).select(F.col("key").alias("to"), F.col("anc").alias("key")), "above")
     for number, found in later.items():
         below = [k for k, c in enumerate(chains) if len(c.stages) > number and c.stages[number].relation == "descendant"]
         direct = [k for k, c in enumerate(chains) if len(c.stages) > number and c.stages[number].relation == "child"]

@@ -4,7 +4,7 @@ A parent is the latest process with the declared pid on the same host that
 started no later than its child and, when the child names its parent, carries
 that name.  The as-of lookup is a window over the union of candidates and
 children, sorted by time, so its cost does not depend on how often a pid is
-reused.  A declared parent that was never seen becomes a phantom node.  Exact
+reused, and in spans of time, so that a hot pid is no single task.  A declared parent that was never seen becomes a phantom node.  Exact
 repeats of an event (a log line written twice) make one node.
 
 Every node has one parent at most, so all ancestors up to a depth are found by
@@ -22,6 +22,8 @@ from ..functions.text import host_of, process_basename, strip
 from ..storage import materialize
 
 MAX_DEPTH = 64
+#: Parts of the whole time in which parents are looked up on their own.
+SPANS = 256
 NODE = ["host", "key", "event_id", "pid", "process_name", "name_norm", "platform", "ts", "command_line", "user", "is_phantom", "parent_key"]
 
 
@@ -43,19 +45,36 @@ def _nodes(events: DataFrame, dense_keys: bool) -> DataFrame:
     return rows.repartition("key").distinct()  # the joins by key need the same partitioning
 
 
-def _latest(children: DataFrame, nodes: DataFrame, named: bool) -> DataFrame:
-    """(child key, parent key) by an as-of window over (host, pid[, name])."""
-    by = ["host", "p"] + ["n"] * named
-    me = F.struct(F.col("key"), F.lag("key").over(Window.partitionBy("host", "pid", *(["name_norm"] * named)).orderBy("ts", "event_id")).alias("before"))
-    cands = nodes.where("pid IS NOT NULL").select("host", F.col("pid").alias("p"), F.col("name_norm").alias("n"), "ts", "event_id", F.lit(0).alias("kind"), me.alias("cand"), F.lit(None).cast("string").alias("child"))
+def _latest(children: DataFrame, nodes: DataFrame, named: bool, span: Column) -> DataFrame:
+    """(child key, parent key) by an as-of lookup over (host, pid[, name]), in two levels.
+
+    Time is cut into SPANS; inside a span of a key a window finds the last candidate, and what each span hands
+    on is its very last one.  So a pid with many events (0, where none is known) spreads over as many tasks as it has
+    spans, and the window that carries candidates over has a row for each span.
+    """
+    by = ["host", "p", *(["n"] * named)]
+    nodes = nodes.where("pid IS NOT NULL").select("host", F.col("pid").alias("p"), F.col("name_norm").alias("n"), "ts", "event_id", "key", span.alias("span"))
+    before = F.lag("key").over(Window.partitionBy(*by, "span").orderBy("ts", "event_id"))
+    cands = nodes.select("host", "p", "n", "span", "ts", "event_id", F.lit(0).alias("kind"), F.struct("key", before.alias("before")).alias("cand"), F.lit(None).cast("string").alias("child"))
     expected = process_basename(F.col("parent_name"), F.col("platform"))
-    kids = children.select("host", F.col("ppid").alias("p"), expected.alias("n"), "ts", "event_id", F.lit(1).alias("kind"), F.lit(None).cast(cands.schema["cand"].dataType).alias("cand"), F.col("key").alias("child"))
-    seen = F.last("cand", ignorenulls=True).over(Window.partitionBy(*by).orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = cands.unionByName(kids).withColumn("seen", seen).where("kind = 1")
-    parent = F.when(F.col("seen.key") == F.col("child"), F.col("seen.before")).otherwise(F.col("seen.key"))
+    kids = children.select("host", F.col("ppid").alias("p"), expected.alias("n"), span.alias("span"), "ts", "event_id", F.lit(1).alias("kind"), F.lit(None).cast(cands.schema["cand"].dataType).alias("cand"), F.col("key").alias("child"))
+    both = cands.unionByName(kids)
+    seen = F.last("cand", ignorenulls=True).over(Window.partitionBy(*by, "span").orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("seen", seen).where("kind = 1")
+    ends = both.groupBy(*by, "span").agg(F.max_by("cand", F.when(F.col("kind") == 0, F.struct("ts", "event_id"))).alias("end"))
+    carried = F.last("end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.join(ends.select(*by, "span", carried.alias("carried")), [*by, "span"], "left")
+    own = F.col("seen.key") == F.col("child")  # a process is not its own parent
+    parent = F.when(own, F.coalesce("seen.before", "carried.key")).otherwise(F.coalesce("seen.key", "carried.key"))
     return found.select(F.col("child").alias("key"), parent.alias("parent_key")).where("parent_key IS NOT NULL")
 
 
+def _span(nodes: DataFrame) -> Column:
+    """The span of a row's time: one of SPANS equal parts of all times."""
+    lo, hi = nodes.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    return F.floor((F.unix_micros("ts") - (lo or 0)) / (((hi or 0) - (lo or 0)) // SPANS + 1)).cast("int")
+
+
 def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
     """All nodes with their parents: one per event, and the phantom parents.
 
@@ -66,7 +85,8 @@ def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
     wanting = nodes.where("ppid IS NOT NULL OR parent_name <> ''")
     unnamed = wanting.where("ppid IS NOT NULL AND parent_name = ''")
     named = wanting.where("ppid IS NOT NULL AND parent_name <> ''")
-    links = _latest(unnamed, nodes, named=False).unionByName(_latest(named, nodes, named=True))
+    span = _span(nodes)
+    links = _latest(unnamed, nodes, False, span).unionByName(_latest(named, nodes, True, span))
     orphans = wanting.join(links.select("key"), "key", "left_anti")
     expected = process_basename(F.col("parent_name"), F.col("platform"))
     orphans = orphans.withColumn("n", expected).withColumn("own", F.when(F.col("ppid").isNull(), F.col("key")))
@@ -86,16 +106,17 @@ def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
 
 def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(key, anc, depth): every node above each node of ``of`` (a column key; all nodes, if not given), each once, at its
-    least depth of 1 to ``max_depth``."""
-    jump = nodes.where("parent_key IS NOT NULL").select("key", F.col("parent_key").alias("up"))
+    least depth of 1 to ``max_depth``.  A column ``steps`` of ``nodes`` tells how far up a parent is (1 without it)."""
+    steps = F.col("steps") if "steps" in nodes.columns else F.lit(1)
+    jump = nodes.where("parent_key IS NOT NULL").select("key", F.col("parent_key").alias("up"), steps.alias("w"))
     found = (nodes if of is None else of).select("key", F.col("key").alias("anc"), F.lit(0).alias("depth"))
     step = 1
     while True:
-        both = F.array_compact(F.array(F.struct("anc", "depth"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("anc"), (F.col("depth") + step).alias("depth")))))
-        found = found.join(jump.select(F.col("key").alias("anc"), "up"), "anc", "left").select("key", F.inline(both))
+        both = F.array_compact(F.array(F.struct("anc", "depth"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("anc"), (F.col("depth") + F.col("w")).alias("depth")))))
+        found = found.join(jump.select(F.col("key").alias("anc"), "up", "w"), "anc", "left").select("key", F.inline(both))
         if 2 * step > max_depth:
             break
-        jump = materialize(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("top")), "up").select("key", F.col("top").alias("up")), "jump")
+        jump = materialize(jump.join(jump.select(F.col("key").alias("up"), F.col("up").alias("top"), F.col("w").alias("w2")), "up").select("key", F.col("top").alias("up"), (F.col("w") + F.col("w2")).alias("w")), "jump")
         if not jump.head(1):  # no node has so many above it
             break
         step *= 2
@@ -103,6 +124,40 @@ def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int = MA
     return found.where((F.col("depth") > 0) & (F.col("depth") <= max_depth) & (F.col("anc") != F.col("key"))).groupBy("key", "anc").agg(F.min("depth").alias("depth"))
 
 
+def nearest(nodes: DataFrame, marked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(key, up, depth): the closest node above each node that is among ``marked`` (a column key).
+
+    Pointers double until they meet a marked node and then stand still; nodes without one above fall out, so a
+    round handles only what is still open, and the rounds end as soon as nothing is.
+    """
+    hit = marked.select(F.col("key").alias("up"), F.lit(True).alias("hit")).distinct()
+    first = nodes.where("parent_key IS NOT NULL").select("key", F.col("parent_key").alias("up"), F.lit(1).alias("depth"))
+    jump = materialize(first.join(hit, "up", "left").select("key", "up", "depth", F.col("hit").isNotNull().alias("done")), "nearest")
+    step = 1
+    while step < max_depth and jump.where("NOT done").head(1):
+        onward = jump.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("done").alias("done2"))
+        moved = jump.where("NOT done").join(onward, "up").select("key", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("done2").alias("done"))
+        jump = materialize(jump.where("done").unionByName(moved), "nearest")
+        step *= 2
+    return jump.where(F.col("done") & (F.col("depth") <= max_depth)).select("key", "up", "depth")
+
+
+def marked_ancestors(nodes: DataFrame, marked: DataFrame, of: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(key, anc, depth): the nodes of ``marked`` above each node of ``of`` (all nodes, if not given).
+
+    The forest shrinks to its marked nodes: each node points to the nearest one, and only among these are ancestors spelled out.  So
+    rows are made for pairs of the result and not for all that lies between.
+    """
+    near = nearest(nodes, marked, max_depth)
+    near = materialize(near, "near")
+    shrunk = near.join(marked.select("key").distinct(), "key", "left_semi").select("key", F.col("up").alias("parent_key"), F.col("depth").alias("steps"))
+    above = ancestors(materialize(shrunk, "marked"), max_depth=max_depth)
+    base = near if of is None else near.join(of.select("key").distinct(), "key", "left_semi")
+    far = base.join(above.select(F.col("key").alias("up"), "anc", F.col("depth").alias("d2")), "up").select("key", "anc", (F.col("depth") + F.col("d2")).alias("depth"))
+    found = base.select("key", F.col("up").alias("anc"), "depth").unionByName(far)
+    return found.where((F.col("depth") <= max_depth) & (F.col("anc") != F.col("key"))).groupBy("key", "anc").agg(F.min("depth").alias("depth"))
+
+
 def all_descendants(nodes: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(anc, key, depth): the closure below the nodes of ``starts`` (a column key)."""
-    return ancestors(nodes, max_depth=max_depth).join(starts.select(F.col("key").alias("anc")).distinct(), "anc").select("anc", "key", "depth")
+    return marked_ancestors(nodes, starts, max_depth=max_depth).select("anc", "key", "depth")
