@@ -16,8 +16,11 @@ member, which ends in 0).
 
 ``read_archive`` unpacks and parses a file piece by piece by Content-Length (a
 payload may contain anything, record separators included), and holds one record
-at a time; ``resolve`` joins revisit records back to the responses they refer
-to.
+at a time.  It reads archives of any origin: every record comes out with its
+type, headers that are missing are null, and where a file breaks off or is damaged
+one row of type ``broken`` stands for the rest of it.  ``resolve`` joins
+revisit records back to the responses they refer to, by record id or, where
+that is missing, by target URI and date.
 
 Payloads count as equal when their SHA-256 and length are equal; the headers
 carry the customary base32 SHA-1.
@@ -48,12 +51,14 @@ from .textnp import trim
 
 #: Payload bytes that a file of an archive holds on average, and records at most.
 FILE_BYTES, FILE_RECORDS = 32 << 20, 16_384
+#: Partitions that an archive is dealt out to at most; beyond, each writes several files.
+TASKS = 16_384
 #: Bytes that are unpacked at a time.
 CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-READ_SCHEMA = "record_id string, record_type string, target_uri string, source_id long, payload_bytes long, payload_digest string, refers_to_record string, intact boolean"
+READ_SCHEMA = "record_id string, record_type string, target_uri string, date string, source_id long, payload_bytes long, payload_digest string, refers_to_record string, refers_to_uri string, refers_to_date string, intact boolean"
 
 
 def base32_of_hex(sha1: Column) -> Column:
@@ -122,8 +127,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str | N
     archive, date = archive or uuid.uuid4().hex, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     pages = with_row_ids(pages.select("page_id", "url", "html"))
     planned = materialize(plan_records(pages, min_bytes), "records")
-    total = planned.agg(F.sum(F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))).alias("n")).first()["n"] or 0
-    files = -(-(total + 1) // FILE_BYTES)
+    sizes = planned.agg(F.sum(F.when(F.col("revisit"), 0).otherwise(F.col("bytes"))).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    total, files = sizes["n"] or 0, -(-((sizes["n"] or 0) + 1) // FILE_BYTES)
+    in_file = FILE_RECORDS if files <= TASKS else max(1, min(FILE_RECORDS, sizes["rows"] * FILE_BYTES // total))
+    files = min(files, TASKS)
     payload = F.coalesce("html", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     head = F.concat(
@@ -142,7 +149,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str | N
     if compression == "gzip":
         packed = records.select(F.concat("value", F.lit(END)).cast("binary").alias("record")).mapInArrow(_members, "member binary")
         records, separator = packed.select(F.col("member").cast("string").alias("value")), "\0"
-    records.write.option("lineSep", separator).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", separator).option("maxRecordsPerFile", in_file).text(path)
 
 
 def _unpacked(data: bytes) -> Iterator[bytes]:
@@ -178,41 +185,73 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
     done = 0
     while wanted(7):
-        if not held.startswith(b"WARC/1."):
+        if not held.startswith(b"WARC/"):
             raise ValueError(f"no record starts at byte {done}")
         looked = 0
         while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
             looked = len(held)
             if not wanted(looked + 1):
                 raise ValueError(f"the headers at byte {done} do not end")
-        lines = held[:end].decode().split("\r\n")[1:]
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = end + 4 + int(headers["content-length"])
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit() and len(length) < 16):
+            raise ValueError(f"the record at byte {done} has no length")
+        size = end + 4 + int(length)
         if not wanted(size):
             raise ValueError(f"the record at byte {done} is cut off")
         yield headers, bytes(held[end + 4 : size])
         wanted(size + 4)
-        done += size + 4
-        del held[: size + 4]
+        while held[size : size + 2] == b"\r\n":  # two line ends by the standard; some writers leave more or none
+            size += 2
+            wanted(size + 2)
+        done += size
+        del held[:size]
+
+
+def payload(headers: dict[str, str], block: bytes) -> memoryview:
+    """What a record carries: of an HTTP message what follows its header (nothing, if that does not end), else the block."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return memoryview(block)
+    end = block.find(b"\r\n\r\n")
+    return memoryview(block)[end + 4 if end >= 0 else len(block) :]
+
+
+def has_digest(body: memoryview, digest: str | None) -> bool | None:
+    """Whether a payload has a digest ``algorithm:value`` in base32 or hexadecimal; null for other algorithms and without one."""
+    algorithm, _, value = (digest or "").partition(":")
+    if algorithm.lower() not in ("md5", "sha1", "sha256", "sha512") or not value:
+        return None
+    own = hashlib.new(algorithm.lower(), body).digest()
+    return value.upper().rstrip("=") in (b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
+def _row(h: dict[str, str], block: bytes) -> tuple:
+    digest, source = h.get("warc-payload-digest"), h.get("warc-source-id", "")
+    source_id = int(source) if source.lstrip("-").isdigit() and source.isascii() and len(source) < 19 else None
+    size = intact = None
+    if h.get("warc-type") in ("response", "resource"):
+        body = payload(h, block)
+        size, intact = len(body), has_digest(body, digest)
+    of = lambda n: h.get(n)
+    return (of("warc-record-id"), of("warc-type"), of("warc-target-uri"), of("warc-date"), source_id, size, digest and digest.removeprefix("sha1:"), of("warc-refers-to"), of("warc-refers-to-target-uri"), of("warc-refers-to-date"), intact)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+    kinds = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in READ_SCHEMA.split(", ")]
     flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
     for b in batches:
         for content in b.column(0):
             rows = []
-            for h, block in records_of(content.as_py()):
-                digest = h["warc-payload-digest"].removeprefix("sha1:")
-                size = intact = None
-                if h["warc-type"] == "response":
-                    body = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
-                    size, intact = len(body), b32encode(hashlib.sha1(body).digest()).decode() == digest
-                rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), int(h["warc-source-id"]) if "warc-source-id" in h else None, size, digest, h.get("warc-refers-to"), intact))
-                if len(rows) >= 1024:
-                    yield flush(rows)
-                    rows = []
+            try:
+                for h, block in records_of(content.as_py()):
+                    rows.append(_row(h, block))
+                    if len(rows) >= 1024:
+                        yield flush(rows)
+                        rows = []
+            except (ValueError, zlib.error):  # the rest of this file cannot be read
+                rows.append((None, "broken", *[None] * 8, False))
             if rows:
                 yield flush(rows)
             trim()
@@ -224,12 +263,25 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """``records`` with payload_bytes, intact and refers_to (a source id) of revisits taken from the response they name."""
-    responses = records.where("record_type = 'response'")
+    """``records`` with payload_bytes, intact and refers_to (a source id) of revisits taken from the response they refer to.
+
+    A revisit names it by record id or, without one, by target URI and date (of several such responses the one with the smallest id
+    counts); ``refers_to_record`` is then filled in.  A revisit whose response is not there, or that names none, keeps nulls.  Records of
+    other types stay as they are.
+    """
+    others = records.where("record_type IS NULL OR record_type <> 'revisit'")
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes", "intact")
-    target = responses.select(F.col("record_id").alias("refers_to_record"), F.col("source_id").alias("refers_to"), "payload_bytes", "intact", F.col("payload_digest").alias("_digest"))
-    joined = revisits.join(target, "refers_to_record", "left").withColumn("intact", F.col("intact") & (F.col("_digest") == F.col("payload_digest"))).drop("_digest")
-    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
+    responses = records.where("record_type IN ('response', 'resource') AND record_id IS NOT NULL")
+    found = F.struct("record_id", F.col("source_id").alias("refers_to"), "payload_bytes", "intact", F.col("payload_digest").alias("_digest"))
+    by_id = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min(found).alias("_t"))
+    by_place = responses.where("target_uri IS NOT NULL AND date IS NOT NULL").groupBy(F.col("target_uri").alias("refers_to_uri"), F.col("date").alias("refers_to_date")).agg(F.min(found).alias("_t"))
+    joined = revisits.where("refers_to_record IS NOT NULL").join(by_id, "refers_to_record", "left").unionByName(revisits.where("refers_to_record IS NULL").join(by_place, ["refers_to_uri", "refers_to_date"], "left"))
+    same = F.coalesce(F.col("_t._digest") == F.col("payload_digest"), F.lit(True))
+    joined = joined.select(
+        *[c for c in revisits.columns if c != "refers_to_record"], F.coalesce("refers_to_record", "_t.record_id").alias("refers_to_record"),
+        F.col("_t.refers_to").alias("refers_to"), F.col("_t.payload_bytes").alias("payload_bytes"), (F.col("_t.intact") & same).alias("intact"),
+    )
+    return others.withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,61 @@ def test_files_of_one_member_and_broken_files():
         with pytest.raises(ValueError):
             list(warc.records_of(data))
     assert list(warc.records_of(b"")) == []
+
+
+def record(kind="response", block=b"HTTP/1.1 200 OK\r\n\r\nhello", end=b"\r\n\r\n", version=b"WARC/1.0", **headers):
+    lines = {"WARC-Type": kind, "Content-Type": "application/http; msgtype=response", "Content-Length": len(block)} | {k.replace("_", "-"): v for k, v in headers.items()}
+    return version + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v is not None).encode() + b"\r\n" + block + end
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """warcinfo, request, metadata and resource records, missing headers, other digests, revisits by URI and date."""
+    import gzip
+
+    sha = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    records = [
+        record("warcinfo", b"software: x", Content_Type="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record(WARC_Record_ID="<a>", WARC_Target_URI="http://h/1", WARC_Date="2020-01-01T00:00:00Z", WARC_Payload_Digest=f"sha1:{sha}"),
+        record(WARC_Record_ID="<b>", WARC_Target_URI="http://h/2", WARC_Date="2020-01-01T00:00:00Z"),  # no digest
+        record(WARC_Record_ID="<c>", block=b"no header end", WARC_Payload_Digest="sha1:AAAA", WARC_Source_ID="x9"),
+        record("resource", b"hello", WARC_Record_ID="<d>", Content_Type="text/plain", WARC_Payload_Digest="sha256:" + hashlib.sha256(b"hello").hexdigest(), end=b"\r\n\r\n\r\n\r\n"),
+        record("revisit", b"", WARC_Record_ID="<r1>", WARC_Refers_To_Target_URI="http://h/1", WARC_Refers_To_Date="2020-01-01T00:00:00Z", WARC_Payload_Digest=f"sha1:{sha}", end=b""),
+        record("revisit", b"", WARC_Record_ID="<r2>", WARC_Refers_To="<b>", version=b"WARC/0.18"),
+        record("revisit", b"", WARC_Record_ID="<r3>", WARC_Refers_To="<gone>"),
+        record("revisit", b"", WARC_Record_ID="<r4>"),
+        record("metadata", "é".encode("latin-1"), Content_Type=None),
+    ]
+    for k, data in enumerate((b"".join(records), b"".join(map(gzip.compress, records)))):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.warc").write_bytes(data)
+        read = warc.read_archive(spark, str(tmp_path / str(k)))
+        assert [r["record_type"] for r in read.collect()] == ["warcinfo", "request", "response", "response", "response", "resource", "revisit", "revisit", "revisit", "revisit", "metadata"]
+        got = {r["record_id"]: (r["payload_bytes"], r["intact"], r["refers_to_record"]) for r in warc.resolve(read).collect() if r["record_id"]}
+        assert got == {"<a>": (5, True, None), "<b>": (5, None, None), "<c>": (0, False, None), "<d>": (5, True, None), "<r1>": (5, True, "<a>"), "<r2>": (5, None, "<b>"), "<r3>": (None, None, "<gone>"), "<r4>": (None, None, None)}
+
+
+def test_damaged_files_give_what_can_be_read(spark, tmp_path):
+    import gzip
+
+    good = record(WARC_Record_ID="<a>")
+    damaged = [
+        good + b"garbage here", good + good[:-20], good + record(WARC_Record_ID="<b>", Content_Length="-3"), good + record(WARC_Record_ID="<b>", Content_Length="9" * 30),
+        good + record(WARC_Record_ID="<b>", Content_Length=None), gzip.compress(good) + gzip.compress(good)[:-15], gzip.compress(good) + b"\x1f\x8bnonsense, no deflate stream",
+    ]
+    for k, data in enumerate(damaged):
+        (tmp_path / f"{k}.warc").write_bytes(data)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_archive(spark, str(tmp_path)).collect()
+    assert sorted(r["record_type"] for r in rows) == ["broken"] * len(damaged) + ["response"] * len(damaged)
+    assert all(r["intact"] is False for r in rows if r["record_type"] == "broken")
+
+
+def test_few_partitions_roll_files(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
+    monkeypatch.setattr(warc, "TASKS", 2)
+    big = [(100 + k, None, chr(97 + k) * 20_000) for k in range(20)]
+    df = spark.createDataFrame(big, "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "g"))
+    assert len(list((tmp_path / "g").glob("part-*"))) >= 15
+    assert warc.read_archive(spark, str(tmp_path / "g")).where("intact").count() == 20
