@@ -25,9 +25,10 @@ cycle are 189 x 773, and so on, so it is a bijection without cycle walking, and
 digit groups: where another stretch that is tried earlier happens to pass the
 Luhn check in the pseudonym, the reverse takes that one.
 
-The key is a secret of the caller.  The registered query reads it from the session's
-``spark.nightjar.pii.key`` and, where that is unset, draws one for the session, so
-no pseudonym can be reversed with what is in this file.
+The key is a secret of the caller.  It reaches the expressions as a scalar subquery over a table of one row, never as
+a literal, so it stands in no plan, neither in ``explain`` nor in the SQL tab or the event log.  The registered query
+reads it from the session's ``spark.nightjar.pii.secret`` (a name that Spark's redaction covers wherever it prints
+settings) and, where that is unset, draws one for the session: pseudonyms of different sessions are then not linked.
 
 Values that do not validate (a number with a wrong check digit, 300.1.1.1) stay.
 Only texts with a digit or an @ are searched at all.
@@ -57,7 +58,7 @@ _OTHERS = "|".join((_EMAIL, _IPV4, _DATE, _SSN, _PHONE))
 _CARD = rf"\b(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++\b(?:[ -](?!{_OTHERS})[0-9]++\b)*+"
 PATTERN = f"{_OTHERS}|{_CARD}"
 #: Session setting that holds the secret key.
-KEY_SETTING = "spark.nightjar.pii.key"
+KEY_SETTING = "spark.nightjar.pii.secret"
 _FIRST_DAY = "1800-01-01"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -70,13 +71,13 @@ def _long(x) -> Column:
     return F.lit(x).cast("long") if not isinstance(x, Column) else x.cast("long")
 
 
-def _draw(key: str, kind: Column, rnd: Column, half: Column, size: Column) -> Column:
+def _draw(key: Column, kind: Column, rnd: Column, half: Column, size: Column) -> Column:
     """60 pseudo-random bits of the round."""
     text = F.concat_ws("|", F.lit(key), kind, rnd.cast("string"), size.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: Column, a: Column, b: Column, ma: Column, mb: Column, reverse: bool = False) -> Column:
+def feistel(key: Column | str, kind: Column, a: Column, b: Column, ma: Column, mb: Column, reverse: bool = False) -> Column:
     """Permute (a, b) of Z_ma x Z_mb; a struct with fields a and b."""
     state = F.struct(_long(a).alias("a"), _long(b).alias("b"), _long(ma).alias("ma"), _long(mb).alias("mb"))
     if not reverse:
@@ -231,7 +232,7 @@ def _email(key: str, m: Column, reverse: bool) -> Column:
     return let(done, lambda s: F.concat(s["l"], s["r"], rest))
 
 
-def pseudonym(key: str, m: Column, reverse: bool = False) -> Column:
+def pseudonym(key: Column, m: Column, reverse: bool = False) -> Column:
     """A struct: the pseudonym of one match (``s``; the match itself where nothing validates), and how many values were replaced (``n``)."""
     is_ = lambda p: m.rlike(f"^(?:{p})$")
     one = lambda f: let(f(key, m, reverse), lambda s: F.struct(s.alias("s"), F.when(s != m, 1).otherwise(0).alias("n")))
@@ -249,13 +250,22 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
-def pseudonymize(docs: DataFrame, key: str, column: str = "text", count: str = "n_values", reverse: bool = False) -> DataFrame:
-    """``docs`` with the values in ``column`` replaced, and ``count``, the number of replaced values."""
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """The key as a table of one row."""
+    return spark.createDataFrame([(key,)], "key string")
+
+
+def pseudonymize(docs: DataFrame, key: str | DataFrame, column: str = "text", count: str = "n_values", reverse: bool = False) -> DataFrame:
+    """``docs`` with the values in ``column`` replaced, and ``count``, the number of replaced values.
+
+    ``key``: the secret, or a table with it as its one value (read from a file that only the job may read, say).
+    """
+    secret = (key_table(docs.sparkSession, key) if isinstance(key, str) else key).scalar()
     text = F.col(f"`{column}`")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (column, count)]
     searched = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    held = docs.select(F.struct(*others).alias("row") if others else F.lit(1).alias("row"), text.alias("text"), searched.alias("found"))
-    held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(key, m, reverse))))
+    held = docs.select(F.struct(*others).alias("row") if others else F.lit(1).alias("row"), text.alias("text"), searched.alias("found"), secret.alias("key"))
+    held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(F.col("key"), m, reverse))))
     parts = F.zip_with(F.split("text", PATTERN, -1), F.concat("new.s", F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     changed = F.when(F.col("new").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))
     n = F.coalesce(F.aggregate("new.n", F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")

@@ -158,3 +158,22 @@ def test_repeated_rows_get_the_same_pseudonyms(spark):
     rows = [(1, "call +1 (555) 223-4567"), (1, "call +1 (555) 223-4567"), (2, None), (2, None)]
     got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(rows, "id long, text string"), KEY).collect()]
     assert got[0] == got[1] != rows[0][1] and got[2:] == [None, None]
+
+
+def test_key_stands_in_no_plan(spark, tmp_path):
+    """Neither the plans before and after execution nor a written event has the key; an empty table works too."""
+    key = "k-7f3a-very-secret"
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1111 on 2024-05-06, a@b.example")], "doc_id long, text string")
+    found = pii.pseudonymize(df, key)
+    (row,) = found.collect()
+    assert row["n_values"] == 3
+    executed = found._jdf.queryExecution()
+    texts = [executed.toString(), executed.executedPlan().toString(), executed.analyzed().toString(), executed.optimizedPlan().toString(), found._jdf.queryExecution().logical().toJSON(), executed.optimizedPlan().toJSON()]
+    assert all(key not in t for t in texts) and "SHA" in executed.toString().upper()
+    assert pii.pseudonymize(df.limit(0), key).collect() == []
+    (back,) = pii.pseudonymize(found.drop("n_values"), pii.key_table(spark, key), reverse=True).collect()
+    assert back["text"] == df.first()["text"]
+
+
+def test_key_setting_is_redacted(spark):
+    assert "secret" in pii.KEY_SETTING  # Spark's default pattern for settings that it does not print
