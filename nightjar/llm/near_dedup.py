@@ -51,7 +51,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filtered, materialize, table, with_row_ids
+from .common import filtered, fresh_heaps, materialize, table, with_row_ids
 from .graph import components
 from .textnp import U64, Words, _join, _join_numbers, both_words_of, mix, numbered_words, sequence_names, slices, trim, words_of
 
@@ -336,6 +336,7 @@ def _candidates(percent: int):
         if last is not None:
             search.whole(*last)
             yield from _edges(search.out)
+        trim()
 
     return run
 
@@ -406,8 +407,10 @@ def _exact(percent: int):
                     rows.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            trim()
         if out := links(rows):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        trim()
 
     return run
 
@@ -517,6 +520,7 @@ def _all_links(found: DataFrame, own: DataFrame, width: int, percent: int) -> Da
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (_row, doc_id, text): _row, doc_id, n_shingles, component_id, kept."""
+    fresh_heaps(docs.sparkSession)
     texts = docs.select("_row", "text")
     signed = materialize(docs.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_sign(width), _SIGNED), "signed")
     first = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("_row").alias("rep"))
@@ -526,6 +530,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found = materialize(_forest(forest.select(F.col("z.regions").alias("region"), F.col("z.deeps").alias("deep"), "id", "sketch"), percent), "candidates")
     needed = found.select(F.col("a").alias("_row")).unionAll(found.select(F.col("b").alias("_row"))).distinct()
     own = materialize(texts.join(needed.hint("merge"), "_row", "left_semi"), "texts")
+    fresh_heaps(docs.sparkSession)
     labels = components(_all_links(found, own, width, percent))
     rows = signed.select("_row", "doc_id", "n_shingles", "set_key").join(first, "set_key", "left")
     rows = rows.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("_row"))).join(labels, F.col("rep") == F.col("node"), "left")
