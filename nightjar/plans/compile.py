@@ -4,7 +4,7 @@ A rule becomes SQL text, which Spark parses into one Catalyst expression: rule
 sets of any size cost one call from Python.  The predicates read these columns,
 computed once per event by ``prepare``: ``_cmd`` (command line), ``_cmd_l``
 (lower case), ``_proc`` and ``_parent`` (normalised base names), ``_user``,
-``_user_l``, ``_cwd_l``.
+``_user_l``, ``_cwd_l``, ``_wide`` (the command line is not all ASCII).
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import process_basename
 from ..rules.model import Rule, Stage
+from ..rules.patterns import required
 
 #: Dialect of rule patterns: case-insensitive, Unicode classes, only LF ends a line.
 FLAGS = "(?idU)"
-PREPARED = ("_cmd", "_cmd_l", "_proc", "_parent", "_user", "_user_l", "_cwd_l")
+PREPARED = ("_cmd", "_cmd_l", "_proc", "_parent", "_user", "_user_l", "_cwd_l", "_wide")
 
 
 def prepare(events: DataFrame) -> DataFrame:
@@ -30,6 +31,7 @@ def prepare(events: DataFrame) -> DataFrame:
         "*", text("command_line").alias("_cmd"), F.lower(text("command_line")).alias("_cmd_l"),
         process_basename(F.col("process_name"), platform).alias("_proc"), process_basename(F.col("parent_process_name"), platform).alias("_parent"),
         text("user").alias("_user"), F.lower(text("user")).alias("_user_l"), F.lower(text("working_directory")).alias("_cwd_l"),
+        (F.length(text("command_line")) != F.octet_length(text("command_line"))).alias("_wide"),
     )
 
 
@@ -116,16 +118,59 @@ def predicate(rule: Rule) -> Column:
     return F.expr(f"platform = {literal(rule.platform)} AND {criteria_hold(rule)}")
 
 
+def _guard(rule: Rule) -> str | None:
+    """A cheap test that holds for every event that the rule may fit, from literals its criteria need; None if they need none."""
+    d, choices = rule.detection, []
+    if d.get("command_contains"):
+        choices.append((len(max(d["command_contains"], key=len)), _contains("_cmd_l", [max(d["command_contains"], key=len)], "OR")))
+    if d.get("command_contains_any"):
+        choices.append((min(map(len, d["command_contains_any"])), _contains("_cmd_l", d["command_contains_any"], "OR")))
+    if d.get("command_regex") and (words := required(d["command_regex"])):
+        # letters beyond ASCII may fold to ASCII ones
+        choices.append((min(map(len, words)), f"(_wide OR {_contains('_cmd_l', sorted(words), 'OR')})"))
+    return max(choices)[1] if choices else None
+
+
+def _tested(rules: list[tuple[int, Rule]]) -> str:
+    """The numbers of the rules that hold; rules of one guard are looked at only where it holds."""
+    groups: dict[str | None, list[str]] = {}
+    for k, r in rules:
+        groups.setdefault(_guard(r), []).append(f"CASE WHEN {criteria_hold(r)} THEN {k} END")
+    parts = [f"array({', '.join(hits)})" for g, hits in groups.items() if g is None]
+    guarded = [f"CASE WHEN {g} THEN array({', '.join(hits)}) ELSE CAST(array() AS ARRAY<INT>) END" for g, hits in groups.items() if g is not None and len(hits) > 1]
+    single = [f"CASE WHEN {g} THEN {hits[0]} END" for g, hits in groups.items() if g is not None and len(hits) == 1]
+    parts += ([f"array({', '.join(single)})"] if single else []) + guarded
+    return f"array_compact({parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'})"
+
+
+def _by_name(named: list[tuple[str, str]]) -> str:
+    """The value of the process name among ``named`` (name, value), by halving: each step is one look into a hash set."""
+    if len(named) <= 4:
+        return "CASE _proc " + " ".join(f"WHEN {literal(n)} THEN {v}" for n, v in named) + " ELSE CAST(array() AS ARRAY<INT>) END"
+    half = len(named) // 2
+    return f"CASE WHEN {_one_of('_proc', [n for n, _ in named[:half]])} THEN {_by_name(named[:half])} ELSE {_by_name(named[half:])} END"
+
+
 def hit_numbers(rules: list[Rule]) -> Column:
-    """The numbers of the rules that hold for an event, looking at the rules of its platform only.
+    """The numbers of the rules that hold for an event.
 
-    Inside a higher-order function the predicates are evaluated one by one up to the first that fails.  As generated code
-    they make one method that is too large for the JVM to compile, which is many times slower.
+    Only candidates are tested: rules of the event's platform, of those with a process name the ones for its
+    name, and of rules that need a literal in the command line the ones whose literal is there.  Inside a higher-order function the
+    predicates are evaluated one by one up to the first that fails; as generated code they make one method that is too
+    large for the JVM to compile, which is many times slower.
     """
     cases = []
     for platform in sorted({r.platform for r in rules}):
-        hits = [f"CASE WHEN {criteria_hold(r)} THEN {k} END" for k, r in enumerate(rules) if r.platform == platform]
-        cases.append(f"WHEN {literal(platform)} THEN array_compact(array({', '.join(hits)}))")
+        own = [(k, r) for k, r in enumerate(rules) if r.platform == platform]
+        names: dict[str, list[tuple[int, Rule]]] = {}
+        for k, r in own:
+            if "process_name" in r.criteria:
+                names.setdefault(basename(r.detection["process_name"], platform), []).append((k, r))
+        parts = [_tested(rest)] if (rest := [(k, r) for k, r in own if "process_name" not in r.criteria]) else []
+        if names:
+            known = f"CASE WHEN {_one_of('_proc', sorted(names))} THEN {_by_name([(n, _tested(x)) for n, x in sorted(names.items())])} ELSE CAST(array() AS ARRAY<INT>) END"
+            parts.append(known)
+        cases.append(f"WHEN {literal(platform)} THEN {parts[0] if len(parts) == 1 else 'concat(' + ', '.join(parts) + ')'}")
     return F.expr(f"transform(array(0), _ -> CASE platform {' '.join(cases)} END)[0]")
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from ..schema import PLATFORMS, SEVERITIES
+from . import patterns
 
 log = logging.getLogger(__name__)
 
@@ -83,12 +84,8 @@ def _texts(where: str, value, least: int = 0) -> None:
 
 def check_regex(where: str, pattern: str) -> None:
     """The pattern must be one that both the rule author's dialect and Spark's accept."""
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        raise RuleError(f"{where}: {e}") from e
-    if re.search(r"\(\?P[<=>]|\(\?\(|\\Z", pattern):
-        raise RuleError(f"{where}: named groups, conditionals and \\Z are not supported")
+    if problem := patterns.check(pattern):
+        raise RuleError(f"{where}: {problem}")
 
 
 def _criteria(where: str, match: dict, known) -> None:
