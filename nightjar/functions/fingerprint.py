@@ -21,11 +21,10 @@ def _object(fields: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
-def alert_fingerprints(unicode_form: bool = False) -> dict[str, Column]:
+def alert_fingerprints(unicode_form: bool = True) -> dict[str, Column]:
     """``fingerprint`` (with host), ``activity_fingerprint`` (without) and ``fp_host`` of an alert row.
 
-    ``unicode_form`` composes text to NFC first, the one step that leaves the JVM; text that is
-    composed already, as collectors deliver it, needs it not.
+    Text is composed to NFC first, so that one command written in two ways has one identity.
     """
     form = composed if unicode_form else (lambda c: c)
     platform = F.col("platform")

@@ -15,14 +15,10 @@ _BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u20
 _PIECES = r"(?sU)\"[^\"]*(?:\"|\z)|'[^']*(?:'|\z)|\s+|[^\s\"']+"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
-
-
 def composed(text: Column) -> Column:
-    """Unicode NFC. The only step without a built-in: use it where text can be decomposed."""
-    return _nfc(text)
+    """Unicode NFC, by the ICU library that Spark brings along; only texts beyond ASCII are looked at."""
+    nfc = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(F.length(text) != F.octet_length(text), nfc).otherwise(text)
 
 
 def strip(text: Column) -> Column:

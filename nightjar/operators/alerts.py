@@ -25,6 +25,19 @@ def newest(df: DataFrame, limit: int | None = 100, by: str = "ts", tie: str = "e
     return ordered.limit(limit) if limit else ordered
 
 
+def page_after(df: DataFrame, size: int, after: tuple[str | None, str] | None = None, by: str = "ts", tie: str = "alert_id") -> DataFrame:
+    """The next ``size`` rows, newest first, behind the row with time and tie ``after`` (from the start, if not given).
+
+    A page begins where the last one ended, by a comparison that the scan can prune with, so page 1000 costs what page 1 does
+    and any number of rows can be reached.  Rows without a time come last.
+    """
+    if after is not None:
+        at, mark = F.lit(after[0]).cast("timestamp"), F.col(tie) < F.lit(after[1])
+        older = F.col(by).isNull() & mark if after[0] is None else (F.col(by) < at) | ((F.col(by) == at) & mark) | F.col(by).isNull()
+        df = df.where(older)
+    return newest(df, size, by, tie)
+
+
 def in_time(df: DataFrame, start: Column | None = None, end: Column | None = None, by: str = "ts") -> DataFrame:
     """Rows between two times, both included."""
     if start is not None:

@@ -23,7 +23,7 @@ SUPPRESSION = T.StructType(
 AUDIT = "alert_id string, action string, previous_state string, new_state string, author string, reason string, at timestamp"
 
 
-def with_fingerprints(alerts: DataFrame, unicode_form: bool = False) -> DataFrame:
+def with_fingerprints(alerts: DataFrame, unicode_form: bool = True) -> DataFrame:
     return alerts.select("*", *[c.alias(n) for n, c in alert_fingerprints(unicode_form).items()])
 
 

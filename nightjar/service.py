@@ -22,12 +22,13 @@ from .operators import chains as C
 from .operators import lineage
 from .operators.detect import detect
 from .operators.episodes import with_fingerprints
-from .operators.store import Store
+from .operators.store import Store, Transaction
 from .rules.model import Chain, Rule
 from .schema import PLATFORMS, SEVERITIES
 from .sinks import export
 from .sources import read_events
 from .sources.paths import SourceError, check_source
+from .storage import materialize
 from .streaming.service import IngestionService
 from .streaming.tail import CheckpointFile
 
@@ -74,6 +75,24 @@ def _time(value, name: str):
         raise BadRequest(f"{name} must be an ISO time") from None
 
 
+def _page(df: DataFrame, q: dict, by: str, tie: str) -> tuple[DataFrame, int]:
+    """The page that a request with ``after`` asks for: all filters together, newest first."""
+    found = Q.filter_all(df, _choice(q.get("severity"), SEVERITIES, "severity"), _choice(q.get("platform"), PLATFORMS, "platform"), _int(q.get("min_score"), "min_score"))
+    size, after = min(_int(q.get("limit"), "limit", 1) or 100, MAX_LIMIT), None
+    if q["after"] != "start":
+        time, mark, key = q["after"].partition("|")
+        if not mark or (time and _time(time, "after") is None):
+            raise BadRequest("after is 'start' or the 'next' of another answer")
+        after = (time or None, key)
+    return Q.page_after(found, size, after, by, tie).withColumn("_next", F.concat(F.coalesce(F.date_format(by, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("")), F.lit("|"), F.col(tie))), size
+
+
+def _answer(name: str, rows: list[dict], size: int) -> dict:
+    """A page with the ``next`` to ask for; without one it is the last."""
+    marks = [r.pop("_next") for r in rows]
+    return {name: rows, "count": len(rows)} | ({"next": marks[-1]} if len(rows) == size else {})
+
+
 class Service:
     def __init__(self, spark: SparkSession, store: Store, rules: list[Rule], chains: list[Chain] = (), keys: KeyStore | None = None, allowed: list[str] | None = None, checkpoints: str | None = None, hours: int = 24) -> None:
         self.spark, self.store, self.rules, self.chains, self.keys, self.allowed, self.hours = spark, store, rules, list(chains), keys, allowed, hours
@@ -99,6 +118,9 @@ class Service:
         if df is None:
             return {"alerts": [], "count": 0}
         df = df.withColumn("event_id", F.col("first_event_id"))
+        if "after" in q:
+            found, size = _page(df, q, "ts", "alert_id")
+            return _answer("alerts", _rows(found), size)
         limit = _int(q.get("limit"), "limit", 1) or 100
         found = Q.query_first_filter(df, _choice(q.get("severity"), SEVERITIES, "severity"), _choice(q.get("platform"), PLATFORMS, "platform"), _int(q.get("min_score"), "min_score"), _time(q.get("start_time"), "start_time"), _time(q.get("end_time"), "end_time"), min(limit, MAX_LIMIT))
         rows = _rows(found)
@@ -118,6 +140,12 @@ class Service:
         df = self.store.read(kind)
         if df is None:
             return {"format": fmt, "lines": [], "count": 0}
+        if "after" in q:
+            found, size = _page(df, q, *(("ts", "alert_id") if kind == "alerts" else ("first_timestamp", "fingerprint")))
+            rows = materialize(found, "page")  # formatted and marked from the same rows
+            marks = [r["_next"] for r in rows.select("_next").orderBy("_next").head(1)]
+            lines = [r["line"] for r in export.format_records(rows.drop("_next"), fmt).collect()]
+            return {"format": fmt, "lines": lines, "count": len(lines)} | ({"next": marks[0]} if len(lines) == size else {})
         by, tie = ("ts", "first_event_id") if kind == "alerts" else ("first_timestamp", "fingerprint")
         chosen = Q.export_selection(df, q.get("severity"), q.get("platform"), _int(q.get("min_score"), "min_score"), min(_int(q.get("limit"), "limit", 1) or 1000, MAX_LIMIT), tie, by)
         lines = [r["line"] for r in export.format_records(chosen, fmt).collect()]
@@ -137,6 +165,9 @@ class Service:
 
     def incidents(self, q: dict, _=None) -> dict:
         df = self.store.read("incidents")
+        if df is not None and "after" in q:
+            found, size = _page(df if not q.get("chain_id") else df.where(F.col("chain_id") == q["chain_id"]), q, "first_timestamp", "fingerprint")
+            return _answer("incidents", _rows(found), size)
         rows = [] if df is None else _rows(Q.get_incidents(df, q.get("chain_id"), _choice(q.get("severity"), SEVERITIES, "severity"), _choice(q.get("platform"), PLATFORMS, "platform"), _int(q.get("min_score"), "min_score"), min(_int(q.get("limit"), "limit", 1) or 100, MAX_LIMIT)))
         return {"incidents": rows, "count": len(rows)}
 
@@ -153,15 +184,17 @@ class Service:
 
     def scan(self, q: dict, body: dict) -> dict:
         platform, path = self._source(body)
-        events = read_events(self.spark, platform, path, _time(body.get("start_time"), "start_time"), _time(body.get("end_time"), "end_time")).cache()
-        try:
-            n = events.count()
-            saved = self.store.save_episodes("alerts", with_fingerprints(detect(events, self.rules)), self.hours) if n else {"new": 0, "duplicate": 0, "suppressed": 0}
-            fresh = 0
-            if n and self.chains:
-                fresh = self.store.insert_absent("incidents", C.incidents(lineage.build(events), self.chains), "fingerprint").where("NOT is_duplicate").count()
-        finally:
-            events.unpersist()
+        events = materialize(read_events(self.spark, platform, path, _time(body.get("start_time"), "start_time"), _time(body.get("end_time"), "end_time")), "events")
+        n, fresh, saved = events.count(), 0, {"new": 0, "duplicate": 0, "suppressed": 0}
+        if n:
+            alerts = materialize(with_fingerprints(detect(events, self.rules)), "alerts")
+            incidents = materialize(C.incidents(lineage.build(events), self.chains), "incidents") if self.chains else None
+
+            def change(tx: Transaction) -> tuple[dict, int]:
+                saved = tx.save_episodes("alerts", alerts, self.hours)
+                return saved, tx.insert_absent("incidents", incidents, "fingerprint").where("NOT is_duplicate").count() if incidents is not None else 0
+
+            saved, fresh = self.store.transact(change)
         return {"events_scanned": n, "alerts": saved, "incidents_new": fresh}
 
     def ingest(self, q: dict, body: dict) -> dict:

@@ -237,6 +237,17 @@ def build_sink(spec: dict) -> LineSink:
     raise ValueError(f"unknown sink type {kind!r}")
 
 
+#: Columns of the query report, in the order of its header.
+REPORT_CSV = ("id", "timestamp", "severity", "score", "rule_id", "rule_name", "platform", "process_name", "user", "command_line", "mitre_attack", "description")
+
+
+def report_rows(alerts: DataFrame) -> DataFrame:
+    """Stored alerts with the columns of the query report."""
+    have = set(alerts.columns)
+    made = {"id": F.col("alert_id"), "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "mitre_attack": F.array_join("mitre_attack", ",")}
+    return alerts.select(*[(made[c] if c in made else F.col(c) if c in have else F.lit(None).cast("string")).alias(c) for c in REPORT_CSV])
+
+
 def write_alerts(alerts: DataFrame, path: str, fmt: str) -> None:
     """JSON lines of everything, or CSV of the report columns."""
     if fmt == "json":

@@ -56,7 +56,11 @@ def events_from_xml(xml: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str | list[str], skip_bad: bool = False) -> DataFrame:
     """XML files that each hold one Event element; files with several are no valid document and give nothing."""
-    whole = spark.read.options(**skipping(skip_bad)).text([path] if isinstance(path, str) else path, wholetext=True)
+    return events_from_files(spark.read.options(**skipping(skip_bad)).text([path] if isinstance(path, str) else path, wholetext=True))
+
+
+def events_from_files(whole: DataFrame) -> DataFrame:
+    """``whole``: the text of one file per row in ``value``."""
     one = F.regexp_extract_all("value", F.lit(_EVENT), F.lit(0))
     return events_from_xml(whole.where(F.size(one) == 1).select(F.get(one, F.lit(0)).alias("value")))
 

@@ -15,6 +15,7 @@ from ..operators.episodes import with_fingerprints
 from ..operators.store import LAYERS, Store, Transaction
 from ..rules.model import Chain, Rule
 from ..schema import EVENT
+from ..sources import auditd, endpoint_security, sysmon
 from ..storage import materialize, new_folder
 from .stateful import dedup_stream
 
@@ -135,3 +136,26 @@ def alert_sessions(alerts: DataFrame, delay: str = "24 hours", gap: str = "24 ho
         .agg(F.count(F.lit(1)).alias("occurrence_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("score").alias("score"))
         .select("fingerprint", "occurrence_count", "first_seen", "last_seen", "score")
     )
+
+
+def ingest_logs(spark: SparkSession, store: Store, platform: str, folder: str, checkpoint: str, rules: list[Rule], chains: list[Chain] = (), hours: int = 24, files_per_batch: int | None = None) -> int:
+    """Read the log files of a folder that are new since the last run into the store; the number of micro-batches.
+
+    A file is read once, when it is complete (rotated logs, shipped files); its records are put together inside its batch.
+    """
+    reader = spark.readStream.option("wholetext", str(platform == "windows").lower())
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    lines = reader.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    sink = store_sink(store, rules, chains, hours, stream=f"{platform} {folder}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if platform == "linux":
+            events = auditd.events_from_lines(batch.withColumn("at", F.monotonically_increasing_id()))
+        else:
+            events = (sysmon.events_from_files if platform == "windows" else endpoint_security.events_from_lines)(batch)
+        sink(events, batch_id)
+
+    q = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return len([p for p in q.recentProgress if p["numInputRows"]])
