@@ -21,6 +21,7 @@ from .operators.store import Store
 from .rules.builtin import CHAINS, RULES
 from .rules.model import load_chains, load_rules
 from .schema import PLATFORMS, SEVERITIES
+from .session import builder
 from .sinks.export import REPORT_CSV, format_records, report_rows, write_alerts
 from .sources import read_events
 from .sources.paths import SourceError, check_source
@@ -31,7 +32,7 @@ INCIDENT_TABLE = ["fingerprint", "chain_id", "severity", "score", "host", "first
 
 
 def _session() -> SparkSession:
-    return SparkSession.builder.appName("nightjar").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return builder().getOrCreate()
 
 
 def table(df: DataFrame, columns: list[str], limit: int = 20) -> str:

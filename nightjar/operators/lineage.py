@@ -22,8 +22,8 @@ from ..functions.text import host_of, process_basename, strip
 from ..storage import materialize
 
 MAX_DEPTH = 64
-#: Parts of the whole time in which parents are looked up on their own.
-SPANS = 256
+#: Parts of the whole time in which parents are looked up on their own, at most, and events of one on average.
+SPANS, SPAN_ROWS = 256, 1_000_000
 NODE = ["host", "key", "event_id", "pid", "process_name", "name_norm", "platform", "ts", "command_line", "user", "is_phantom", "parent_key"]
 
 
@@ -45,10 +45,10 @@ def _nodes(events: DataFrame, dense_keys: bool) -> DataFrame:
     return rows.repartition("key").distinct()  # the joins by key need the same partitioning
 
 
-def _latest(children: DataFrame, nodes: DataFrame, named: bool, span: Column) -> DataFrame:
+def _latest(children: DataFrame, nodes: DataFrame, named: bool, span: Column, spans: int) -> DataFrame:
     """(child key, parent key) by an as-of lookup over (host, pid[, name]), in two levels.
 
-    Time is cut into SPANS; inside a span of a key a window finds the last candidate, and what each span hands
+    Time is cut into spans; inside a span of a key a window finds the last candidate, and what each span hands
     on is its very last one.  So a pid with many events (0, where none is known) spreads over as many tasks as it has
     spans, and the window that carries candidates over has a row for each span.
     """
@@ -58,21 +58,25 @@ def _latest(children: DataFrame, nodes: DataFrame, named: bool, span: Column) ->
     cands = nodes.select("host", "p", "n", "span", "ts", "event_id", F.lit(0).alias("kind"), F.struct("key", before.alias("before")).alias("cand"), F.lit(None).cast("string").alias("child"))
     expected = process_basename(F.col("parent_name"), F.col("platform"))
     kids = children.select("host", F.col("ppid").alias("p"), expected.alias("n"), span.alias("span"), "ts", "event_id", F.lit(1).alias("kind"), F.lit(None).cast(cands.schema["cand"].dataType).alias("cand"), F.col("key").alias("child"))
-    both = cands.unionByName(kids)
     seen = F.last("cand", ignorenulls=True).over(Window.partitionBy(*by, "span").orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("seen", seen).where("kind = 1")
-    ends = both.groupBy(*by, "span").agg(F.max_by("cand", F.when(F.col("kind") == 0, F.struct("ts", "event_id"))).alias("end"))
+    found = cands.unionByName(kids).withColumn("seen", seen).where("kind = 1")
+    if spans == 1:  # nothing to carry over
+        parent = F.when(F.col("seen.key") == F.col("child"), F.col("seen.before")).otherwise(F.col("seen.key"))
+        return found.select(F.col("child").alias("key"), parent.alias("parent_key")).where("parent_key IS NOT NULL")
+    parts = nodes.select(*by, "span", "key", F.struct("ts", "event_id").alias("at")).unionByName(kids.select(*by, "span"), allowMissingColumns=True)
+    ends = parts.groupBy(*by, "span").agg(F.max_by("key", "at").alias("end"))
     carried = F.last("end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
-    found = found.join(ends.select(*by, "span", carried.alias("carried")), [*by, "span"], "left")
+    found = found.join(ends.select(*by, "span", carried.alias("carried")).where("carried IS NOT NULL"), [*by, "span"], "left")
     own = F.col("seen.key") == F.col("child")  # a process is not its own parent
-    parent = F.when(own, F.coalesce("seen.before", "carried.key")).otherwise(F.coalesce("seen.key", "carried.key"))
+    parent = F.when(own, F.coalesce("seen.before", "carried")).otherwise(F.coalesce("seen.key", "carried"))
     return found.select(F.col("child").alias("key"), parent.alias("parent_key")).where("parent_key IS NOT NULL")
 
 
-def _span(nodes: DataFrame) -> Column:
-    """The span of a row's time: one of SPANS equal parts of all times."""
-    lo, hi = nodes.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    return F.floor((F.unix_micros("ts") - (lo or 0)) / (((hi or 0) - (lo or 0)) // SPANS + 1)).cast("int")
+def _spans(nodes: DataFrame) -> tuple[Column, int]:
+    """The span of a row's time, one of equal parts of all times, and how many there are: one for SPAN_ROWS events, SPANS at most."""
+    n, lo, hi = nodes.agg(F.count(F.lit(1)), F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    spans = max(1, min(SPANS, -(-n // SPAN_ROWS)))
+    return F.floor((F.unix_micros("ts") - (lo or 0)) / (((hi or 0) - (lo or 0)) // spans + 1)).cast("int"), spans
 
 
 def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
@@ -85,8 +89,8 @@ def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
     wanting = nodes.where("ppid IS NOT NULL OR parent_name <> ''")
     unnamed = wanting.where("ppid IS NOT NULL AND parent_name = ''")
     named = wanting.where("ppid IS NOT NULL AND parent_name <> ''")
-    span = _span(nodes)
-    links = _latest(unnamed, nodes, False, span).unionByName(_latest(named, nodes, True, span))
+    span, spans = _spans(nodes)
+    links = _latest(unnamed, nodes, False, span, spans).unionByName(_latest(named, nodes, True, span, spans))
     orphans = wanting.join(links.select("key"), "key", "left_anti")
     expected = process_basename(F.col("parent_name"), F.col("platform"))
     orphans = orphans.withColumn("n", expected).withColumn("own", F.when(F.col("ppid").isNull(), F.col("key")))
@@ -149,9 +153,8 @@ def marked_ancestors(nodes: DataFrame, marked: DataFrame, of: DataFrame | None =
     rows are made for pairs of the result and not for all that lies between.
     """
     near = nearest(nodes, marked, max_depth)
-    near = materialize(near, "near")
     shrunk = near.join(marked.select("key").distinct(), "key", "left_semi").select("key", F.col("up").alias("parent_key"), F.col("depth").alias("steps"))
-    above = ancestors(materialize(shrunk, "marked"), max_depth=max_depth)
+    above = ancestors(shrunk, max_depth=max_depth)
     base = near if of is None else near.join(of.select("key").distinct(), "key", "left_semi")
     far = base.join(above.select(F.col("key").alias("up"), "anc", F.col("depth").alias("d2")), "up").select("key", "anc", (F.col("depth") + F.col("d2")).alias("depth"))
     found = base.select("key", F.col("up").alias("anc"), "depth").unionByName(far)
