@@ -261,11 +261,17 @@ def event_stats(spark, sf_dir):
     return Q.event_stats(process_events(spark, sf_dir)).select("total", F.unix_micros("earliest").alias("earliest"), F.unix_micros("latest").alias("latest"), "unique_processes", "unique_users")
 
 
-@query("rule_stats", "SELECT * FROM (VALUES " + ", ".join(f"({_q(p)}, {_q(s)}, CAST({n} AS BIGINT))" for p in ("linux", "macos", "windows") for s in ("critical", "high", "low", "medium") if (n := sum(r.platform == p and r.severity == s for r in RULES))) + ") t(rule_platform, severity, n)")
+_RULE_COUNTS = ", ".join(f"({_q(p)}, {_q(s)}, CAST({n} AS BIGINT))" for p in ("linux", "macos", "windows") for s in ("critical", "high", "low", "medium") if (n := sum(r.platform == p and r.severity == s for r in RULES)))
+
+
+@query("rule_stats", f"WITH {_ALERTS}, t AS (SELECT * FROM (VALUES {_RULE_COUNTS}) t(rule_platform, severity, n)), f AS (SELECT platform AS rule_platform, severity, count(*) AS found FROM alerts GROUP BY ALL) SELECT rule_platform, severity, n, coalesce(found, 0) AS alerts FROM t LEFT JOIN f USING (rule_platform, severity)")
 def rule_stats(spark, sf_dir):
+    """Rules of each platform and severity, and the alerts that they raise."""
     from .operators.detect import rules_table
 
-    return rules_table(spark, RULES).groupBy("rule_platform", "severity").agg(F.count(F.lit(1)).alias("n"))
+    found = _alerts(spark, sf_dir).groupBy(F.col("platform").alias("rule_platform"), "severity").agg(F.count(F.lit(1)).alias("found"))
+    rules = rules_table(spark, RULES).groupBy("rule_platform", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return rules.join(found, ["rule_platform", "severity"], "left").select("rule_platform", "severity", "n", F.coalesce("found", F.lit(0)).alias("alerts"))
 
 
 @query("alert_page", f"WITH {_ALERTS} SELECT event_id, rule_id FROM alerts ORDER BY {_RANK} DESC, us DESC, event_id DESC, rule_id DESC LIMIT 10 OFFSET 10")
