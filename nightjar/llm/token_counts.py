@@ -11,8 +11,8 @@ of tokens of a text is the sum over its pre-tokens, the runs between white space
   It holds every pre-token that makes up more than 1 / ENTRIES of all.
 * Second tier: a pre-token that the table lacks is encoded by the tokenizers library and
   kept in the worker's cache of CACHE_ENTRIES entries (CACHE_CHARS characters at most each).
-  Where the file splits by SPLIT after lower-casing, a pre-token of printable ASCII without an apostrophe is first
-  taken apart as that pattern does (runs of letters, single digits, runs of marks), and its parts are looked up; a
+  Where the file splits by SPLIT after lower-casing, a pre-token of printable ASCII without an apostrophe and of the
+  letters of Latin-1 (which NFC leaves alone) is first taken apart as that pattern does (runs of letters, single digits, runs of marks), and its parts are looked up; a
   part needs the library's merges only, not its normalisation.
 
 No pre-token is shuffled; which ones are frequent only decides about time, never about
@@ -57,9 +57,9 @@ LIMIT = 2048
 _CONTROLS = re.compile("[\x1c-\x1f]")
 # Fixed value: the pattern of the .json file whose matches are the pre-tokens, after NFC and lower-casing.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Printable ASCII without apostrophes (such a byte stands for itself in the vocabulary), and what SPLIT does to it in lower case.
-_PRINTABLE = re.compile("[!-&(-~]+")
-_ASCII = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII without apostrophes and the letters of Latin-1, and what SPLIT does to them in lower case.
+_PRINTABLE = re.compile("[!-&(-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_PARTS = re.compile("[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 _SURE_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -107,8 +107,13 @@ class Lengths(dict):
     """Pre-token -> number of tokens: the broadcast entries, and a bounded cache of others behind them."""
 
     def __init__(self, tokenizer, tokens: list[str], lengths: list[int]) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__(zip(tokens, lengths, strict=True))
         self.encode, self.merge, self.cache = tokenizer.encode, tokenizer.model.tokenize, {}
+        # what the vocabulary writes for the bytes of a letter; ASCII stands for itself
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.plain, self.special = splits_by(tokenizer), tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def __missing__(self, token: str) -> int:
@@ -117,8 +122,8 @@ class Lengths(dict):
             if not self.plain or not _PRINTABLE.fullmatch(token) or any(x in token for x in self.special):
                 n = len(self.encode(token, add_special_tokens=False).ids)
             else:
-                taken = _ASCII.findall(token.lower())
-                n = len(self.merge(token)) if taken == [token] else sum(map(self.__getitem__, taken))
+                taken = _PARTS.findall(token.lower())
+                n = len(self.merge(token.translate(self.bytes))) if taken == [token] else sum(map(self.__getitem__, taken))
             if len(token) <= CACHE_CHARS:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()
