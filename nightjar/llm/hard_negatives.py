@@ -160,8 +160,10 @@ def _cells(b: Buckets, asked: DataFrame, cells: DataFrame, most: int, same: bool
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["anchor_row", "list", "score", "vec_id", "row"])
 
-    left = asked.join(cells, "block").select(F.col("block").alias("of_block"), F.col("grp").alias("of_grp"), "row", "label", "q", "norm2", "lows", "highs", "kths")
-    right = b.rows.join(cells, "grp").select("block", "grp", "bucket", "row", "vec_id", "label", "q", "norm2")
+    # keys of one type on both sides: an int and a long of one value are dealt to different tasks, and a cell would lose its rows
+    cells = cells.select(F.col("block").cast("long").alias("block"), F.col("grp").cast("long").alias("grp"))
+    left = asked.join(cells, "block").select(F.col("block").cast("long").alias("of_block"), F.col("grp").cast("long").alias("of_grp"), "row", "label", "q", "norm2", "lows", "highs", "kths")
+    right = b.rows.join(cells, "grp").select("block", F.col("grp").cast("long").alias("grp"), "bucket", "row", "vec_id", "label", "q", "norm2")
     return left.groupBy("of_block", "of_grp").cogroup(right.groupBy("block", "grp")).applyInArrow(make, _FOUND)
 
 

@@ -56,6 +56,28 @@ def test_against_brute_force(spark, monkeypatch, seed, n, spread, bytes_):
     assert sorted(tuple(r) for r in mine(frame(spark, rows), F.col("vec_id") % 10 == 0, mining=mining).collect()) == brute(rows, mining, 10)
 
 
+def test_every_cell_meets_its_rows_in_any_number_of_tasks(spark, monkeypatch):
+    """Vectors of one norm, so that no cell is ruled out, with the cells dealt to many tasks."""
+    monkeypatch.setattr(hn, "BUCKET_BYTES", 400)
+    monkeypatch.setattr(hn, "BLOCK_BYTES", 200)
+    rng = random.Random(11)
+    rows = []
+    for k in range(150):
+        v = [rng.gauss(0.3, 1) for _ in range(6)]
+        size = math.sqrt(sum(x * x for x in v))
+        rows.append((k, [x / size for x in v], k % 4))
+    mining = Mining(positives=3, negatives=4)
+    adaptive, partitions = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = sorted(tuple(r) for r in mine(frame(spark, rows), F.col("vec_id") % 10 == 0, mining=mining).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == brute(rows, mining, 10)
+
+
 def test_bounds_leave_cells_out(spark, monkeypatch):
     """With norms that differ, most cells beyond the first are never shuffled, and the result is whole."""
     asked, materialize = [], hn.materialize
