@@ -37,19 +37,25 @@ def number(text: Column) -> Column:
     return F.coalesce(hexa, F.when(t.rlike(r"^[0-9]{1,18}$"), t.try_cast("long")))
 
 
+def _once(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, each made once per row: conditions on a generated column are not moved in front of it with its expression."""
+    return rows.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def events_from_xml(xml: DataFrame) -> DataFrame:
     """``xml``: one Event element per row in ``value``; rows without a needed field or with a bad pid are left out."""
-    rows = xml.where(F.regexp_extract("value", r"<EventID[^>]*>\s*(\d+)\s*</EventID>", 1) == "1").select("value", data_map(F.col("value")).alias("data"))
+    rows = _once(xml.where(F.regexp_extract("value", r"<EventID[^>]*>\s*(\d+)\s*</EventID>", 1) == "1"), "value", data=data_map(F.col("value")))
     get = lambda k: F.get(F.transform(F.filter("data", lambda d: d["name"] == k), lambda d: d["value"]), F.lit(0))
-    rows = rows.select("value", *[get(k).alias(k) for k in (*REQUIRED, "ParentImage", "ParentProcessId", "CurrentDirectory")], F.to_json(F.struct(F.map_from_entries("data").alias("parsed"))).alias("raw"))
+    rows = _once(rows, "value", "data", **{k: get(k) for k in (*REQUIRED, "ParentImage", "ParentProcessId", "CurrentDirectory")})
     for k in REQUIRED:
         rows = rows.where(F.coalesce(F.col(k), F.lit("")) != "")
     base = lambda c: F.regexp_extract(c, r"[^/\\]*$", 0)
     ts = F.coalesce(F.try_to_timestamp("UtcTime", F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.try_to_timestamp("UtcTime", F.lit("yyyy-MM-dd HH:mm:ss.SSS")), F.try_to_timestamp("UtcTime", F.lit("yyyy-MM-dd HH:mm:ss")))
+    raw = F.to_json(F.struct(F.map_from_entries("data").alias("parsed")))
     out = rows.select(
         F.abs(F.xxhash64("value")).alias("event_id"), ts.alias("ts"), F.lit("windows").alias("platform"), base(F.col("Image")).alias("process_name"), F.col("CommandLine").alias("command_line"), F.col("User").alias("user"),
         number(F.col("ProcessId")).alias("process_id"), F.nullif(base(F.col("ParentImage")), F.lit("")).alias("parent_process_name"), number(F.col("ParentProcessId")).alias("parent_process_id"),
-        F.nullif("CurrentDirectory", F.lit("")).alias("working_directory"), "raw",
+        F.nullif("CurrentDirectory", F.lit("")).alias("working_directory"), raw.alias("raw"),
     )
     return as_events(out.where("process_id IS NOT NULL AND ts IS NOT NULL"))
 
