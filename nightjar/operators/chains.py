@@ -93,7 +93,7 @@ def incidents(nodes: DataFrame, chains: list[Chain]) -> DataFrame:
     """Scored incidents of all chains over the nodes of ``lineage.build``."""
     if not chains:
         raise ValueError("no chains are given")
-    found = match_chains(materialize(nodes, "nodes"), chains)
+    found = match_chains(nodes, chains)
     rows = [(k, c.id, c.name, c.severity, c.platform, list(c.mitre_attack), c.description, list(c.response), c.window_seconds, len(c.stages)) for k, c in enumerate(chains)]
     table = nodes.sparkSession.createDataFrame(rows, "chain int, chain_id string, chain_name string, severity string, platform string, mitre_attack array<string>, description string, response array<string>, window_seconds int, n_stages int")
     found = found.join(F.broadcast(table), "chain")  # as many rows as chains

@@ -79,33 +79,46 @@ def _spans(nodes: DataFrame) -> tuple[Column, int]:
     return F.floor((F.unix_micros("ts") - (lo or 0)) / (((hi or 0) - (lo or 0)) // spans + 1)).cast("int"), spans
 
 
-def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
-    """All nodes with their parents: one per event, and the phantom parents.
-
-    Node keys are host|pid|event_id.  ``dense_keys`` numbers the events of a host instead, which
-    sorts each host in one task.
-    """
+def _placed(events: DataFrame, dense_keys: bool = False) -> DataFrame:
+    """The nodes of events with their parents; ``orphan`` marks those whose parent was never seen."""
     nodes = materialize(_nodes(events, dense_keys), "nodes")  # read by each branch below
-    wanting = nodes.where("ppid IS NOT NULL OR parent_name <> ''")
-    unnamed = wanting.where("ppid IS NOT NULL AND parent_name = ''")
-    named = wanting.where("ppid IS NOT NULL AND parent_name <> ''")
+    unnamed = nodes.where("ppid IS NOT NULL AND parent_name = ''")
+    named = nodes.where("ppid IS NOT NULL AND parent_name <> ''")
     span, spans = _spans(nodes)
     links = _latest(unnamed, nodes, False, span, spans).unionByName(_latest(named, nodes, True, span, spans))
-    orphans = wanting.join(links.select("key"), "key", "left_anti")
     expected = process_basename(F.col("parent_name"), F.col("platform"))
-    orphans = orphans.withColumn("n", expected).withColumn("own", F.when(F.col("ppid").isNull(), F.col("key")))
-    phantom_key = F.concat_ws("|", "host", F.lit("phantom"), F.coalesce(F.col("ppid").cast("string"), F.lit("None")), "n", F.coalesce("own", F.lit("")))
+    own = F.when(F.col("ppid").isNull(), F.col("key"))
+    phantom_key = F.concat_ws("|", "host", F.lit("phantom"), F.coalesce(F.col("ppid").cast("string"), F.lit("None")), expected, F.coalesce(own, F.lit("")))
+    orphan = F.col("found").isNull() & (F.col("ppid").isNotNull() | (F.col("parent_name") != ""))
+    placed = nodes.join(links.select("key", F.col("parent_key").alias("found")), "key", "left").withColumn("orphan", F.coalesce(orphan, F.lit(False)))
+    return placed.withColumn("parent_key", F.when(F.col("orphan"), phantom_key).otherwise(F.col("found"))).withColumn("is_phantom", F.lit(False))
+
+
+def _phantoms(orphans: DataFrame) -> DataFrame:
+    """The declared parents of ``orphans``, each with the number of its children."""
     order = F.struct("ts", F.coalesce("pid", F.lit(-1)), "event_id")
-    orphans = orphans.withColumn("parent_key", phantom_key)
     name = F.when(F.col("parent_name") != "", F.col("parent_name")).otherwise(F.concat(F.lit("pid-"), F.col("ppid").cast("string")))
-    phantoms = orphans.groupBy("parent_key").agg(F.first("host").alias("host"), F.first("ppid").alias("pid"), F.min_by(name, order).alias("process_name"), F.min_by("platform", order).alias("platform"))
-    phantoms = phantoms.select(
-        "host", F.col("parent_key").alias("key"), F.lit(None).cast("long").alias("event_id"), "pid", "process_name", process_basename(F.col("process_name"), F.col("platform")).alias("name_norm"), "platform",
+    return orphans.groupBy(F.col("parent_key").alias("key")).agg(F.count(F.lit(1)).alias("children"), F.first("host").alias("host"), F.first("ppid").alias("pid"), F.min_by(name, order).alias("process_name"), F.min_by("platform", order).alias("platform"))
+
+
+def phantoms(events: DataFrame) -> DataFrame:
+    """(key, children, process_name) of the parents that were never seen, from the orphans alone."""
+    return _phantoms(_placed(events).where("orphan")).select("key", "children", "process_name")
+
+
+def build(events: DataFrame, dense_keys: bool = False) -> DataFrame:
+    """All nodes with their parents: one per event, and the phantom parents, written to the shared folder.
+
+    Node keys are host|pid|event_id.  ``dense_keys`` numbers the events of a host instead, which
+    sorts each host in one task.
+    """
+    # written once, for those who read them and for the phantoms: the lookup is not made again for each
+    real = materialize(_placed(events, dense_keys).select(*NODE, "ppid", "parent_name", "orphan"), "nodes")
+    unseen = _phantoms(real.where("orphan")).select(
+        "host", "key", F.lit(None).cast("long").alias("event_id"), "pid", "process_name", process_basename(F.col("process_name"), F.col("platform")).alias("name_norm"), "platform",
         F.lit(None).cast("timestamp").alias("ts"), F.lit("").alias("command_line"), F.lit("").alias("user"), F.lit(True).alias("is_phantom"), F.lit(None).cast("string").alias("parent_key"),
     )
-    parents = links.unionByName(orphans.select("key", "parent_key"))
-    real = nodes.join(parents, "key", "left").withColumn("is_phantom", F.lit(False))
-    return real.select(*NODE).unionByName(phantoms.select(*NODE))
+    return real.select(*NODE).unionByName(materialize(unseen.select(*NODE), "phantoms"))
 
 
 def ancestors(nodes: DataFrame, of: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:

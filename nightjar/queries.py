@@ -405,16 +405,12 @@ def lineage_parent_asof(spark, sf_dir):
 
 @query("lineage_phantoms", f"WITH {_NODES} SELECT parent_key AS key, count(*) AS children, arg_min(CASE WHEN pname <> '' THEN pname ELSE 'pid-' || parent_process_id END, us) AS process_name FROM orphan GROUP BY parent_key")
 def lineage_phantoms(spark, sf_dir):
-    nodes = lineage.build(process_events(spark, sf_dir))
-    kids = nodes.where("parent_key IS NOT NULL").groupBy(F.col("parent_key").alias("key")).agg(F.count(F.lit(1)).alias("children"))
-    return nodes.where("is_phantom").select("key", "process_name").join(kids, "key").select("key", "children", "process_name")
+    return lineage.phantoms(process_events(spark, sf_dir))
 
 
 @query("lineage_closure", f"WITH RECURSIVE {_NODES}, start AS (SELECT key FROM n WHERE proc = 'osascript'), walk AS (SELECT start.key AS anc, p.key, 1 AS depth FROM start JOIN parents p ON p.parent_key = start.key UNION SELECT w.anc, p.key, w.depth + 1 FROM walk w JOIN parents p ON p.parent_key = w.key WHERE w.depth < 64) SELECT anc, key, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY anc, key")
 def lineage_closure(spark, sf_dir):
-    from .storage import materialize
-
-    nodes = materialize(lineage.build(process_events(spark, sf_dir)), "nodes")
+    nodes = lineage.build(process_events(spark, sf_dir))
     return lineage.all_descendants(nodes, nodes.where("name_norm = 'osascript' AND NOT is_phantom")).select("anc", "key", "depth")
 
 
@@ -440,10 +436,9 @@ def chain_window(spark, sf_dir):
 
 def _two_stage(spark, sf_dir, window: int) -> DataFrame:
     from .rules.model import Chain, Stage
-    from .storage import materialize
 
     c = Chain("CHAIN-MAC-900", "shell below script", "macos", "high", window, (Stage("script", {"process_name": "osascript"}), Stage("shell", {"process_name_any": ["sh", "bash", "zsh"]}, "child")))
-    found = chains.match_chains(materialize(lineage.build(process_events(spark, sf_dir)), "nodes"), [c])
+    found = chains.match_chains(lineage.build(process_events(spark, sf_dir)), [c])
     return found.select("anchor", F.col("stages")[1]["node_key"].alias("last"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 
@@ -462,9 +457,7 @@ below AS (
 
 @query("chain_descendant", f"{_MAC} SELECT anchor, k1, k2, first_us, u2 AS last_us FROM best WHERE r = 1")
 def chain_descendant(spark, sf_dir):
-    from .storage import materialize
-
-    found = chains.match_chains(materialize(lineage.build(process_events(spark, sf_dir)), "nodes"), [c for c in CHAINS if c.id == "CHAIN-MAC-001"])
+    found = chains.match_chains(lineage.build(process_events(spark, sf_dir)), [c for c in CHAINS if c.id == "CHAIN-MAC-001"])
     return found.select("anchor", F.col("stages")[1]["node_key"].alias("k1"), F.col("stages")[2]["node_key"].alias("k2"), F.unix_micros("first_timestamp").alias("first_us"), F.unix_micros("last_timestamp").alias("last_us"))
 
 

@@ -270,3 +270,15 @@ def test_log_folders_are_read_by_file_name(spark, tmp_path):
     assert read_events(spark, "windows", str(tmp_path)).count() == 0
     (tmp_path / "e.xml").write_text('<Event><System><EventID>1</EventID></System><EventData><Data Name="ProcessId">5</Data><Data Name="Image">a.exe</Data><Data Name="CommandLine">a</Data><Data Name="User">u</Data><Data Name="UtcTime">2026-01-01 00:00:00.000</Data></EventData></Event>')
     assert read_events(spark, "windows", str(tmp_path)).count() == 1
+
+
+def test_orphans_of_one_key_are_not_multiplied(spark):
+    """Two differing records of one host, pid and event id: a node each, two children of the unseen parent."""
+    from nightjar.schema import as_events
+
+    rows = [(1, 0, "macos", "sh", c, 5, 4, "h") for c in ("sh -c a", "sh -c b")]
+    found = spark.createDataFrame(rows, "event_id long, us long, platform string, process_name string, command_line string, process_id long, parent_process_id long, host string")
+    made = as_events(found.selectExpr("*", "timestamp_micros(us) AS ts"))
+    nodes = lineage.build(made)
+    assert sorted((r["is_phantom"], r["command_line"]) for r in nodes.collect()) == [(False, "sh -c a"), (False, "sh -c b"), (True, "")]
+    assert [tuple(r) for r in lineage.phantoms(made).collect()] == [("h|phantom|4||", 2, "pid-4")]
