@@ -54,15 +54,19 @@ def run_available(spark: SparkSession, folder: str, out: str, checkpoint: str, r
     return len([p for p in q.recentProgress if p["numInputRows"]])
 
 
-def fold_available(alerts: DataFrame, arrival: str, part: Column, parts: int, hours: int = 24, delay: str = "30 days") -> DataFrame:
+def fold_available(alerts: DataFrame, arrival: str, part: Column, parts: int, hours: int = 24, delay: str | None = None) -> DataFrame:
     """Replay alerts (with fingerprints) as a stream: the rows of ``part`` 0, 1, ... are its micro-batches, folded with keyed state.
 
-    Each part is a run of its own that goes on from the checkpoint of the one before.  Returns what each batch has put out, with its
+    Each part is a run of its own that goes on from the checkpoint of the one before.  Without ``delay`` no alert is too late, whatever time
+    lies between the first and the last.  Returns what each batch has put out, with its
     ``batch_id``.
     """
     spark, root = alerts.sparkSession, new_folder(alerts.sparkSession, "replay")
     rows = materialize(alerts.withColumn("_part", part), "alerts")
     schema = rows.drop("_part").schema
+    if delay is None:
+        span = rows.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("s")).first()["s"]
+        delay = f"{(span or 0) + 2} seconds"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
